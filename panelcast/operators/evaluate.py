@@ -62,8 +62,14 @@ def severe_threshold(split: DataFrame, q: float = 0.85, *, fallback: str = "zero
     tr = split.filter(F.col(side_col) == "train")
     tr = with_shock_proxies(tr) if "dmg" not in tr.columns else tr
     pos = tr.filter(is_finite("dmg") & (F.col("dmg") > 0)).select("dmg")
-    n_pos = pos.agg(F.count(F.lit(1))).scalar()
-    q_pos = grouped_quantile(pos, "dmg", q).select("quantile").scalar()
+    # count and exact quantile of the positives in one row, read through ONE subquery
+    q_pos = grouped_quantile(pos, "dmg", q).select(F.col("n").alias("n_pos"), F.col("quantile").alias("q"))
+    spark = split.sparkSession
+    one = spark.range(1).select(F.lit(0).alias("__k"))
+    pos_row = one.join(q_pos.withColumn("__k", F.lit(0)), "__k", "left").select(
+        F.struct(F.coalesce(F.col("n_pos"), F.lit(0)).alias("n_pos"), F.col("q").alias("q")).alias("s"))
+    sc = pos_row.scalar()
+    n_pos, qv = sc["n_pos"], sc["q"]
     if fallback == "zero":
         fb = F.lit(0.0)
     elif fallback == "all":
@@ -73,10 +79,8 @@ def severe_threshold(split: DataFrame, q: float = 0.85, *, fallback: str = "zero
         fb = F.lit(None).cast("double")
     else:
         raise ValueError("fallback must be 'zero', 'all' or 'none'")
-    spark = split.sparkSession
-    one = spark.range(1)
-    thr = F.when(n_pos >= min_pos, F.greatest(q_pos, F.lit(0.0))).otherwise(fb)
-    return one.select(thr.alias("threshold"), n_pos.alias("n_pos"))
+    thr = F.when(n_pos >= min_pos, F.greatest(qv, F.lit(0.0))).otherwise(fb)
+    return spark.range(1).select(thr.alias("threshold"), n_pos.cast("bigint").alias("n_pos"))
 
 
 def _r2(cond: Column, e2: Column, y: Column) -> Column:
@@ -104,8 +108,11 @@ def metrics_table(preds: DataFrame, threshold: DataFrame | None = None, *, sever
     df = preds.join(F.broadcast(mean_tr), "model", "left")
     ps = F.when(is_finite("p"), F.col("p")).otherwise(F.col("__mean_train"))
     df = df.withColumn("__e", F.col("y") - ps)
-    thr_col = threshold.select("threshold").scalar() if threshold is not None else F.lit(0.0)
-    npos_col = threshold.select("n_pos").scalar() if threshold is not None else F.lit(None).cast("bigint")
+    if threshold is not None:
+        tsc = threshold.select(F.struct("threshold", "n_pos").alias("s")).scalar()   # one subquery
+        thr_col, npos_col = tsc["threshold"], tsc["n_pos"]
+    else:
+        thr_col, npos_col = F.lit(0.0), F.lit(None).cast("bigint")
     df = df.withColumn("__any", F.col("n_ev") > 0) \
            .withColumn("__severe", (F.col("n_ev") > 0) & (F.col("dmg") >= thr_col)) \
            .withColumn("__multi", F.col("n_ev") >= 2)

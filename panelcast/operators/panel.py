@@ -131,6 +131,17 @@ def build_master_panel(level: DataFrame, growth: DataFrame, events: DataFrame |
     return add_event_derivations(panel)
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a table that has at most one row by construction (a
+    global aggregate) to every row of ``df``: inner equi-join on a constant key with the
+    one-row side broadcast, so ``df`` is neither shuffled nor skewed.  Rows of ``df``
+    are dropped when ``one_row`` is empty."""
+    key = "__one"
+    return (df.withColumn(key, F.lit(1))
+              .join(F.broadcast(one_row.withColumn(key, F.lit(1))), key, "inner")
+              .drop(key))
+
+
 def key_quality(panel: DataFrame, keys: Sequence[str] = KEYS,
                 nonneg: Sequence[str] = ("n_events", "total_deaths", "total_damage")) -> DataFrame:
     """One-row data-quality report: rows, NULL keys, duplicated keys, negative

@@ -224,6 +224,287 @@ for _name, _cfg in [("c4_baseline_metrics_main", MAIN), ("c4_baseline_metrics_fu
     register(_name, _s)(_b)
 
 
+# ---------------------------------------------------------------- sources from wide extracts
+
+@register("s4_coded_extract_long", """
+WITH y AS (
+  SELECT CAST(c.c_nationkey AS VARCHAR) AS entity, CAST(year(o.o_orderdate) AS INTEGER) AS t,
+         CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2)
+SELECT entity, t, """ + O.r("value") + """ AS value FROM y WHERE t BETWEEN 1995 AND 2001""")
+def q_coded(spark, d):
+    from panelcast.operators.reshape import coded_extract_to_long
+    return rounded(coded_extract_to_long(tp.wide_coded_extract(spark, d), "value"))
+
+
+@register("s1_plain_extract_long", """
+WITH y AS (
+  SELECT CAST(c.c_nationkey AS VARCHAR) AS entity, CAST(year(o.o_orderdate) AS INTEGER) AS t,
+         CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS gdp
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2)
+SELECT entity, t, """ + O.r("gdp") + """ AS gdp FROM y WHERE t BETWEEN 1995 AND 2001""")
+def q_plain(spark, d):
+    from panelcast.operators.reshape import wide_extract_to_long
+    wide = tp.wide_plain_extract(spark, d)
+    return rounded(wide_extract_to_long(wide, "Country Code", "gdp",
+                                        id_cols=["Country Name", "Country Code", "Indicator Name", "Indicator Code"]))
+
+
+@register("s6_dated_series", """
+SELECT CAST(year(l_shipdate) AS INTEGER) AS t,
+       """ + O.r("CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*)") + """ AS oil_price_usd
+FROM lineitem GROUP BY 1""")
+def q_dated(spark, d):
+    from panelcast.sources.extracts import dated_series_to_annual
+    li = tp.read_table(spark, d, "lineitem")
+    dated = (li.groupBy(F.year("l_shipdate").alias("y"))
+               .agg((F.sum(F.col("l_extendedprice").cast(tp.DEC)).cast("double") / F.count(F.lit(1))).alias("POILAPSPUSDA"))
+               .select(F.make_date("y", F.lit(1), F.lit(1)).alias("observation_date"), "POILAPSPUSDA"))
+    return rounded(dated_series_to_annual(dated))
+
+
+_NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_DIRTY_TXT = "CASE " + " ".join(f"WHEN o_orderkey % 97 = {k} THEN '{v}'" for k, v in tp.DIRTY_TOKENS.items()) \
+    + " ELSE CAST(o_totalprice AS VARCHAR) END"
+
+
+@register("p4_dirty_text_cast", f"""
+WITH d AS (SELECT o_orderkey, {_DIRTY_TXT} AS txt, CAST(year(o_orderdate) AS VARCHAR) AS ytxt FROM orders),
+c AS (SELECT o_orderkey,
+        CASE WHEN regexp_matches(txt, '{_NUM}') THEN TRY_CAST(trim(txt) AS DOUBLE) END AS v,
+        CASE WHEN regexp_matches(ytxt, '{_NUM}') THEN TRY_CAST(trim(ytxt) AS DOUBLE) END AS yv FROM d)
+SELECT o_orderkey,
+       {O.r("CASE WHEN isfinite(v) THEN v END")} AS totalprice,
+       CAST(floor(CASE WHEN isfinite(yv) THEN yv END) AS INTEGER) AS year,
+       {O.r("COALESCE(CASE WHEN isfinite(v) THEN v END, 0.0::DOUBLE)")} AS totalprice_or_zero
+FROM c""")
+def q_dirty(spark, d):
+    from panelcast.functions.scalar import safe_double, safe_int, tolerant_float
+    t = tp.dirty_orders_text(spark, d)
+    return rounded(t.select("o_orderkey", safe_double("totalprice_text").alias("totalprice"),
+                            safe_int("year_text").alias("year"),
+                            tolerant_float("totalprice_text", 0.0).alias("totalprice_or_zero")))
+
+
+@register("w1_calendar_lag", _with(O.base_ctes()) + """
+SELECT m.entity, m.t, """ + O.r("m.gdp_growth") + """ AS gdp_growth,
+       """ + O.r("lag(m.gdp_growth, 1) OVER (PARTITION BY m.entity ORDER BY m.t)") + """ AS gdp_growth_lag1,
+       """ + O.r("p.gdp_growth") + """ AS gdp_growth_clag1
+FROM master m LEFT JOIN master p ON p.entity = m.entity AND p.t + 1 = m.t""")
+def q_clag(spark, d):
+    m = st.master_panel(spark, d).select("entity", "t", "gdp_growth")
+    w = fe.entity_window()
+    out = fe.calendar_lag(m.withColumn("gdp_growth_lag1", F.lag("gdp_growth", 1).over(w)), "gdp_growth", 1)
+    return rounded(out.select("entity", "t", "gdp_growth", "gdp_growth_lag1", "gdp_growth_clag1"))
+
+
+@register("c9_eda_events", _with(O.base_ctes()) + """
+SELECT entity, t, n_events, """ + O.r("ln(1.0::DOUBLE + greatest(COALESCE(total_damage, 0.0::DOUBLE), 0.0::DOUBLE))") + """
+  AS log_total_damage, """ + O.r("gdp_growth") + """ AS target FROM master""")
+def q_eda(spark, d):
+    from panelcast.operators import report as rp
+    m = st.master_panel(spark, d)
+    return rounded(rp.eda_events(m).join(rp.eda_target(m), ["entity", "t"]))
+
+
+def _hist_sql(src: str, expr: str, scale: str, bins: int = 30) -> str:
+    return f"""
+SELECT * FROM (
+WITH v AS (SELECT {expr} AS x FROM {src} WHERE total_damage IS NOT NULL),
+s0 AS (SELECT min(x) AS mn0, max(x) AS mx0, count(*) AS n FROM v),
+s AS (SELECT CASE WHEN mn0 = mx0 THEN mn0 - 0.5 ELSE mn0 END AS mn,
+             CASE WHEN mn0 = mx0 THEN mx0 + 0.5 ELSE mx0 END AS mx FROM s0 WHERE n >= 6),
+st AS (SELECT mn, mx, (mx - mn) / {bins}.0::DOUBLE AS step, {bins}.0::DOUBLE / (mx - mn) AS norm FROM s),
+b0 AS (SELECT x, CASE WHEN CAST(trunc((x - mn) * norm) AS INTEGER) >= {bins} THEN {bins - 1}
+                      ELSE CAST(trunc((x - mn) * norm) AS INTEGER) END AS i0 FROM v, st),
+b1 AS (SELECT x, CASE WHEN x < (CASE WHEN i0 >= {bins} THEN (SELECT mx FROM st) ELSE i0 * (SELECT step FROM st) + (SELECT mn FROM st) END)
+                      THEN i0 - 1 ELSE i0 END AS i1 FROM b0),
+b2 AS (SELECT CASE WHEN x >= (CASE WHEN i1 + 1 >= {bins} THEN (SELECT mx FROM st) ELSE (i1 + 1) * (SELECT step FROM st) + (SELECT mn FROM st) END)
+                        AND i1 <> {bins - 1} THEN i1 + 1 ELSE i1 END AS bin FROM b1),
+c AS (SELECT bin, count(*) AS cnt FROM b2 GROUP BY bin),
+g AS (SELECT CAST(i AS INTEGER) AS bin FROM st, range(0, {bins}) r(i))
+SELECT '{scale}' AS scale, g.bin,
+       {O.r(f"CASE WHEN g.bin >= {bins} THEN st.mx ELSE g.bin * st.step + st.mn END")} AS lo,
+       {O.r(f"CASE WHEN g.bin + 1 >= {bins} THEN st.mx ELSE (g.bin + 1) * st.step + st.mn END")} AS hi,
+       COALESCE(c.cnt, 0) AS count
+FROM g CROSS JOIN st LEFT JOIN c ON g.bin = c.bin)"""
+
+
+@register("a10_damage_histogram", _with(O.base_ctes()) + _hist_sql(
+    "master", "greatest(COALESCE(total_damage, 0.0::DOUBLE), 0.0::DOUBLE)", "raw") + "\nUNION ALL" + _hist_sql(
+    "master", "ln(1.0::DOUBLE + greatest(COALESCE(total_damage, 0.0::DOUBLE), 0.0::DOUBLE))", "log1p"))
+def q_hist(spark, d):
+    from panelcast.operators import report as rp
+    m = st.master_panel(spark, d)
+    return rounded(rp.histogram(m, "total_damage").unionByName(rp.histogram(m, "total_damage", transform="log1p")))
+
+
+# ---------------------------------------------------------------- suite of runs and reports (C5, U2, H, C6, R3, F8-F13)
+
+SUITE = st.suite_configs()
+
+
+def _suite_sql() -> str:
+    parts = []
+    for cfg in SUITE:
+        _, sql = _metrics_query(cfg)
+        parts.append(f"SELECT * FROM ({sql})")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _suite_spark(spark, d):
+    ft = st.feature_table(spark, d)
+    out = None
+    for cfg in SUITE:
+        m = st.baseline_metrics(spark, d, cfg, ft)
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@register("c5_suite_baseline_metrics", _suite_sql())
+def q_suite(spark, d):
+    return rounded(_suite_spark(spark, d))
+
+
+_SUITE_CTE = "WITH suite AS (" + _suite_sql() + ")\n"
+
+
+@register("h2_best_model_per_tag", _SUITE_CTE + """
+SELECT tag, model, test_RMSE FROM (
+  SELECT tag, model, test_RMSE,
+         row_number() OVER (PARTITION BY tag ORDER BY test_RMSE ASC NULLS LAST, model) AS rn FROM suite)
+WHERE rn = 1""")
+def q_best(spark, d):
+    from panelcast.operators import report as rp
+    return rp.best_model(q_suite(spark, d)).select("tag", "model", "test_RMSE")
+
+
+@register("h3_leaderboard", _SUITE_CTE + "SELECT tag, model, test_RMSE, test_MAE, test_R2 FROM suite")
+def q_board(spark, d):
+    from panelcast.operators import report as rp
+    return rp.leaderboard(q_suite(spark, d))
+
+
+@register("c6_run_comparison", _SUITE_CTE + """,
+best AS (
+  SELECT tag, model AS best_model, test_RMSE AS best_test_RMSE, test_R2 AS best_test_R2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY tag ORDER BY test_RMSE ASC NULLS LAST, model) AS rn
+    FROM suite WHERE NOT starts_with(model, 'baseline_mean')) WHERE rn = 1),
+ref AS (SELECT tag, first(test_RMSE) AS baseline_roll3_test_RMSE FROM suite
+        WHERE model = 'baseline_roll3_mean' GROUP BY tag)
+SELECT best.*, ref.baseline_roll3_test_RMSE,
+       """ + O.r("ref.baseline_roll3_test_RMSE - best.best_test_RMSE") + """ AS rmse_gain_vs_roll3
+FROM best LEFT JOIN ref USING (tag)""")
+def q_cmp(spark, d):
+    from panelcast.operators import report as rp
+    return rounded(rp.run_comparison(q_suite(spark, d), exclude_prefix="baseline_mean"))
+
+
+_MODELS3 = ["baseline_last_year", "baseline_mean_train", "baseline_roll3_mean"]
+
+
+@register("r3_pivot_suite_rmse", _SUITE_CTE + "SELECT tag, " + ", ".join(
+    f"{O.r(f'avg(CASE WHEN model = {chr(39)}{m}{chr(39)} THEN test_RMSE END)')} AS {m}" for m in _MODELS3)
+    + " FROM suite GROUP BY tag")
+def q_pivot(spark, d):
+    from panelcast.operators.reshape import pivot_mean
+    return rounded(pivot_mean(q_suite(spark, d), "tag", "model", "test_RMSE", _MODELS3))
+
+
+@register("f8_f13_config_from_metrics", _SUITE_CTE + """
+SELECT tag, model,
+  CASE WHEN contains(lower(tag), 'nowcast') THEN 'nowcast' ELSE 'forecast' END AS tag_mode,
+  contains(lower(tag), 'ex_post') AS tag_covid,
+  contains(lower(tag), 'withmacro') OR contains(lower(tag), 'macro') AS tag_macro,
+  contains(lower(tag), 'oil') AS tag_oil,
+  contains(lower(tag), 'restricted') AS tag_restricted,
+  CASE WHEN start_year >= 0 THEN start_year END AS start,
+  CASE WHEN isfinite(test_RMSE) THEN printf('%.3f', test_RMSE) ELSE '' END AS test_RMSE_text,
+  concat_ws('_', 'run', mode, CASE WHEN include_covid THEN 'ex_post' ELSE 'strict' END) AS tag_prefix,
+  lower(trim(CAST(include_macro AS VARCHAR))) IN ('1', 'true', 't', 'yes', 'y') AS macro_flag
+FROM suite""")
+def q_cfg(spark, d):
+    from panelcast.functions import scalar as fs
+    m = q_suite(spark, d)
+    fl = fs.tag_flags("tag")
+    return m.select("tag", "model", fl["mode"].alias("tag_mode"), fl["include_covid"].alias("tag_covid"),
+                    fl["include_macro"].alias("tag_macro"), fl["include_oil"].alias("tag_oil"),
+                    fl["restricted"].alias("tag_restricted"), fs.sentinel_to_null("start_year").alias("start"),
+                    fs.format_number3("test_RMSE").alias("test_RMSE_text"),
+                    fs.config_tag(F.lit("run"), "mode",
+                                  F.when(F.col("include_covid"), "ex_post").otherwise("strict")).alias("tag_prefix"),
+                    fs.tolerant_bool(F.col("include_macro").cast("string")).alias("macro_flag"))
+
+
+# ---------------------------------------------------------------- single-run reports
+
+_MAIN_PRED_SQL = _run_sql_prefix(MAIN) + ",\n" + O.preds_cte()
+
+
+_MX_CTE = "WITH mx AS (" + _metrics_query(MAIN)[1] + ")\n"
+
+
+@register("c7_shock_table", _MX_CTE + " UNION ALL ".join(
+    f"SELECT model, severe_threshold_damage_share_train AS threshold, '{n}' AS subset, test_count_{n} AS n, "
+    f"test_RMSE_{n} AS RMSE, test_MAE_{n} AS MAE, test_R2_{n} AS R2 FROM mx" for n in ev.SUBSETS))
+def q_shock(spark, d):
+    return ev.shock_table(rounded(st.baseline_metrics(spark, d, MAIN)))
+
+
+@register("c8_model_summary", _MX_CTE + "SELECT model, train_RMSE, test_RMSE, train_MAE, test_MAE, train_R2, test_R2 FROM mx")
+def q_summary(spark, d):
+    return ev.model_summary(rounded(st.baseline_metrics(spark, d, MAIN)))
+
+
+@register("h4_top_abs_errors", _MAIN_PRED_SQL + """
+SELECT entity, t, """ + O.r("y") + """ AS actual, """ + O.r("p") + """ AS pred, """ + O.r("y - p") + """ AS error,
+       """ + O.r("abs(y - p)") + """ AS abs_error
+FROM preds WHERE model = 'baseline_roll3_mean' AND side = 'test'
+ORDER BY abs(y - p) DESC NULLS LAST, entity, t LIMIT 10""")
+def q_top(spark, d):
+    from panelcast.operators import report as rp
+    from panelcast.plans.runs import export_predictions
+    s, _ = st.split_dataset(spark, d, MAIN)
+    ex = export_predictions(ev.baseline_predictions(s), "baseline_roll3_mean")
+    return rounded(rp.top_k(ex, "abs_error", 10, ["entity", "t"]))
+
+
+@register("m12_predictions_export", _MAIN_PRED_SQL + """
+SELECT entity, t, """ + O.r("y") + """ AS actual, """ + O.r("p") + """ AS pred, """ + O.r("y - p") + """ AS error,
+       """ + O.r("abs(y - p)") + """ AS abs_error
+FROM preds WHERE model = 'baseline_roll3_mean' AND side = 'test'""")
+def q_export(spark, d):
+    from panelcast.plans.runs import export_predictions
+    s, _ = st.split_dataset(spark, d, MAIN)
+    return rounded(export_predictions(ev.baseline_predictions(s), "baseline_roll3_mean"))
+
+
+@register("c10_error_vs_proxy", _MAIN_PRED_SQL + """
+SELECT p.entity, p.t, """ + O.r("p.y - p.p") + """ AS error, """ + O.r("f.damage_share_gdp_lag1") + """ AS damage_share_gdp_lag1
+FROM preds p LEFT JOIN feat f ON p.entity = f.entity AND p.t = f.t
+WHERE p.model = 'baseline_roll3_mean' AND p.side = 'test'""")
+def q_proxy(spark, d):
+    from panelcast.operators import report as rp
+    from panelcast.plans.runs import export_predictions
+    ft = st.feature_table(spark, d)
+    s, _ = st.split_dataset(spark, d, MAIN, ft)
+    ex = export_predictions(ev.baseline_predictions(s), "baseline_roll3_mean")
+    return rounded(rp.error_vs_proxy(ex, ft))
+
+
+@register("m4_ols_one_feature", _run_sql_prefix(MAIN) + """
+SELECT entity, """ + O.r("regr_slope(y, gdp_growth_lag1)") + """ AS slope,
+       """ + O.r("regr_intercept(y, gdp_growth_lag1)") + """ AS intercept,
+       CAST(regr_count(y, gdp_growth_lag1) AS BIGINT) AS n
+FROM sp WHERE side = 'train' GROUP BY entity""")
+def q_ols1(spark, d):
+    s, _ = st.split_dataset(spark, d, MAIN)
+    tr_ = s.filter(F.col("side") == "train")
+    return rounded(tr_.groupBy("entity").agg(F.regr_slope("y", "gdp_growth_lag1").alias("slope"),
+                                             F.regr_intercept("y", "gdp_growth_lag1").alias("intercept"),
+                                             F.regr_count("y", "gdp_growth_lag1").alias("n")))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
