@@ -106,15 +106,18 @@ def add_event_derivations(panel: DataFrame, level_col: str = "gdp") -> DataFrame
                  .withColumn("has_disaster", presence_flag("n_events")))
 
 
-def build_master_panel(level: DataFrame, growth: DataFrame, events: DataFrame | None = None,
+def build_master_panel(level: DataFrame, growth: DataFrame | None, events: DataFrame | None = None,
                        macro: Sequence[DataFrame] | DataFrame | None = None,
                        global_series: DataFrame | None = None, *,
                        event_aggregates: DataFrame | None = None,
                        decimal_scale: int | None = None,
                        keys: Sequence[str] = KEYS) -> DataFrame:
     """Master panel = level x growth (inner) + event aggregates (left, zeros) +
-    macro block (left) + global series (left on time) + F1-F3."""
-    panel = join_target(level, growth, keys)
+    macro block (left) + global series (left on time) + F1-F3.
+
+    ``growth=None``: ``level`` already carries the target (and possibly the macro
+    columns), e.g. when both come from one aggregate of the same fact table."""
+    panel = level if growth is None else join_target(level, growth, keys)
     agg = event_aggregates
     if agg is None and events is not None:
         agg = aggregate_events(events, keys, decimal_scale=decimal_scale)

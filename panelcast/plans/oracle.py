@@ -115,8 +115,9 @@ master AS (
   LEFT JOIN oil o ON l.t = o.t)"""
 
 
-def feat_cte(src: str = "master", cutoff: int = tp.REGIME_CUTOFF) -> str:
-    lags = ",\n    ".join(f"lag({c}, 1) OVER w AS {c}_lag1" for c in fe.TO_LAG if c != "oil_price_usd_change")
+def feat_cte(src: str = "master", cutoff: int = tp.REGIME_CUTOFF, lag_cols=None) -> str:
+    cols = [c for c in (lag_cols or fe.TO_LAG) if c != "oil_price_usd_change"]
+    lags = ",\n    ".join(f"lag({c}, 1) OVER w AS {c}_lag1" for c in cols)
     return f"""
 feat AS (
   SELECT *,
@@ -252,3 +253,45 @@ SELECT met.*, {", ".join(extra)} FROM met"""
 def select_rounded(cols: list[str], doubles: set[str], src: str, where: str = "") -> str:
     items = ", ".join(f"{r(c)} AS {c}" if c in doubles else c for c in cols)
     return f"SELECT {items} FROM {src}{(' WHERE ' + where) if where else ''}"
+
+
+def speed_base_ctes() -> str:
+    """Supplier x month panel (no macro block)."""
+    return f"""
+lvl AS (
+  SELECT l_suppkey AS entity, {month('l_shipdate')} AS t,
+         CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS gdp
+  FROM lineitem GROUP BY 1, 2),
+gr AS (
+  SELECT entity, t, gdp_growth FROM (
+    SELECT entity, t, 100.0{D} * (gdp / lag(gdp, 1) OVER (PARTITION BY entity ORDER BY t) - 1.0{D}) AS gdp_growth
+    FROM lvl) WHERE gdp_growth IS NOT NULL),
+ev AS (
+  SELECT l_suppkey AS entity, {month('l_shipdate')} AS t, l_quantity AS deaths,
+         CASE WHEN l_tax <> 0 THEN l_extendedprice / 1000.0{D} * 1000.0{D} END AS damage_usd,
+         CASE WHEN l_discount <> 0 THEN l_discount END AS magnitude
+  FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40),
+evagg AS (
+  SELECT entity, t, COUNT(*) AS n_events,
+    CAST(SUM(CAST(COALESCE(deaths, 0.0{D}) AS DECIMAL(38,6))) AS DOUBLE) AS total_deaths,
+    CAST(SUM(CAST(COALESCE(damage_usd, 0.0{D}) AS DECIMAL(38,6))) AS DOUBLE) AS total_damage,
+    COALESCE(CAST(SUM(CAST(COALESCE(magnitude, 0.0{D}) AS DECIMAL(38,6))) AS DOUBLE) / COUNT(*), 0.0{D}) AS avg_magnitude
+  FROM ev GROUP BY entity, t),
+oil AS (
+  SELECT {month('l_shipdate')} AS t,
+         CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS {tp.GLOBAL_COLUMN}
+  FROM lineitem GROUP BY 1),
+master AS (
+  SELECT l.entity, l.t, l.gdp, g.gdp_growth,
+    COALESCE(e.n_events, 0) AS n_events,
+    COALESCE(e.total_deaths, 0.0{D}) AS total_deaths,
+    COALESCE(e.total_damage, 0.0{D}) AS total_damage,
+    COALESCE(e.avg_magnitude, 0.0{D}) AS avg_magnitude,
+    o.{tp.GLOBAL_COLUMN},
+    ln(1.0{D} + COALESCE(e.total_damage, 0.0{D})) AS log_total_damage,
+    CASE WHEN COALESCE(l.gdp, 0.0{D}) > 0 THEN COALESCE(e.total_damage, 0.0{D}) / l.gdp ELSE 0.0{D} END
+      AS damage_share_gdp,
+    CAST(COALESCE(e.n_events, 0) > 0 AS INTEGER) AS has_disaster
+  FROM lvl l JOIN gr g ON l.entity = g.entity AND l.t = g.t
+  LEFT JOIN evagg e ON l.entity = e.entity AND l.t = e.t
+  LEFT JOIN oil o ON l.t = o.t)"""

@@ -62,6 +62,12 @@ def q_master(spark, d):
     return rounded(st.master_panel(spark, d))
 
 
+@register("c1_master_panel_join_chain",
+          _with(O.base_ctes()) + "\n" + O.select_rounded(O.MASTER_COLUMNS, O.MASTER_DOUBLES, "master"))
+def q_master_joins(spark, d):
+    return rounded(st.master_panel_joins(spark, d))
+
+
 @register("s3_clean_events", _with(O.base_ctes()) + "\n" + O.select_rounded(
     ["entity", "t", "deaths", "damage_usd_thousands", "damage_usd", "magnitude"],
     {"deaths", "damage_usd_thousands", "damage_usd", "magnitude"}, "ev"))
@@ -505,6 +511,115 @@ def q_ols1(spark, d):
                                              F.regr_count("y", "gdp_growth_lag1").alias("n")))
 
 
+# ---------------------------------------------------------------- supplier-scale panel (speed runs)
+
+SPEED_LAGS = [c for c in fe.TO_LAG if c not in tp.MACRO_COLUMNS]
+SPEED_FEAT_COLUMNS = [c for c in O.FEATURE_COLUMNS if c not in tp.MACRO_COLUMNS
+                      and c not in {f"{m}_lag1" for m in tp.MACRO_COLUMNS}]
+
+
+def _speed_sql(cfg: RunConfig) -> str:
+    feats = fe.feature_list(SPEED_FEAT_COLUMNS, include_oil=cfg.include_oil, include_macro=cfg.include_macro,
+                            include_covid=cfg.include_covid, mode=cfg.mode)
+    meta = ev.run_metadata(cfg.tag, cfg.mode, cfg.include_macro, cfg.include_oil, cfg.include_covid,
+                           cfg.start, cfg.test_ratio, len(feats))
+    return (_with(O.speed_base_ctes(), O.feat_cte(lag_cols=SPEED_LAGS), O.ds_cte(feats, cfg.start),
+                  O.split_ctes(cfg.test_ratio)) + ",\n" + O.preds_cte() + ",\n" + O.thr_cte(cfg.severe_q) + ","
+            + O.metrics_select(meta, cfg.severe_q))
+
+
+SPEED = RunConfig(tag="speed_supplier_forecast_oil", include_oil=True)
+
+
+def speed_features(spark, d):
+    return fe.add_features(st.speed_master_panel(spark, d), regime_cutoff=tp.REGIME_CUTOFF)
+
+
+@register("speed_supplier_baseline_metrics", _speed_sql(SPEED))
+def q_speed(spark, d):
+    return rounded(st.baseline_metrics(spark, d, SPEED, speed_features(spark, d)))
+
+
+# ---------------------------------------------------------------- models (rows-only checks: no exact SQL)
+
+_RUNS: dict = {}
+
+
+def _run(spark, d, cfg: RunConfig, key: str, **kw):
+    """One run per (session, data, config, model set), reused by the queries below."""
+    from panelcast.plans import runs
+    k = (id(spark), d, cfg, key)
+    if k not in _RUNS:
+        split, feats = st.split_dataset(spark, d, cfg)
+        _RUNS[k] = (runs.run_all_models(spark, split, feats, cfg, **kw), split)
+    return _RUNS[k]
+
+
+def _linear_run(spark, d):
+    return _run(spark, d, MAIN, "linear", models=("linear_regression", "ridge"))
+
+
+def _all_run(spark, d):
+    return _run(spark, d, MAIN, "all")
+
+
+@register("m4_m5_linear_metrics", None)
+def q_linear(spark, d):
+    return rounded(_linear_run(spark, d)[0].metrics)
+
+
+@register("m6_m7_all_model_metrics", None)
+def q_all_models(spark, d):
+    return rounded(_all_run(spark, d)[0].metrics)
+
+
+@register("m10_cv_report", None)
+def q_cv(spark, d):
+    return rounded(_all_run(spark, d)[0].cv)
+
+
+@register("r3_cv_stability_pivot", None)
+def q_cv_pivot(spark, d):
+    from panelcast.operators import report as rp
+    return rounded(rp.cv_stability(_all_run(spark, d)[0].cv,
+                                   ["linear_regression", "ridge", "random_forest", "gradient_boosting"]))
+
+
+@register("c6_run_comparison_models", None)
+def q_cmp_models(spark, d):
+    from panelcast.operators import report as rp
+    return rounded(rp.run_comparison(_all_run(spark, d)[0].metrics))
+
+
+@register("m11_permutation_importance", None)
+def q_importance(spark, d):
+    from panelcast.plans import runs
+    res, split = _linear_run(spark, d)
+    return rounded(runs.importance_for(res, split, "ridge", n_repeats=30))
+
+
+@register("m12_model_predictions", None)
+def q_model_preds(spark, d):
+    from panelcast.plans import runs
+    return rounded(runs.export_predictions(_all_run(spark, d)[0].predictions, "ridge"))
+
+
+@register("m8_rf_grid_search", None)
+def q_rf_grid(spark, d):
+    from panelcast.operators import trees as tr
+    res, _ = _run(spark, d, MAIN, "rf_tuned", models=("random_forest",), tune_rf=True, cv=False,
+                  rf_grid={"numTrees": [20], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2]})
+    return tr.best_params_frame(spark, res.best_params["random_forest"]).withColumn("tag", F.lit(MAIN.tag))
+
+
+@register("m9_gb_grid_search", None)
+def q_gb_grid(spark, d):
+    from panelcast.operators import trees as tr
+    res, _ = _run(spark, d, MAIN, "gb_tuned", models=("gradient_boosting",), tune_gb=True, cv=False,
+                  gb_grid={"stepSize": [0.05, 0.1], "maxDepth": [2, 3], "maxIter": [20]})
+    return tr.best_params_frame(spark, res.best_params["gradient_boosting"]).withColumn("tag", F.lit(MAIN.tag))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -143,6 +143,45 @@ def macro_series(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return out
 
 
+def order_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order-based measure of the panel in ONE aggregate per (entity, t): the
+    level and the five macro inputs.  lineitem is reduced to one row per order first;
+    orders and the reduced lines are both partitioned by order key, so the join adds
+    no shuffle of its own."""
+    li = (read_table(spark, sf_dir, "lineitem")
+          .groupBy("l_orderkey")
+          .agg(F.sum(F.col("l_discount").cast(DEC)).alias("sum_disc"),
+               F.sum(F.col("l_quantity").cast(DEC)).alias("sum_qty"),
+               F.count(F.lit(1)).alias("n_lines"))
+          .withColumnRenamed("l_orderkey", "o_orderkey"))
+    return (order_facts(spark, sf_dir).join(li, "o_orderkey", "left")
+            .groupBy("entity", "t")
+            .agg(F.sum(F.col("o_totalprice").cast(DEC)).cast("double").alias("gdp"),
+                 F.count(F.lit(1)).alias("n_orders"),
+                 F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"),
+                 F.sum(F.col("c_acctbal").cast(DEC)).alias("sum_bal"),
+                 F.sum("sum_disc").alias("sd"), F.sum("sum_qty").alias("sq"),
+                 F.sum("n_lines").alias("nl")))
+
+
+def wide_level_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, t, gdp, gdp_growth, five macro columns) from one aggregate.
+
+    Level and target come from the same table, so J1 (inner join level x growth)
+    reduces to the growth window plus dropping rows without growth; the macro block
+    (J3 + J4) is a projection of the same row.  Same rows as the join chain."""
+    f = order_month_facts(spark, sf_dir)
+    w = Window.partitionBy("entity").orderBy("t")
+    exprs = [F.col("sd").cast("double") / F.col("nl"), F.col("sq").cast("double") / F.col("nl"),
+             F.col("n_urgent") / F.col("n_orders"), F.col("sum_bal").cast("double") / F.col("n_orders"),
+             F.col("n_orders").cast("double")]
+    macro = [F.when(F.col("t") >= FIRST_PERIOD + MACRO_STAGGER * k, e).alias(name)
+             for k, (name, e) in enumerate(zip(MACRO_COLUMNS, exprs))]
+    g = F.lit(100.0) * (F.col("gdp") / F.lag("gdp", 1).over(w) - F.lit(1.0))
+    return (f.select("entity", "t", "gdp", g.alias("gdp_growth"), *macro)
+             .filter(F.col("gdp_growth").isNotNull()))
+
+
 def global_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, oil_price_usd): mean extended price of lines shipped in the month."""
     li = read_table(spark, sf_dir, "lineitem")
