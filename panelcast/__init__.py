@@ -1,0 +1,3 @@
+"""panelcast: panel forecasting analytics on Spark (DataFrame / SQL / MLlib)."""
+
+__version__ = "0.1.0"

@@ -8,6 +8,7 @@ cell becomes NULL instead of failing the job.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,21 +25,23 @@ def _read(spark: SparkSession, path: str, fmt: str, skip_rows: int = 0, header:
         return spark.read.parquet(path)
     if skip_rows == 0:
         return spark.read.option("header", header).option("inferSchema", False).csv(path)
-    # preamble rows: read headerless text, drop the first rows, take the next as header
-    raw = spark.read.option("header", False).option("inferSchema", False).csv(path)
-    return _promote_header(raw, skip_rows)
-
-
-def _promote_header(raw: DataFrame, skip_rows: int) -> DataFrame:
-    """Skip ``skip_rows`` lines and use the next one as column names.  Row ids increase
-    with the file offset (partitions follow the file's splits), so the first ids are
-    the first lines; only those few header lines reach the driver."""
-    indexed = raw.withColumn("__pos", F.monotonically_increasing_id())
-    head = indexed.orderBy("__pos").limit(skip_rows + 1).collect()     # a few header lines only
-    names = [str(v) if v is not None else f"_c{i}" for i, v in enumerate(list(head[skip_rows])[:-1])]
-    cut = head[skip_rows]["__pos"]
-    body = indexed.filter(F.col("__pos") > cut).drop("__pos")
-    return body.toDF(*names)
+    return _read_after_preamble(spark, path, skip_rows)
+
+
+def _read_after_preamble(spark: SparkSession, path: str, skip_rows: int) -> DataFrame:
+    """CSV whose first ``skip_rows`` lines (blank ones included) are a preamble: read
+    lines as text, take the next line as the header, parse the rest with
+    ``from_csv`` into all-string columns.  Row ids increase with the file offset, so
+    the first ids are the first lines; only the header lines reach the driver."""
+    lines = spark.read.text(path).withColumn("__pos", F.monotonically_increasing_id())
+    head = lines.orderBy("__pos").limit(skip_rows + 1).collect()
+    if len(head) <= skip_rows:
+        raise ValueError(f"{path}: fewer than {skip_rows + 1} lines")
+    names = next(csv.reader([head[skip_rows]["value"]]))
+    ddl = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    body = (lines.filter((F.col("__pos") > F.lit(head[skip_rows]["__pos"])) & (F.trim("value") != ""))
+                 .select(F.from_csv("value", ddl).alias("r")))
+    return body.select(*[F.col("r")[f"c{i}"].alias(n) for i, n in enumerate(names)])
 
 
 def load_wide_indicator(spark: SparkSession, path: str, value_name: str, entities: Iterable[str] | None = None,

@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference reads whole files and has no watermark, window, state or late-data
+code, so nothing here is streamed.  Every operator is a batch DataFrame function.
+"""
