@@ -157,7 +157,8 @@ def fold_medians(rows: DataFrame, features: Sequence[str], fold_ends: Sequence[o
 
 def fit_linear_folds(rows: DataFrame, features: Sequence[str], fold_ends: Sequence[object],
                      alphas: Mapping[str, float], *, time_col: str = "t", y: str = "y",
-                     rcond: float = 1e-10, medians: Mapping | None = None) -> dict[tuple[str, int], LinearFit]:
+                     rcond: float = 1e-10, medians: Mapping | None = None,
+                     keep_empty: bool = True) -> dict[tuple[str, int], LinearFit]:
     """Fit every model in ``alphas`` (0 = least squares) on every expanding fold and on
     the full set in one Gram scan.
 
@@ -183,7 +184,7 @@ def fit_linear_folds(rows: DataFrame, features: Sequence[str], fold_ends: Sequen
         G = total if fold == -1 else sum((g for b, g in grams.items() if b <= fold), np.zeros((d, d)))
         m = np.array([np.nan if med.get((fold, c)) is None else med[(fold, c)] for c in feats])
         for name, alpha in alphas.items():
-            out[(name, fold)] = solve_from_gram(G, feats, m, shift, y_shift, alpha, rcond)
+            out[(name, fold)] = solve_from_gram(G, feats, m, shift, y_shift, alpha, rcond, keep_empty)
     return out
 
 

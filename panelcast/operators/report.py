@@ -114,10 +114,15 @@ def eda_events(panel: DataFrame) -> DataFrame:
 
 
 def error_vs_proxy(predictions: DataFrame, features: DataFrame,
-                   proxy: str = "damage_share_gdp_lag1") -> DataFrame:
-    """Prediction errors joined to a disaster proxy of the same (entity, t)."""
-    return (predictions.join(features.select("entity", "t", proxy), ["entity", "t"], "left")
-                       .select("entity", "t", "error", proxy))
+                   proxy: str = "damage_share_gdp_lag1", fallback: str | None = "n_events_lag1") -> DataFrame | None:
+    """Prediction errors joined to a disaster proxy of the same (entity, t).
+    When the proxy column is absent, ``fallback`` (event count, side B) is used;
+    ``fallback=None`` returns None (side A: no figure)."""
+    col = proxy if proxy in features.columns else fallback
+    if col is None or col not in features.columns:
+        return None
+    return (predictions.join(features.select("entity", "t", col), ["entity", "t"], "left")
+                       .select("entity", "t", "error", col))
 
 
 def cv_stability(cv: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
