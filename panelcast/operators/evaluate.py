@@ -62,25 +62,24 @@ def severe_threshold(split: DataFrame, q: float = 0.85, *, fallback: str = "zero
     tr = split.filter(F.col(side_col) == "train")
     tr = with_shock_proxies(tr) if "dmg" not in tr.columns else tr
     pos = tr.filter(is_finite("dmg") & (F.col("dmg") > 0)).select("dmg")
-    # count and exact quantile of the positives in one row, read through ONE subquery
-    q_pos = grouped_quantile(pos, "dmg", q).select(F.col("n").alias("n_pos"), F.col("quantile").alias("q"))
+    # one-row tables combined by one-row joins: no subquery inside the threshold row
     spark = split.sparkSession
-    one = spark.range(1).select(F.lit(0).alias("__k"))
-    pos_row = one.join(q_pos.withColumn("__k", F.lit(0)), "__k", "left").select(
-        F.struct(F.coalesce(F.col("n_pos"), F.lit(0)).alias("n_pos"), F.col("q").alias("q")).alias("s"))
-    sc = pos_row.scalar()
-    n_pos, qv = sc["n_pos"], sc["q"]
-    if fallback == "zero":
+    q_pos = grouped_quantile(pos, "dmg", q).select(F.col("n").alias("n_pos"), F.col("quantile").alias("q"))
+    row = spark.range(1).select(F.lit(1).alias("__k")).join(q_pos.withColumn("__k", F.lit(1)), "__k", "left")
+    if fallback == "all":
+        q_all = grouped_quantile(tr.filter(is_finite("dmg")).select("dmg"), "dmg", q).select(
+            F.col("quantile").alias("q_all")).withColumn("__k", F.lit(1))
+        row = row.join(q_all, "__k", "left")
+        fb = F.greatest(F.coalesce(F.col("q_all"), F.lit(0.0)), F.lit(0.0))
+    elif fallback == "zero":
         fb = F.lit(0.0)
-    elif fallback == "all":
-        q_all = grouped_quantile(tr.filter(is_finite("dmg")).select("dmg"), "dmg", q).select("quantile").scalar()
-        fb = F.coalesce(q_all, F.lit(0.0))
     elif fallback == "none":
         fb = F.lit(None).cast("double")
     else:
         raise ValueError("fallback must be 'zero', 'all' or 'none'")
-    thr = F.when(n_pos >= min_pos, F.greatest(qv, F.lit(0.0))).otherwise(fb)
-    return spark.range(1).select(thr.alias("threshold"), n_pos.cast("bigint").alias("n_pos"))
+    n_pos = F.coalesce(F.col("n_pos"), F.lit(0)).cast("bigint")
+    thr = F.when(n_pos >= min_pos, F.greatest(F.col("q"), F.lit(0.0))).otherwise(fb)
+    return row.select(thr.alias("threshold"), n_pos.alias("n_pos"))
 
 
 def _r2(cond: Column, e2: Column, y: Column) -> Column:

@@ -48,10 +48,22 @@ def split_summary(ds: DataFrame, test_ratio: float = 0.2, time_col: str = "t",
 
 
 def chrono_split(ds: DataFrame, test_ratio: float = 0.2, time_col: str = "t",
-                 min_periods: int = 5, side_col: str = "side") -> DataFrame:
+                 min_periods: int = 5, side_col: str = "side", lazy: bool = False) -> DataFrame:
     """Add ``side`` = 'train' for the first ``floor(n*(1-ratio))`` periods (clamped
-    to [1, n-1]), else 'test'.  Fewer than ``min_periods`` periods raise at run time."""
-    cut_t = split_summary(ds, test_ratio, time_col, min_periods).select("train_end_t").scalar()
+    to [1, n-1]), else 'test'.  Fewer than ``min_periods`` periods raise.
+
+    The cut is one period value computed from the distinct-period table and handed to
+    the fact rows as a literal (one bounded value reaches the driver), so no plan built
+    on the split nests a subquery.  ``lazy=True`` keeps it as a scalar subquery."""
+    summary = split_summary(ds, test_ratio, time_col, min_periods)
+    if lazy:
+        cut_t = summary.select("train_end_t").scalar()
+    else:
+        row = summary.first()
+        if row is None or row["n_periods"] is None or row["n_periods"] < min_periods:
+            raise ValueError("Not enough periods to create a meaningful train/test split "
+                             f"(need >= {min_periods}).")
+        cut_t = F.lit(row["train_end_t"])
     return ds.withColumn(side_col, F.when(F.col(time_col) <= cut_t, F.lit("train")).otherwise(F.lit("test")))
 
 

@@ -176,10 +176,14 @@ preds AS (
   FROM sp)"""
 
 
-def thr_cte(q: float = 0.85, min_pos: int = 3) -> str:
+def thr_cte(q: float = 0.85, min_pos: int = 3, fallback: str = "zero") -> str:
+    fb = {"zero": f"0.0{D}",
+          "all": f"greatest(COALESCE((SELECT quantile_cont(dmg, {q!r}) FROM sp WHERE side = 'train' "
+                 f"AND isfinite(dmg)), 0.0{D}), 0.0{D})",
+          "none": "CAST(NULL AS DOUBLE)"}[fallback]
     return f"""
 thr AS (
-  SELECT CASE WHEN count(*) >= {min_pos} THEN greatest(quantile_cont(dmg, {q!r}), 0.0{D}) ELSE 0.0{D} END
+  SELECT CASE WHEN count(*) >= {min_pos} THEN greatest(quantile_cont(dmg, {q!r}), 0.0{D}) ELSE {fb} END
            AS threshold,
          count(*) AS n_pos
   FROM sp WHERE side = 'train' AND dmg > 0 AND isfinite(dmg))"""

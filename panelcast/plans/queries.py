@@ -217,15 +217,22 @@ def q_thr(spark, d):
 
 
 def _metrics_query(cfg: RunConfig):
-    sql = _run_sql_prefix(cfg) + ",\n" + O.preds_cte() + ",\n" + O.thr_cte(cfg.severe_q) + "," + \
-        O.metrics_select(_meta(cfg), cfg.severe_q)
+    sql = _run_sql_prefix(cfg) + ",\n" + O.preds_cte() + ",\n" + \
+        O.thr_cte(cfg.severe_q, cfg.min_pos, cfg.fallback) + "," + \
+        O.metrics_select(_meta(cfg), cfg.severe_q, subset_min_n=cfg.subset_min_n)
 
     def build(spark, d):
         return rounded(st.baseline_metrics(spark, d, cfg))
     return build, sql
 
 
-for _name, _cfg in [("c4_baseline_metrics_main", MAIN), ("c4_baseline_metrics_full", FULL)]:
+# side B of the reference: q = 0.75, quantile of all train values below 5 positives,
+# subset metrics only from 2 rows on
+SIDE_B = RunConfig(tag="run_forecast_strict_main_side_b", severe_q=0.75, fallback="all", min_pos=5,
+                   subset_min_n=2)
+
+for _name, _cfg in [("c4_baseline_metrics_main", MAIN), ("c4_baseline_metrics_full", FULL),
+                    ("c4_baseline_metrics_side_b", SIDE_B)]:
     _b, _s = _metrics_query(_cfg)
     register(_name, _s)(_b)
 
@@ -563,8 +570,8 @@ def _run(spark, d, cfg: RunConfig, key: str, **kw):
     from panelcast.plans import runs
     k = (id(spark), d, cfg, key)
     if k not in _RUNS:
-        split, feats = st.split_dataset(spark, d, cfg)
-        _RUNS[k] = (runs.run_all_models(spark, split, feats, cfg, **kw), split)
+        split, feats = st.split_dataset(spark, d, cfg, checkpoint=True)
+        _RUNS[k] = (runs.run_all_models(spark, split, feats, cfg, checkpoint=False, **kw), split)
     return _RUNS[k]
 
 

@@ -150,10 +150,10 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
     for part in preds[1:]:
         long = long.unionByName(part.select(*long.columns))
 
-    thr = ev.severe_threshold(s, cfg.severe_q, fallback=cfg.fallback)
+    thr = ev.severe_threshold(s, cfg.severe_q, fallback=cfg.fallback, min_pos=cfg.min_pos)
     meta = ev.run_metadata(cfg.tag, cfg.mode, cfg.include_macro, cfg.include_oil, cfg.include_covid,
                            cfg.start, cfg.test_ratio, len(feats))
-    metrics = ev.metrics_table(long, thr, severe_q=cfg.severe_q, meta=meta)
+    metrics = ev.metrics_table(long, thr, severe_q=cfg.severe_q, subset_min_n=cfg.subset_min_n, meta=meta)
     if cv_df is None:
         cv_df = spark.createDataFrame([], "fold int, model string, train_RMSE double, val_RMSE double, "
                                           "train_R2 double, val_R2 double, status string")
@@ -163,8 +163,8 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
 
 def run_config(spark: SparkSession, sf_dir: str, cfg: RunConfig, features: DataFrame | None = None,
                **kw) -> RunResult:
-    split, feats = st.split_dataset(spark, sf_dir, cfg, features)
-    return run_all_models(spark, split, feats, cfg, **kw)
+    split, feats = st.split_dataset(spark, sf_dir, cfg, features, checkpoint=True)
+    return run_all_models(spark, split, feats, cfg, checkpoint=False, **kw)
 
 
 def run_suite(spark: SparkSession, sf_dir: str, configs: Sequence[RunConfig], **kw) -> DataFrame:
