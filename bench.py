@@ -25,6 +25,7 @@ HEADLINE = [
     "c5_suite_baseline_metrics",        # four specifications over one feature table
     "speed_supplier_baseline_metrics",  # supplier x month panel (largest panel)
     "m4_m5_linear_metrics",             # OLS + ridge, 5 expanding folds from one Gram scan
+    "speed_supplier_linear_metrics",    # the same on the supplier panel
     "a10_damage_histogram",
     "w8_fold_rows",
 ]

@@ -56,10 +56,6 @@ class LinearFit:
         return expr
 
 
-def _gram_schema(d: int) -> str:
-    return "block int, g array<double>"
-
-
 def block_grams(df: DataFrame, features: Sequence[str], shift: np.ndarray, y_shift: float,
                 block_col: str = "block", y: str = "y") -> dict[int, np.ndarray]:
     """Per-block Gram of v = [coalesce(x-c,0) (p), missing (p), 1, y-c_y]; partial per
@@ -91,7 +87,7 @@ def block_grams(df: DataFrame, features: Sequence[str], shift: np.ndarray, y_shi
             yield pd.DataFrame({"block": list(acc.keys()),
                                 "g": [m.ravel().tolist() for m in acc.values()]})
 
-    parts = df.select(*cols).mapInPandas(partial, _gram_schema(d))
+    parts = df.select(*cols).mapInPandas(partial, "block int, g array<double>")
     summed = (parts.select("block", F.posexplode("g").alias("pos", "val"))
                    .groupBy("block", "pos").agg(F.sum("val").alias("val")))
     out: dict[int, np.ndarray] = {}

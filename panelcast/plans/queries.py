@@ -560,6 +560,25 @@ def q_speed(spark, d):
     return rounded(st.baseline_metrics(spark, d, SPEED, speed_features(spark, d)))
 
 
+_SPEED_FEAT_DOUBLES = (_FEAT_DOUBLES - set(tp.MACRO_COLUMNS)) - {f"{m}_lag1" for m in tp.MACRO_COLUMNS}
+
+
+@register("speed_supplier_feature_table",
+          _with(O.speed_base_ctes(), O.feat_cte(lag_cols=SPEED_LAGS)) + "\n"
+          + O.select_rounded(SPEED_FEAT_COLUMNS, _SPEED_FEAT_DOUBLES, "feat"))
+def q_speed_features(spark, d):
+    return rounded(speed_features(spark, d).select(*SPEED_FEAT_COLUMNS))
+
+
+@register("speed_supplier_linear_metrics", None)
+def q_speed_linear(spark, d):
+    from panelcast.plans import runs
+    split, feats = st.split_dataset(spark, d, SPEED, speed_features(spark, d), checkpoint=True)
+    res = runs.run_all_models(spark, split, feats, SPEED, models=("linear_regression", "ridge"),
+                              checkpoint=False)
+    return rounded(res.metrics)
+
+
 # ---------------------------------------------------------------- models (rows-only checks: no exact SQL)
 
 _RUNS: dict = {}

@@ -25,16 +25,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    cpus = os.cpu_count() or 8
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.driver.memory", os.environ.get("PANELCAST_DRIVER_MEMORY", "16g")))
+          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if master is None or master.startswith("local"):
+        # single JVM: partitions ~ cores, memory is the driver's.  On a cluster the
+        # cluster's shuffle-partition setting stays and AQE coalesces small stages.
+        cpus = os.cpu_count() or 8
+        b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+              .config("spark.driver.memory", os.environ.get("PANELCAST_DRIVER_MEMORY", "16g")))
+    elif shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -39,7 +39,6 @@ REGIME_CUTOFF = 24000         # January 2000: role of the 2020 regime dummy
 RESTRICTED_START = 23964      # January 1997: role of the 1992 restricted sample
 
 DEC = "decimal(18,2)"
-DEC6 = "decimal(24,6)"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
