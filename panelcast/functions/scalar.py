@@ -33,7 +33,7 @@ def safe_double(c) -> Column:
 
 def safe_int(c) -> Column:
     """P5: year-like text/number to int (via double, so '1995.0' is 1995)."""
-    return F.floor(safe_double(c)).cast("int")
+    return F.floor(safe_double(c)).try_cast("int")          # out of int range -> NULL, not an ANSI error
 
 
 def is_finite(c) -> Column:

@@ -167,7 +167,7 @@ SELECT max(CASE WHEN side = 'train' THEN t END) AS max_train_t,
        max(CASE WHEN side = 'train' THEN t END) < min(CASE WHEN side = 'test' THEN t END) AS chronological
 FROM sp""")
 def q_chrono(spark, d):
-    s, _ = st.split_dataset(spark, d, FULL)
+    s, _ = st.split_dataset(spark, d, FULL, checkpoint=True)
     return sp.chronology_check(s)
 
 
@@ -188,7 +188,7 @@ folds AS (
 
 @register("w8_fold_table", _run_sql_prefix(MAIN) + _FOLD_SQL + "\nSELECT * FROM folds")
 def q_folds(spark, d):
-    s, _ = st.split_dataset(spark, d, MAIN)
+    s, _ = st.split_dataset(spark, d, MAIN, checkpoint=True)
     return sp.fold_bounds(s.filter(F.col("side") == "train"))
 
 
@@ -196,7 +196,7 @@ def q_folds(spark, d):
 SELECT f.fold, CASE WHEN s.t <= f.train_end_t THEN 'train' ELSE 'val' END AS role, s.entity, s.t
 FROM sp s JOIN folds f ON s.t <= f.val_end_t WHERE s.side = 'train'""")
 def q_fold_rows(spark, d):
-    s, _ = st.split_dataset(spark, d, MAIN)
+    s, _ = st.split_dataset(spark, d, MAIN, checkpoint=True)
     return sp.assign_folds(s.filter(F.col("side") == "train")).select("fold", "role", "entity", "t")
 
 
@@ -205,14 +205,14 @@ def q_fold_rows(spark, d):
 @register("m1_m3_baseline_predictions", _run_sql_prefix(MAIN) + ",\n" + O.preds_cte()
           + "\n" + O.select_rounded(["model", "side", "entity", "t", "y", "p"], {"y", "p"}, "preds"))
 def q_preds(spark, d):
-    s, _ = st.split_dataset(spark, d, MAIN)
+    s, _ = st.split_dataset(spark, d, MAIN, checkpoint=True)
     return rounded(ev.baseline_predictions(s).select("model", "side", "entity", "t", "y", "p"))
 
 
 @register("a5_severe_threshold", _run_sql_prefix(MAIN) + ",\n" + O.thr_cte()
           + "\nSELECT " + O.r("threshold") + " AS threshold, n_pos FROM thr")
 def q_thr(spark, d):
-    s, _ = st.split_dataset(spark, d, MAIN)
+    s, _ = st.split_dataset(spark, d, MAIN, checkpoint=True)
     return rounded(ev.severe_threshold(s, 0.85))
 
 
@@ -478,7 +478,7 @@ ORDER BY abs(y - p) DESC NULLS LAST, entity, t LIMIT 10""")
 def q_top(spark, d):
     from panelcast.operators import report as rp
     from panelcast.plans.runs import export_predictions
-    s, _ = st.split_dataset(spark, d, MAIN)
+    s, _ = st.split_dataset(spark, d, MAIN, checkpoint=True)
     ex = export_predictions(ev.baseline_predictions(s), "baseline_roll3_mean")
     return rounded(rp.top_k(ex, "abs_error", 10, ["entity", "t"]))
 
@@ -489,7 +489,7 @@ SELECT entity, t, """ + O.r("y") + """ AS actual, """ + O.r("p") + """ AS pred,
 FROM preds WHERE model = 'baseline_roll3_mean' AND side = 'test'""")
 def q_export(spark, d):
     from panelcast.plans.runs import export_predictions
-    s, _ = st.split_dataset(spark, d, MAIN)
+    s, _ = st.split_dataset(spark, d, MAIN, checkpoint=True)
     return rounded(export_predictions(ev.baseline_predictions(s), "baseline_roll3_mean"))
 
 
@@ -527,7 +527,7 @@ SELECT model, side, count(*) AS n, """ + O.r("sqrt(avg((y - p) * (y - p)))") + "
                  "ELSE 1.0::DOUBLE - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) END") + """ AS R2
 FROM preds GROUP BY model, side""")
 def q_scores(spark, d):
-    s, _ = st.split_dataset(spark, d, MAIN)
+    s, _ = st.split_dataset(spark, d, MAIN, checkpoint=True)
     return rounded(ev.simple_scores(ev.baseline_predictions(s)))
 
 

@@ -33,3 +33,11 @@ def test_wide_medians(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, 4.0), (10.0, None), (20.0, 8.0)], "a double, b double")
     m = {r["feature"]: r["median"] for r in wide_medians(df, ["a", "b"]).collect()}
     assert m == {"a": 6.0, "b": 6.0}
+
+
+def test_fallback_path_is_exact(spark):
+    rng = np.random.default_rng(11)
+    vals = rng.normal(0, 1, 2001)
+    for p in (0.3, 0.5, 0.85):
+        got = q(spark, vals, p, bracket=0.0)       # zero-width bracket misses: full fallback
+        assert abs(got - float(np.quantile(vals, p))) < 1e-12, p
