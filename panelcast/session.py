@@ -55,6 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder every "
+                               "executor can reach (a machine-local folder does not survive "
+                               "executor loss)")
         configured = tempfile.mkdtemp(prefix="panelcast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
