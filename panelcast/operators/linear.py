@@ -136,6 +136,22 @@ def solve_from_gram(G: np.ndarray, features: Sequence[str], medians: np.ndarray,
     return LinearFit(list(features), med, mean, scale, coef, float(intercept), int(round(n)), alpha)
 
 
+def imputer_scaler_stats(train: DataFrame, features: Sequence[str]) -> DataFrame:
+    """A8 + A9 as a table: per feature the exact train median (fill value; 0 when the
+    column is all NULL), then the mean and population std of the filled column and the
+    scale used (std, or 1 when the std is 0).  Two grouped passes for the medians and
+    one aggregate for all means and stds."""
+    feats = list(features)
+    med = wide_medians(train, feats)
+    fills = {r["feature"]: r["median"] for r in med.collect()}       # one value per feature
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(fills.get(c) or 0.0))) for c in feats]
+    agg = train.agg(*[F.avg(x).alias(f"m{j}") for j, x in enumerate(filled)],
+                    *[F.stddev_pop(x).alias(f"s{j}") for j, x in enumerate(filled)])
+    pairs = ", ".join(f"'{c}', {float(fills.get(c) or 0.0)!r}D, `m{j}`, `s{j}`" for j, c in enumerate(feats))
+    return (agg.selectExpr(f"stack({len(feats)}, {pairs}) AS (feature, median, mean, std)")
+               .withColumn("scale", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std"))))
+
+
 def fold_medians(rows: DataFrame, features: Sequence[str], fold_ends: Sequence[object], *,
                  time_col: str = "t", y: str = "y") -> dict[tuple[int, str], float | None]:
     """Exact medians of every feature (and of ``y``) on every expanding fold's train

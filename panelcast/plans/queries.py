@@ -531,6 +531,28 @@ def q_scores(spark, d):
     return rounded(ev.simple_scores(ev.baseline_predictions(s)))
 
 
+def _stats_sql(cfg: RunConfig) -> str:
+    feats = _cfg_feats(cfg)
+    meds = ", ".join(f"COALESCE(median({c}), 0.0::DOUBLE) AS med_{c}" for c in feats)
+    parts = []
+    for c in feats:
+        x = f"COALESCE({c}, (SELECT med_{c} FROM med))"
+        parts.append(f"SELECT '{c}' AS feature, {O.r(f'(SELECT med_{c} FROM med)')} AS median, "
+                     f"{O.r(f'avg({x})')} AS mean, {O.r(f'stddev_pop({x})')} AS std, "
+                     f"{O.r(f'CASE WHEN stddev_pop({x}) = 0 THEN 1.0::DOUBLE ELSE stddev_pop({x}) END')} AS scale "
+                     f"FROM sp WHERE side = 'train'")
+    return _run_sql_prefix(cfg) + f",\nmed AS (SELECT {meds} FROM sp WHERE side = 'train')\n" + \
+        "\nUNION ALL\n".join(parts)
+
+
+@register("a8_a9_imputer_scaler_stats", _stats_sql(FULL))
+def q_imp_stats(spark, d):
+    from panelcast.operators.linear import imputer_scaler_stats
+    s, feats = st.split_dataset(spark, d, FULL, checkpoint=True)
+    return rounded(imputer_scaler_stats(s.filter(F.col("side") == "train"),
+                                        [c for c in feats]))
+
+
 # ---------------------------------------------------------------- supplier-scale panel (speed runs)
 
 SPEED_LAGS = [c for c in fe.TO_LAG if c not in tp.MACRO_COLUMNS]
@@ -607,6 +629,11 @@ def q_linear(spark, d):
     return rounded(_linear_run(spark, d)[0].metrics)
 
 
+@register("m4_m5_linear_metrics_full", None)
+def q_linear_full(spark, d):
+    return rounded(_run(spark, d, FULL, "linear", models=("linear_regression", "ridge"))[0].metrics)
+
+
 @register("m6_m7_all_model_metrics", None)
 def q_all_models(spark, d):
     return rounded(_all_run(spark, d)[0].metrics)
