@@ -163,7 +163,8 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
 
 def run_config(spark: SparkSession, sf_dir: str, cfg: RunConfig, features: DataFrame | None = None,
                **kw) -> RunResult:
-    split, feats = st.split_dataset(spark, sf_dir, cfg, features, checkpoint=True)
+    # a given feature table is already a checkpoint; otherwise checkpoint the dataset
+    split, feats = st.split_dataset(spark, sf_dir, cfg, features, checkpoint=features is None)
     return run_all_models(spark, split, feats, cfg, checkpoint=False, **kw)
 
 
