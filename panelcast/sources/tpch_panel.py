@@ -9,7 +9,7 @@ This module maps them onto the same roles (see FIXTURES.md part 2):
 * events  = large returned first lines of orders     (role of the disaster list)
 * macro   = five monthly nation aggregates, each starting at a different month
 * global  = monthly mean extended price, no entity   (role of the oil price)
-* wide    = yearly level pivoted to ``YYYY [YRYYYY]`` columns (role of the WDI extracts)
+* wide    = yearly level pivoted to ``YYYY [YRYYYY]`` columns (role of the coded indicator extracts)
 
 Everything is a lazy DataFrame; sums go through ``decimal`` so the values do not
 depend on the order in which partitions are combined.

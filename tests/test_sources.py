@@ -16,21 +16,21 @@ def write(path, text):
 def test_wide_indicator_with_preamble(spark):
     d = tempfile.mkdtemp(prefix="pc-src-")
     p = os.path.join(d, "gdp.csv")
-    write(p, "Data Source,WDI\n\nLast Updated,2024\n"
+    write(p, "Data Source,Indicators\n\nLast Updated,2024\n"
              "Country Name,Country Code,Indicator Name,Indicator Code,1990,1991,1992\n"
-             "Japan,JPN,GDP,NY.GDP,100,,x\nOther,OTH,GDP,NY.GDP,5,6,7\n")
-    out = ex.load_wide_indicator(spark, p, "gdp", ["JPN"]).orderBy("t").collect()
-    assert [(r["entity"], r["t"], r["gdp"]) for r in out] == [("JPN", 1990, 100.0)]
+             "Country A,AAA,GDP,NY.GDP,100,,x\nOther,OTH,GDP,NY.GDP,5,6,7\n")
+    out = ex.load_wide_indicator(spark, p, "gdp", ["AAA"]).orderBy("t").collect()
+    assert [(r["entity"], r["t"], r["gdp"]) for r in out] == [("AAA", 1990, 100.0)]
 
 
 def test_coded_extract_both_header_styles(spark):
     d = tempfile.mkdtemp(prefix="pc-src-")
     body = ("Series Code,Country Code,1990 [YR1990],1991 [YR1991]\n"
-            "FP.CPI,JPN,3.1,..\nFP.CPI,OTH,1,2\n,,,\n")
+            "FP.CPI,AAA,3.1,..\nFP.CPI,OTH,1,2\n,,,\n")
     write(os.path.join(d, "a.csv"), body)
     write(os.path.join(d, "b.csv"), "x\ny\nz\n" + body)
     for name in ("a.csv", "b.csv"):
-        out = ex.load_coded_extract(spark, os.path.join(d, name), "inflation", ["JPN"]).collect()
+        out = ex.load_coded_extract(spark, os.path.join(d, name), "inflation", ["AAA"]).collect()
         assert [(r["t"], r["inflation"]) for r in out] == [(1990, 3.1)]
     m = ex.load_macros(spark, {"inflation": os.path.join(d, "a.csv"), "fx": os.path.join(d, "b.csv")})
     assert m.count() == 3
@@ -42,7 +42,7 @@ def test_event_list_and_dated_series(spark):
     write(p, "Disaster Type,Disaster Subtype,Event Name,Magnitude,Magnitude Scale,Total Deaths,"
              "\"Total Damage ('000 US$)\",Start Year,Extra\n"
              "Flood,Riverine,A,5.5,km2,10,200,1995,z\nStorm,Trop,B,,kph,,-3,1996,z\nQuake,G,C,7,R,1,5,,z\n")
-    ev = ex.load_event_list(spark, p, "JPN").orderBy("t").collect()
+    ev = ex.load_event_list(spark, p, "AAA").orderBy("t").collect()
     assert len(ev) == 2
     assert ev[0]["damage_usd"] == 200000.0 and ev[1]["damage_usd"] is None and ev[1]["damage_usd_thousands"] is None
     q = os.path.join(d, "oil.csv")
