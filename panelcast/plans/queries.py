@@ -451,6 +451,24 @@ def q_cfg(spark, d):
                     fs.tolerant_bool(F.col("include_macro").cast("string")).alias("macro_flag"))
 
 
+_RESTRICTED_TAG = SUITE[1].tag
+
+
+@register("s7_s8_results_round_trip", _SUITE_CTE + f"""
+SELECT model, test_RMSE, test_MAE, test_R2, n_train, n_test, tag FROM suite WHERE tag = '{_RESTRICTED_TAG}'""")
+def q_results(spark, d):
+    """S7 + S8: the suite's metrics written as a tag-partitioned table (dynamic
+    partition overwrite) under the session's shared checkpoint folder, then one tag read
+    back (partition pruning: only that tag's files are listed and read)."""
+    import uuid
+    from panelcast.session import ensure_checkpoint_dir
+    from panelcast.sources import results as rs
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results/model_metrics_{uuid.uuid4().hex}"
+    rs.write_tagged(q_suite(spark, d).select("model", "test_RMSE", "test_MAE", "test_R2", "n_train",
+                                             "n_test", "tag"), path)
+    return rs.read_tagged(spark, path, _RESTRICTED_TAG, missing="error")
+
+
 # ---------------------------------------------------------------- single-run reports
 
 _MAIN_PRED_SQL = _run_sql_prefix(MAIN) + ",\n" + O.preds_cte()
