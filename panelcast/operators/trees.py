@@ -27,6 +27,12 @@ RF_GRID = {"numTrees": [200, 400, 600], "maxDepth": [None, 5, 10],
            "minInstancesPerNode": [1, 2], "min_samples_split": [2, 5]}
 GB_GRID = {"stepSize": [0.03, 0.05, 0.1], "maxDepth": [2, 3, 4], "maxIter": [300, 600, 1200]}
 MAX_MLLIB_DEPTH = 30     # "unlimited" depth is not available in MLlib
+# Parameter names of the reference's best-params tables and their MLlib
+# counterparts.
+PARAM_NAMES = {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
+               "min_samples_split": "min_samples_split", "learning_rate": "stepSize", "max_iter": "maxIter",
+               "l2_regularization": "l2_regularization"}
+MLLIB_TO_REFERENCE = {v: k for k, v in PARAM_NAMES.items()}
 
 
 @dataclass
@@ -119,7 +125,8 @@ def grid_search(fold_rows: DataFrame, features: Sequence[str], fold_fill: Mappin
 
 
 def best_params_frame(spark, params: Mapping, prefix: str = "model__") -> DataFrame:
-    """S7 payload: one row, one nullable column per parameter."""
-    cols = {f"{prefix}{k}": (None if v is None else float(v)) for k, v in params.items()}
+    """S7 payload: one row, one nullable column per parameter, named as in the
+    reference's tables (``model__max_depth``, ``model__n_estimators``, ...)."""
+    cols = {f"{prefix}{MLLIB_TO_REFERENCE.get(k, k)}": (None if v is None else float(v)) for k, v in params.items()}
     schema = ", ".join(f"`{k}` double" for k in cols)
     return spark.createDataFrame([tuple(cols.values())], schema)

@@ -87,7 +87,14 @@ def read_best_params(spark: SparkSession, path: str, tag: str, model: str) -> di
         rows = df.drop("tag", "model").limit(1).collect()
         if not rows:
             return {}
-        return {k.replace("model__", ""): v for k, v in rows[0].asDict().items() if v is not None}
+        from panelcast.operators.trees import PARAM_NAMES
+        out = {}
+        for k, v in rows[0].asDict().items():
+            if v is None:
+                continue
+            name = k.replace("model__", "")
+            out[PARAM_NAMES.get(name, name)] = v
+        return out
     except Exception:
         return {}
 

@@ -69,7 +69,7 @@ def test_result_tables_round_trip(spark):
         pass
     bp = os.path.join(d, "best_params")
     rs.write_tagged(spark.createDataFrame([("random_forest", 5.0, None, "run_a")],
-                                          "model string, model__maxDepth double, model__numTrees double, tag string"), bp)
+                                          "model string, model__max_depth double, model__n_estimators double, tag string"), bp)
     params = rs.read_best_params(spark, bp, "run_a", "random_forest")
     assert params == {"maxDepth": 5.0}
     from pyspark.ml.regression import RandomForestRegressor
