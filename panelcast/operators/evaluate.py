@@ -51,23 +51,24 @@ def baseline_predictions(split: DataFrame, *, lag1: str = "gdp_growth_lag1",
 
 
 def severe_threshold(split: DataFrame, q: float = 0.85, *, fallback: str = "zero", min_pos: int = 3,
-                     side_col: str = "side") -> DataFrame:
+                     side_col: str = "side", approx: bool = False) -> DataFrame:
     """A5: one row (threshold, n_pos) from TRAIN rows only.
 
     Positive finite lag-1 damage shares of train rows; exact linear quantile ``q``
     floored at 0.  With fewer than ``min_pos`` positives: ``fallback="zero"`` gives
     0.0 (side A: every event row is then severe), ``"all"`` the quantile of all train
-    values (side B), ``"none"`` NULL (empty severe group).
+    values (side B), ``"none"`` NULL (empty severe group).  ``approx=True`` uses the
+    one-pass approximate quantile instead of the exact one.
     """
     tr = split.filter(F.col(side_col) == "train")
     tr = with_shock_proxies(tr) if "dmg" not in tr.columns else tr
     pos = tr.filter(is_finite("dmg") & (F.col("dmg") > 0)).select("dmg")
     # one-row tables combined by one-row joins: no subquery inside the threshold row
     spark = split.sparkSession
-    q_pos = grouped_quantile(pos, "dmg", q).select(F.col("n").alias("n_pos"), F.col("quantile").alias("q"))
+    q_pos = grouped_quantile(pos, "dmg", q, exact=not approx).select(F.col("n").alias("n_pos"), F.col("quantile").alias("q"))
     row = spark.range(1).select(F.lit(1).alias("__k")).join(q_pos.withColumn("__k", F.lit(1)), "__k", "left")
     if fallback == "all":
-        q_all = grouped_quantile(tr.filter(is_finite("dmg")).select("dmg"), "dmg", q).select(
+        q_all = grouped_quantile(tr.filter(is_finite("dmg")).select("dmg"), "dmg", q, exact=not approx).select(
             F.col("quantile").alias("q_all")).withColumn("__k", F.lit(1))
         row = row.join(q_all, "__k", "left")
         fb = F.greatest(F.coalesce(F.col("q_all"), F.lit(0.0)), F.lit(0.0))

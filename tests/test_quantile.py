@@ -41,3 +41,10 @@ def test_fallback_path_is_exact(spark):
     for p in (0.3, 0.5, 0.85):
         got = q(spark, vals, p, bracket=0.0)       # zero-width bracket misses: full fallback
         assert abs(got - float(np.quantile(vals, p))) < 1e-12, p
+
+
+def test_approx_option_close(spark):
+    rng = np.random.default_rng(13)
+    vals = rng.normal(0, 1, 5000)
+    got = q(spark, vals, 0.5, exact=False, accuracy=10000)
+    assert abs(got - float(np.quantile(vals, 0.5))) < 0.01
