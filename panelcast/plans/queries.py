@@ -244,7 +244,7 @@ WITH y AS (
   SELECT CAST(c.c_nationkey AS VARCHAR) AS entity, CAST(year(o.o_orderdate) AS INTEGER) AS t,
          CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2)
-SELECT entity, t, """ + O.r("value") + """ AS value FROM y WHERE t BETWEEN 1995 AND 2001""")
+SELECT entity, t, """ + O.r("value") + """ AS value FROM y""")
 def q_coded(spark, d):
     from panelcast.operators.reshape import coded_extract_to_long
     return rounded(coded_extract_to_long(tp.wide_coded_extract(spark, d), "value"))
@@ -255,7 +255,7 @@ WITH y AS (
   SELECT CAST(c.c_nationkey AS VARCHAR) AS entity, CAST(year(o.o_orderdate) AS INTEGER) AS t,
          CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS gdp
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2)
-SELECT entity, t, """ + O.r("gdp") + """ AS gdp FROM y WHERE t BETWEEN 1995 AND 2001""")
+SELECT entity, t, """ + O.r("gdp") + """ AS gdp FROM y""")
 def q_plain(spark, d):
     from panelcast.operators.reshape import wide_extract_to_long
     wide = tp.wide_plain_extract(spark, d)

@@ -199,35 +199,38 @@ def yearly_level_long(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.sum(F.col("o_totalprice").cast(DEC)).cast("double").alias("value")))
 
 
-def wide_coded_extract(spark: SparkSession, sf_dir: str, years=range(1995, 2002),
+def wide_coded_extract(spark: SparkSession, sf_dir: str, years=None,
                        series_code: str = "LEVEL.ORDERS") -> DataFrame:
     """Coded wide extract: ``Series Code``, ``Country Code`` and one string column per
-    year named ``YYYY [YRYYYY]`` (values as text, as spreadsheets deliver them)."""
-    labels = [f"{y} [YR{y}]" for y in years]
+    year named ``YYYY [YRYYYY]`` (values as text, as spreadsheets deliver them).
+    ``years=None``: every year present (Spark finds the pivot values itself)."""
+    labels = None if years is None else [f"{y} [YR{y}]" for y in years]
     long = (yearly_level_long(spark, sf_dir)
             .select(F.col("entity").cast("string").alias("Country Code"),
                     F.concat(F.col("year").cast("string"), F.lit(" [YR"),
                              F.col("year").cast("string"), F.lit("]")).alias("label"),
                     F.col("value").cast("string").alias("value")))
-    return (long.groupBy("Country Code")
-                .pivot("label", labels)           # explicit values: no extra job
-                .agg(F.first("value"))
-                .select(F.lit(series_code).alias("Series Code"), "*"))
+    g = long.groupBy("Country Code")
+    g = g.pivot("label") if labels is None else g.pivot("label", labels)
+    return g.agg(F.first("value")).select(F.lit(series_code).alias("Series Code"), "*")
 
 
-def wide_plain_extract(spark: SparkSession, sf_dir: str, years=range(1995, 2002)) -> DataFrame:
-    """Plain wide extract: four id columns and one column per year named ``YYYY``."""
-    labels = [str(y) for y in years]
+def wide_plain_extract(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
+    """Plain wide extract: four id columns and one column per year named ``YYYY``
+    (every year present when ``years`` is None)."""
     long = yearly_level_long(spark, sf_dir).select(
         F.col("entity").cast("string").alias("Country Code"),
         F.col("year").cast("string").alias("label"),
         F.col("value").cast("string").alias("value"))
-    return (long.groupBy("Country Code").pivot("label", labels).agg(F.first("value"))
-                .select(F.concat(F.lit("nation "), F.col("Country Code")).alias("Country Name"),
-                        "Country Code",
-                        F.lit("Order value").alias("Indicator Name"),
-                        F.lit("LEVEL.ORDERS").alias("Indicator Code"),
-                        *labels))
+    g = long.groupBy("Country Code")
+    wide = (g.pivot("label") if years is None else g.pivot("label", [str(y) for y in years])).agg(
+        F.first("value"))
+    labels = [c for c in wide.columns if c != "Country Code"]
+    return wide.select(F.concat(F.lit("nation "), F.col("Country Code")).alias("Country Name"),
+                       "Country Code",
+                       F.lit("Order value").alias("Indicator Name"),
+                       F.lit("LEVEL.ORDERS").alias("Indicator Code"),
+                       *[F.col(f"`{c}`") for c in labels])
 
 
 # Dirty tokens injected into text measures, by order key modulo 97.
