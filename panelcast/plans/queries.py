@@ -469,6 +469,21 @@ def q_results(spark, d):
     return rs.read_tagged(spark, path, _RESTRICTED_TAG, missing="error")
 
 
+@register("s10_scan_runs", _SUITE_CTE + """
+SELECT tag, model, test_RMSE, n_test FROM suite""")
+def q_scan(spark, d):
+    """Every run's metrics written as its own ``model_metrics_<tag>.csv`` under the
+    session's shared checkpoint folder, then all runs read back by one glob with the
+    tag taken from the file path."""
+    import uuid
+    from panelcast.session import ensure_checkpoint_dir
+    from panelcast.sources import results as rs
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs_{uuid.uuid4().hex}"
+    rs.write_runs(q_suite(spark, d).select("model", "test_RMSE", "n_test", "tag"), root)
+    return rs.scan_runs(spark, f"{root}/model_metrics_*.csv", schema="model string, test_RMSE double, n_test bigint") \
+             .select("tag", "model", "test_RMSE", "n_test")
+
+
 # ---------------------------------------------------------------- single-run reports
 
 _MAIN_PRED_SQL = _run_sql_prefix(MAIN) + ",\n" + O.preds_cte()

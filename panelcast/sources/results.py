@@ -64,15 +64,34 @@ def latest_tag(spark: SparkSession, path: str, fmt: str = "parquet") -> str | No
     return row[0]["tag"] if row else None
 
 
-def scan_runs(spark: SparkSession, glob: str, *, prefix: str = "model_metrics_", fmt: str = "csv") -> DataFrame:
-    """Read every per-run file matching a glob; the tag comes from the file name;
-    unreadable files are skipped (``ignoreCorruptFiles``)."""
+def write_runs(df: DataFrame, root: str, *, prefix: str = "model_metrics_", fmt: str = "csv") -> list[str]:
+    """One small file set per run, named ``<prefix><tag>.<fmt>`` (the reference's
+    results folder layout).  Tags are listed first (one row per run reaches the
+    driver); each run's table is tiny, so it is written as one file."""
+    tags = [r["tag"] for r in df.select("tag").distinct().collect()]
+    paths = []
+    for tag in sorted(tags):
+        path = f"{root.rstrip('/')}/{prefix}{tag}.{fmt}"
+        w = df.filter(F.col("tag") == tag).drop("tag").coalesce(1).write.mode("overwrite")
+        if fmt == "csv":
+            w = w.option("header", True)
+        w.format(fmt).save(path)
+        paths.append(path)
+    return paths
+
+
+def scan_runs(spark: SparkSession, glob: str, *, prefix: str = "model_metrics_", fmt: str = "csv",
+              schema: str | None = None) -> DataFrame:
+    """Read every per-run file matching a glob (a file, or a folder of part files,
+    named ``<prefix><tag>.<ext>``); the tag comes from that name; unreadable files are
+    skipped (``ignoreCorruptFiles``)."""
     reader = spark.read.option("ignoreCorruptFiles", "true")
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", True)
+        reader = reader.option("header", True)
+        reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     df = reader.format(fmt).load(glob)
-    name = F.col("_metadata.file_name")
-    tag = F.regexp_extract(name, f"^{prefix}(.*)\\.[^.]+$", 1)
+    path = F.col("_metadata.file_path")
+    tag = F.regexp_extract(path, f"{prefix}([^/]+?)\\.[A-Za-z0-9]+(/[^/]*)?$", 1)
     return df.withColumn("tag", tag)
 
 
