@@ -484,6 +484,18 @@ def q_scan(spark, d):
              .select("tag", "model", "test_RMSE", "n_test")
 
 
+@register("s9_latest_run", _SUITE_CTE + "SELECT max(tag) AS tag FROM suite")
+def q_latest(spark, d):
+    """Runs written one file each in ascending tag order; the newest file names the
+    latest run."""
+    import uuid
+    from panelcast.session import ensure_checkpoint_dir
+    from panelcast.sources import results as rs
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs_{uuid.uuid4().hex}"
+    rs.write_runs(q_suite(spark, d).select("model", "test_RMSE", "tag"), root)
+    return rs.latest_run(spark, f"{root}/model_metrics_*.csv")
+
+
 # ---------------------------------------------------------------- single-run reports
 
 _MAIN_PRED_SQL = _run_sql_prefix(MAIN) + ",\n" + O.preds_cte()

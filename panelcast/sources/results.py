@@ -80,6 +80,14 @@ def write_runs(df: DataFrame, root: str, *, prefix: str = "model_metrics_", fmt:
     return paths
 
 
+def latest_run(spark: SparkSession, glob: str, *, prefix: str = "model_metrics_", fmt: str = "csv") -> DataFrame:
+    """S9 over per-run files: the run whose file was modified last (ties: larger tag),
+    as a one-row DataFrame (top-1 per partition, then one merge)."""
+    runs = scan_runs(spark, glob, prefix=prefix, fmt=fmt).select(
+        "tag", F.col("_metadata.file_modification_time").alias("modified"))
+    return runs.orderBy(F.col("modified").desc(), F.col("tag").desc()).limit(1).select("tag")
+
+
 def scan_runs(spark: SparkSession, glob: str, *, prefix: str = "model_metrics_", fmt: str = "csv",
               schema: str | None = None) -> DataFrame:
     """Read every per-run file matching a glob (a file, or a folder of part files,
