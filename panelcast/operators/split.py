@@ -67,6 +67,37 @@ def chrono_split(ds: DataFrame, test_ratio: float = 0.2, time_col: str = "t",
     return ds.withColumn(side_col, F.when(F.col(time_col) <= cut_t, F.lit("train")).otherwise(F.lit("test")))
 
 
+def chrono_split_with_folds(ds: DataFrame, test_ratio: float = 0.2, n_splits: int = 5, time_col: str = "t",
+                            min_periods: int = 5, side_col: str = "side"):
+    """W7 + W8 bounds in ONE aggregate over the ranked period table: train periods are
+    the first ``cut`` ranks, so their rank among train periods is their global rank.
+    Returns (split DataFrame, [(fold, train_end_t, val_end_t), ...]); at most
+    ``n_splits`` + 1 values reach the driver."""
+    if not 0.0 < float(test_ratio) < 1.0:
+        raise ValueError("test_ratio must be in (0, 1).")
+    pi = period_index(ds, time_col)
+    keep = 1.0 - float(test_ratio)
+    n = F.col("n_periods")
+    cut = F.greatest(F.lit(1), F.least(F.floor(n * F.lit(keep)).cast("bigint"), n - 1))
+    k = F.least(F.lit(n_splits), F.greatest(F.lit(2), F.floor(F.col("cut") / 6).cast("bigint")))
+    staged = (pi.withColumn("cut", cut).withColumn("k", k)
+                .withColumn("block", F.floor(F.col("cut") / (F.col("k") + 1)).cast("bigint")))
+    aggs = [F.max("n_periods").alias("n_periods"), F.max("k").alias("k"),
+            F.max(F.when(F.col("pidx") <= F.col("cut"), F.col(time_col))).alias("train_end_t")]
+    for i in range(n_splits):
+        te = F.col("cut") - (F.col("k") - i) * F.col("block")
+        aggs += [F.max(F.when(F.col("pidx") == te, F.col(time_col))).alias(f"te{i}"),
+                 F.max(F.when(F.col("pidx") == te + F.col("block"), F.col(time_col))).alias(f"ve{i}")]
+    row = staged.agg(*aggs).first()
+    if row is None or row["n_periods"] is None or row["n_periods"] < min_periods:
+        raise ValueError("Not enough periods to create a meaningful train/test split "
+                         f"(need >= {min_periods}).")
+    bounds = [(i, row[f"te{i}"], row[f"ve{i}"]) for i in range(min(int(row["k"]), n_splits))]
+    split = ds.withColumn(side_col, F.when(F.col(time_col) <= F.lit(row["train_end_t"]), F.lit("train"))
+                                     .otherwise(F.lit("test")))
+    return split, bounds
+
+
 def fold_bounds(train: DataFrame, n_splits: int = 5, time_col: str = "t") -> DataFrame:
     """W8 fold table over the train periods: k = min(n_splits, max(2, n//6)),
     block = n//(k+1); fold i trains on the first n-(k-i)*block periods and validates on

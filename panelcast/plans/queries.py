@@ -641,9 +641,9 @@ def q_speed_features(spark, d):
 @register("speed_supplier_linear_metrics", None)
 def q_speed_linear(spark, d):
     from panelcast.plans import runs
-    split, feats = st.split_dataset(spark, d, SPEED, speed_features(spark, d), checkpoint=True)
+    split, feats, bounds = runs.prepare_run(spark, d, SPEED, speed_features(spark, d), checkpoint=True)
     res = runs.run_all_models(spark, split, feats, SPEED, models=("linear_regression", "ridge"),
-                              checkpoint=False)
+                              checkpoint=False, bounds=bounds)
     return rounded(res.metrics)
 
 
@@ -657,8 +657,8 @@ def _run(spark, d, cfg: RunConfig, key: str, **kw):
     from panelcast.plans import runs
     k = (id(spark), d, cfg, key)
     if k not in _RUNS:
-        split, feats = st.split_dataset(spark, d, cfg, checkpoint=True)
-        _RUNS[k] = (runs.run_all_models(spark, split, feats, cfg, checkpoint=False, **kw), split)
+        split, feats, bounds = runs.prepare_run(spark, d, cfg)
+        _RUNS[k] = (runs.run_all_models(spark, split, feats, cfg, checkpoint=False, bounds=bounds, **kw), split)
     return _RUNS[k]
 
 

@@ -64,7 +64,7 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
                    tune_rf: bool = False, tune_gb: bool = False,
                    rf_grid: Mapping | None = None, gb_grid: Mapping | None = None,
                    n_splits: int = 5, parallelism: int = 4, cv: bool = True,
-                   checkpoint: bool = True) -> RunResult:
+                   checkpoint: bool = True, bounds: Sequence[tuple] | None = None) -> RunResult:
     feats = list(feats)
     keep = list(dict.fromkeys(["side", "entity", "t", "y", "n_ev", "dmg", "gdp_growth_lag1",
                                "gdp_growth_roll3_mean", *feats]))
@@ -73,8 +73,10 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
         s = materialize(s)
     train = s.filter(F.col("side") == "train")
 
-    fb = sp.fold_bounds(train, n_splits).orderBy("fold").collect()     # <= n_splits rows
-    bounds = [(int(r["fold"]), r["train_end_t"], r["val_end_t"]) for r in fb]
+    if bounds is None:
+        fb = sp.fold_bounds(train, n_splits).orderBy("fold").collect()     # <= n_splits rows
+        bounds = [(int(r["fold"]), r["train_end_t"], r["val_end_t"]) for r in fb]
+    bounds = [(int(f), te, ve) for f, te, ve in bounds]
     ends = [b[1] for b in bounds]
     med = fold_medians(train, feats, ends)
     fill = {f: {c: med.get((f, c)) for c in feats} for f in [-1, *range(len(bounds))]}
@@ -161,11 +163,22 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
                      feats, fits, best_params)
 
 
+def prepare_run(spark: SparkSession, sf_dir: str, cfg: RunConfig, features: DataFrame | None = None,
+                n_splits: int = 5, checkpoint: bool | None = None):
+    """Dataset, split and fold bounds from one aggregate.  The dataset is checkpointed
+    unless told otherwise (default: unless ``features`` is given, i.e. already a
+    checkpointed feature table).  Returns (split, features, bounds)."""
+    ds, feats = st.dataset(spark, sf_dir, cfg, features)
+    if checkpoint if checkpoint is not None else features is None:
+        ds = materialize(ds)
+    split, bounds = sp.chrono_split_with_folds(ds, cfg.test_ratio, n_splits)
+    return ev.with_shock_proxies(split), feats, bounds
+
+
 def run_config(spark: SparkSession, sf_dir: str, cfg: RunConfig, features: DataFrame | None = None,
-               **kw) -> RunResult:
-    # a given feature table is already a checkpoint; otherwise checkpoint the dataset
-    split, feats = st.split_dataset(spark, sf_dir, cfg, features, checkpoint=features is None)
-    return run_all_models(spark, split, feats, cfg, checkpoint=False, **kw)
+               n_splits: int = 5, checkpoint: bool | None = None, **kw) -> RunResult:
+    split, feats, bounds = prepare_run(spark, sf_dir, cfg, features, n_splits, checkpoint)
+    return run_all_models(spark, split, feats, cfg, checkpoint=False, n_splits=n_splits, bounds=bounds, **kw)
 
 
 def run_suite(spark: SparkSession, sf_dir: str, configs: Sequence[RunConfig], **kw) -> DataFrame:

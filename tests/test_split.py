@@ -58,3 +58,13 @@ def test_fold_rows_expanding(spark):
     c = {(r["fold"], r["role"]): r["count"] for r in rows.groupBy("fold", "role").count().collect()}
     assert c[(0, "train")] == 9 and c[(4, "train")] == 41
     assert all(c[(f, "val")] == 8 for f in range(5))
+
+
+def test_split_with_folds_one_aggregate(spark):
+    for n in (62, 32, 11):
+        ds = series_frame(spark, n)
+        s1, bounds = sp.chrono_split_with_folds(ds)
+        s2 = sp.chrono_split(ds)
+        assert sides(s1) == sides(s2)
+        fb = sp.fold_bounds(s2.filter("side='train'")).orderBy("fold").collect()
+        assert bounds == [(r["fold"], r["train_end_t"], r["val_end_t"]) for r in fb]
