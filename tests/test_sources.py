@@ -83,3 +83,16 @@ def test_scan_runs(spark):
     write(os.path.join(d, "model_metrics_run_y.csv"), "model,test_RMSE\nridge,2.5\n")
     out = {r["tag"]: r["test_RMSE"] for r in rs.scan_runs(spark, os.path.join(d, "model_metrics_*.csv")).collect()}
     assert out == {"run_x": 1.5, "run_y": 2.5}
+
+
+def test_write_runs_scan_and_latest(spark):
+    d = tempfile.mkdtemp(prefix="pc-runs-")
+    m = spark.createDataFrame([("ridge", 1.5, "run_a"), ("ols", 2.5, "run_a"), ("ridge", 0.5, "run_b")],
+                              "model string, test_RMSE double, tag string")
+    paths = rs.write_runs(m, d)
+    assert [os.path.basename(p) for p in paths] == ["model_metrics_run_a.csv", "model_metrics_run_b.csv"]
+    got = sorted(tuple(r) for r in rs.scan_runs(spark, os.path.join(d, "model_metrics_*.csv"),
+                                                schema="model string, test_RMSE double")
+                                      .select("tag", "model", "test_RMSE").collect())
+    assert got == [("run_a", "ols", 2.5), ("run_a", "ridge", 1.5), ("run_b", "ridge", 0.5)]
+    assert rs.latest_run(spark, os.path.join(d, "model_metrics_*.csv")).first()["tag"] == "run_b"
