@@ -1,0 +1 @@
+"""Scalar Column functions (JVM-side expressions)."""
