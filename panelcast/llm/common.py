@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the files, so that
-    several readers, or the next round of an iteration, never run its plan again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once as a table in the shared checkpoint folder and go on from its files,
+    so that several readers, a later step or a lost executor never run its plan again.
+    (A plan read from files also has true sizes; those of checkpointed joins multiply.)"""
+    spark = df.sparkSession
+    folder = folder or _folder(spark)
+    df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+class Steps:
+    """The states of an iteration, written to two folders in turn: each state replaces the
+    last but one, so the folder does not grow with the number of steps."""
+
+    def __init__(self, spark: SparkSession):
+        self.folders = [_folder(spark), _folder(spark)]
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.folders.reverse()
+        return materialize(df, self.folders[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import materialize
+from panelcast.llm.common import Steps
 
 #: The rows of a hub (a node with very many links) meet its minimum in this many places.
 HUB_SALT = 32
@@ -25,13 +25,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     Alternates two steps until nothing moves: every node hands its smallest neighbour to
     its larger neighbours, then to its smaller ones; chains shorten geometrically.  A
     node's minimum is a partial aggregate, and only nodes whose minimum changes anything
-    are joined back, salted, so a hub is never gathered.  Rounds are cut by
-    ``checkpoint()``; the only values that reach the driver are one count and one sum.
+    are joined back, salted, so a hub is never gathered.  Each round is a
+    table in the checkpoint folder; the only values that reach the driver are one count and one sum.
     Links to oneself keep a node that has no other; rows with a null end are ignored.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    edges = materialize(links.where(x.isNotNull() & y.isNotNull())
-                        .select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
+    stars, halves = Steps(links.sparkSession), Steps(links.sparkSession)
+    edges = stars.put(links.where(x.isNotNull() & y.isNotNull())
+                      .select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
     state = None
     for _ in range(max_rounds):
         # the larger neighbours of u go to the smallest of u and its neighbours
@@ -41,13 +42,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         large = (_with_minimum(up, low).select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
                  .unionByName(edges.where("u = v")).distinct())
         # the smaller neighbours of u, and u, go to the smallest of them
-        large = materialize(large)
+        large = halves.put(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         several = low.where("n > 1").select("u", "m")
         small = (_with_minimum(large, several).where("m is not null and v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        edges = materialize(small)
+        edges = stars.put(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

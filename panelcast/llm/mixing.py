@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import materialize
+from panelcast.llm.common import Steps, materialize
 
 MARGINS = ("source", "lang", "topic")
 #: A word is a run of characters that are no ASCII white space.
@@ -62,7 +62,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], fraction: float, round
     without a target keep their weight.
     """
     held = {m: materialize(t) for m, t in targets.items()}
-    state = materialize(cells.withColumn("w", F.col("base").cast("double")))
+    steps = Steps(cells.sparkSession)
+    state = steps.put(cells.withColumn("w", F.col("base").cast("double")))
     for _ in range(rounds):
         for margin, target in held.items():
             sums = state.groupBy(margin).agg(F.sum("w").alias("__sum"))
@@ -70,7 +71,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], fraction: float, round
             scaled = F.col("w") * F.coalesce("__factor", F.lit(1.0))
             if margin == list(held)[-1]:
                 scaled = F.least(scaled, F.col("base") / F.lit(float(fraction)))
-            state = materialize(state.join(factor, margin, "left").withColumn("w", scaled).drop("__factor"))
+            state = state.join(factor, margin, "left").withColumn("w", scaled).drop("__factor")
+        state = steps.put(state)
     return state
 
 
