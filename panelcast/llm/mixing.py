@@ -26,6 +26,8 @@ NO_TOPIC, NO_VALUE = "prose", "(none)"
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: A table of at most so many cells is broadcast to the documents (a few MB).
 BROADCAST_CELLS = 50_000
+#: The raked table is kept in files of about so many cells.
+CELLS_PER_FILE = 200_000
 
 
 def token_count(text: Column) -> Column:
@@ -61,9 +63,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], fraction: float, round
     is 1; the next round lets the margin's other cells take up what is missing.  Values
     without a target keep their weight.
     """
-    held = {m: materialize(t) for m, t in targets.items()}
+    held = {m: materialize(t.coalesce(1)) for m, t in targets.items()}
     steps = Steps(cells.sparkSession)
-    state = steps.put(cells.withColumn("w", F.col("base").cast("double")))
+    files = 1 + cells.count() // CELLS_PER_FILE
+    state = steps.put(cells.withColumn("w", F.col("base").cast("double")).coalesce(files))
     for _ in range(rounds):
         for margin, target in held.items():
             sums = state.groupBy(margin).agg(F.sum("w").alias("__sum"))
@@ -71,8 +74,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], fraction: float, round
             scaled = F.col("w") * F.coalesce("__factor", F.lit(1.0))
             if margin == list(held)[-1]:
                 scaled = F.least(scaled, F.col("base") / F.lit(float(fraction)))
-            state = state.join(factor, margin, "left").withColumn("w", scaled).drop("__factor")
-        state = steps.put(state)
+            scaled_state = state.join(factor, margin, "left").withColumn("w", scaled).drop("__factor")
+            state = steps.put(scaled_state.coalesce(files))
     return state
 
 
