@@ -61,3 +61,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def train_fold(key: Column) -> Column:
     """True for rows whose labels may be learned: crc32 of the id as text, modulo 5, is not 0."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 != 0
+
+
+def bounded_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
+    """All rows of ``df`` if there are at most ``bound``, else about ``bound`` of them, picked by
+    a seeded hash of the key (the same rows every time, without a sort)."""
+    n = df.count()
+    if n <= bound:
+        return df
+    scale = 1 << 30
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(scale)) < int(scale * bound / n))
+
+
+def train_labels(labels: DataFrame, label: str, bound: int, seed: int) -> DataFrame:
+    """(doc_id, y) of at most about ``bound`` labelled ids of the training fold.  Ids that
+    are labelled more than once take the label most of their rows give (1 on a tie)."""
+    rows = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train_fold(F.col("doc_id")))
+            .groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("y")))
+    return bounded_sample(rows, "doc_id", bound, seed)

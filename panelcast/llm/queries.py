@@ -8,8 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import chat, embedding_dedup, mixing, sharding, topk_search
-from panelcast.llm.common import table
+from panelcast.llm import (
+    bpe_table,
+    chat,
+    embedding_dedup,
+    jaccard_join,
+    mixing,
+    quality,
+    sharding,
+    topk_search,
+    toxicity,
+)
+from panelcast.llm.common import table, train_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -37,6 +47,45 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+@register("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+                               ELSE array_to_string(w[i:i + 2], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (s)
+                    WHERE a.doc_id <> b.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM documents
+          UNION SELECT l.x, reach.r FROM reach JOIN links l ON l.y = reach.id)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@register("op5_jaccard_join", OP5_SQL)
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 OP8_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
            FROM embeddings WHERE embedding IS NOT NULL
@@ -50,6 +99,20 @@ WHERE rank <= 5
 """
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_table.encode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @register("op8_topk", OP8_SQL)
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
