@@ -13,6 +13,7 @@ from panelcast.llm import (
     chat,
     embedding_dedup,
     jaccard_join,
+    license_scan,
     mixing,
     quality,
     sharding,
@@ -99,6 +100,13 @@ WHERE rank <= 5
 """
 
 
+@register("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "paragraph", "family", F.round("probability", 4).alias("probability"),
+                        F.round("similarity", 4).alias("similarity"), "confirmed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's file on the driver."""
     import public_tokenizers
