@@ -32,8 +32,9 @@ def safe_double(c) -> Column:
 
 
 def safe_int(c) -> Column:
-    """P5: year-like text/number to int (via double, so '1995.0' is 1995)."""
-    return F.floor(safe_double(c)).try_cast("int")          # out of int range -> NULL, not an ANSI error
+    """P5: year-like text/number to int (via double, so '1995.0' is 1995), cut towards 0;
+    out of int range is NULL."""
+    return safe_double(c).try_cast("int")
 
 
 def is_finite(c) -> Column:
@@ -109,7 +110,7 @@ def tag_flags(tag) -> dict[str, Column]:
     return {
         "mode": F.when(t.contains("nowcast"), F.lit("nowcast")).otherwise(F.lit("forecast")),
         "include_covid": t.contains("ex_post"),
-        "include_macro": t.contains("withmacro") | t.contains("macro"),
+        "include_macro": t.contains("macro"),
         "include_oil": t.contains("oil"),
         "restricted": t.contains("restricted"),
     }
@@ -121,11 +122,14 @@ def config_tag(*parts) -> Column:
 
 
 def tolerant_bool(c, default: bool = False) -> Column:
-    """tolerant text to boolean with a default."""
+    """text or number to boolean.  Listed tokens count first, then any number (true
+    unless 0); other text is false, and only a missing value takes the default."""
     t = F.lower(F.trim(_c(c).cast("string")))
-    return (F.when(t.isin(TRUE_TOKENS), F.lit(True))
+    number = safe_double(t)
+    return (F.when(t.isNull(), F.lit(default))
+             .when(t.isin(TRUE_TOKENS), F.lit(True))
              .when(t.isin(FALSE_TOKENS), F.lit(False))
-             .otherwise(F.lit(default)))
+             .otherwise(F.coalesce(number != 0, F.lit(False))))
 
 
 def tolerant_int(c, default: int | None = None) -> Column:

@@ -78,7 +78,7 @@ def to_int(df: DataFrame, c: str):
     if isinstance(df.schema[c].dataType, StringType):
         return safe_int(c)
     x = F.col(c).cast("double")
-    return F.when(is_finite(x), F.floor(x).try_cast("int"))
+    return F.when(is_finite(x), x.try_cast("int"))
 
 
 def clean_events(df: DataFrame, time_col: str = "t") -> DataFrame:

@@ -97,15 +97,16 @@ def _r2(cond: Column, e2: Column, y: Column) -> Column:
 def metrics_table(preds: DataFrame, threshold: DataFrame | None = None, *, severe_q: float = 0.85,
                   r2_min_n: int = 5, subset_min_n: int = 1,
                   meta: Mapping[str, object] | None = None) -> DataFrame:
-    """A3-A7 + P17: one row per model with train/test MAE, RMSE, R2, non-finite counts
+    """A3-A7 + P17: one row per model (per tag and model, where predictions carry a tag) with train/test MAE, RMSE, R2, non-finite counts
     and the any / severe / multi test subsets.
 
     Non-finite predictions are counted, then replaced by the train mean of ``y``
-    (one row per model, broadcast: bounded by the number of models).
+    (one row per tag and model, broadcast: bounded by the number of models).
     """
-    mean_tr = (preds.filter(F.col("side") == "train").groupBy("model")
+    groups = ["tag", "model"] if "tag" in preds.columns else ["model"]
+    mean_tr = (preds.filter(F.col("side") == "train").groupBy(*groups)
                     .agg(F.avg("y").alias("__mean_train")))
-    df = preds.join(F.broadcast(mean_tr), "model", "left")
+    df = preds.join(F.broadcast(mean_tr), groups, "left")
     ps = F.when(is_finite("p"), F.col("p")).otherwise(F.col("__mean_train"))
     df = df.withColumn("__e", F.col("y") - ps)
     if threshold is not None:
@@ -145,12 +146,12 @@ def metrics_table(preds: DataFrame, threshold: DataFrame | None = None, *, sever
         F.count_if(tr).alias("n_train"),
         F.count_if(te).alias("n_test"),
     ]
-    out = df.groupBy("model").agg(*aggs)
+    out = df.groupBy(*groups).agg(*aggs)
     out = out.select("*", F.lit(float(severe_q)).alias("severe_quantile_used"),
                      thr_col.alias("severe_threshold_damage_share_train"),
                      npos_col.alias("train_count_positive_damage_share"))
     if meta:
-        out = out.select("*", *[F.lit(v).alias(k) for k, v in meta.items()])
+        out = out.select("*", *[F.lit(v).alias(k) for k, v in meta.items() if k not in groups])
     return out
 
 

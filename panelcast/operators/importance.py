@@ -1,15 +1,14 @@
 """Permutation importance.
 
-For every feature j and repeat r the feature's test values are permuted, the model
-re-scores the rows, and importance = RMSE(permuted) - RMSE(original) (the drop in
-negative RMSE); mean and population std over repeats.
+For every repeat the test rows are ranked twice, by key and by a digest of repeat and key;
+the row ranked i by key takes feature values from the row ranked i by digest.  That is one
+uniform permutation of the whole test set per repeat, shared by all features, at every
+size.  The model re-scores the rows with one feature exchanged at a time, and importance =
+RMSE(permuted) - RMSE(original); mean and population std over repeats.
 
-The permutation is computed without gathering the test set in one task: rows are
-hashed (seeded by feature and repeat) into buckets of bounded size, and inside each
-bucket the value of the row ranked i by key goes to the row ranked i by a second
-seeded hash -- a random permutation within random buckets, which breaks the link
-between x_j and y exactly as a global shuffle does.  With one bucket (small test
-sets) it is a uniform permutation.
+Ranks come from a range-partitioned sort: the place within a partition plus the rows of
+the partitions before it, so the test set is never gathered in one task.  Only keys and
+ranks are shuffled; the rows times features are formed where they are scored.
 """
 
 from __future__ import annotations
@@ -20,47 +19,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelcast.session import materialize
+
 Predictor = Callable[[DataFrame], DataFrame]
 
 
+def global_rank(df: DataFrame, group: str, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """``df`` with the place (from 1) of each row in its ``group`` by ``order``."""
+    part = materialize(df.repartitionByRange(group, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = part.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(group, "__part").orderBy(*order)
+    return (part.join(offsets, [group, "__part"])
+            .withColumn(name, F.col("__offset") + F.row_number().over(inside))
+            .drop("__part", "__offset"))
+
+
 def _rmse(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     e = F.col("y") - F.col("p")
     return df.groupBy(*groups).agg(F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
 def permutation_importance(rows: DataFrame, features: Sequence[str], predict: Predictor, *,
-                           n_repeats: int = 30, seed: int = 42, bucket_rows: int = 50_000,
+                           n_repeats: int = 30, seed: int = 42,
                            keys: Sequence[str] = ("entity", "t")) -> DataFrame:
     """(feature, importance, std) for a fitted model given as ``predict(df) -> df with p``."""
     feats = list(features)
     # keys may also be features (the time trend): carry them under private names
     knames = [f"__key{i}" for i in range(len(keys))]
-    base = rows.select(*[F.col(k).alias(kn) for k, kn in zip(keys, knames)], "y",
-                       *[F.col(c).cast("double").alias(c) for c in feats])
-    keys = knames
+    base = materialize(rows.select(*[F.col(k).alias(kn) for k, kn in zip(keys, knames)], "y",
+                                   *[F.col(c).cast("double").alias(c) for c in feats]))
     base_rmse = _rmse(predict(base)).select("rmse").scalar()
-    n = base.agg(F.count(F.lit(1))).scalar()
-    n_buckets = F.greatest(F.lit(1), F.ceil(n / F.lit(float(bucket_rows))))
 
-    jr = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(r).alias("r"))
-                             for j in range(len(feats)) for r in range(n_repeats)]))
-    long = base.select("*", jr.alias("__jr")).select("*", F.col("__jr.j").alias("__j"),
-                                                     F.col("__jr.r").alias("__r")).drop("__jr")
-    h_key = [*[F.col(k) for k in keys], F.col("__j"), F.col("__r")]
-    long = long.withColumn("__b", F.pmod(F.xxhash64(*h_key, F.lit(seed)), n_buckets))
-    part = ["__j", "__r", "__b"]
-    long = (long.withColumn("__rk", F.row_number().over(Window.partitionBy(*part).orderBy(*keys)))
-                .withColumn("__rh", F.row_number().over(
-                    Window.partitionBy(*part).orderBy(F.xxhash64(*h_key, F.lit(seed + 1)), *keys))))
-    vals = F.array(*[F.col(c) for c in feats])
-    donors = long.select(*part, F.col("__rh").alias("__rk"),
-                         F.element_at(vals, (F.col("__j") + 1).cast("int")).alias("__v"))
-    perm = long.join(donors, [*part, "__rk"])
-    perm = perm.select(*keys, "y", "__j", "__r",
-                       *[F.when(F.col("__j") == j, F.col("__v")).otherwise(F.col(c)).alias(c)
-                         for j, c in enumerate(feats)])
-    scored = _rmse(predict(perm), ["__j", "__r"])
-    names = F.element_at(F.array(*[F.lit(c) for c in feats]), (F.col("__j") + 1).cast("int"))
+    repeat = F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("__r")
+    drawn = base.select(*knames, repeat).withColumn("__draw", F.md5(F.concat_ws(
+        ":", F.lit(str(seed)), F.col("__r").cast("string"), *[F.col(k).cast("string") for k in knames])))
+    takers = global_rank(drawn.drop("__draw"), "__r", knames)
+    donors = global_rank(drawn, "__r", ["__draw", *knames]).select(
+        "__r", "rank", *[F.col(k).alias(f"__from{i}") for i, k in enumerate(knames)])
+    pairs = takers.join(donors, ["__r", "rank"]).drop("rank")
+    given = base.select(*[F.col(k).alias(f"__from{i}") for i, k in enumerate(knames)],
+                        F.array(*[F.col(c) for c in feats]).alias("__given"))
+    joined = pairs.join(base, knames).join(given, [f"__from{i}" for i in range(len(knames))])
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(feats) - 1))).alias("__j")
+    taken = F.element_at("__given", F.col("__j") + 1)
+    changed = joined.select("*", each).select(
+        "y", "__r", "__j", *[F.when(F.col("__j") == j, taken).otherwise(F.col(c)).alias(c) for j, c in enumerate(feats)])
+    scored = _rmse(predict(changed), ["__j", "__r"])
+    names = F.element_at(F.array(*[F.lit(c) for c in feats]), F.col("__j") + 1)
     return (scored.select(names.alias("feature"), (F.col("rmse") - base_rmse).alias("imp"))
                   .groupBy("feature").agg(F.avg("imp").alias("importance"),
                                           F.stddev_pop("imp").alias("std")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import guarded_ratio, log1p_zero, presence_flag
-from panelcast.operators.clean import fill_zero, require_columns
+from panelcast.operators.clean import fill_zero, require_columns, to_double
 
 KEYS = ("entity", "t")
 EVENT_AGG_COLUMNS = ["n_events", "total_deaths", "total_damage", "avg_magnitude"]
@@ -32,22 +32,22 @@ def aggregate_events(events: DataFrame, keys: Sequence[str] = KEYS, *,
     """
     ev = events
     if "damage_usd" not in ev.columns and "damage_usd_thousands" in ev.columns:
-        ev = ev.withColumn("damage_usd", F.col("damage_usd_thousands").cast("double") * F.lit(1000.0))
+        ev = ev.withColumn("damage_usd", to_double(ev, "damage_usd_thousands") * F.lit(1000.0))
     require_columns(ev, [*keys, "deaths", "damage_usd", "magnitude"], "events")
     ev = ev.dropna(subset=list(keys))
 
     def total(c):
-        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        x = F.coalesce(to_double(ev, c), F.lit(0.0))
         if decimal_scale is None:
             return F.sum(x)
         return F.sum(x.cast(f"decimal(38,{decimal_scale})")).cast("double")
 
     if known_only:
-        mag = F.avg(F.col("magnitude").cast("double"))
+        mag = F.avg(to_double(ev, "magnitude"))
     elif decimal_scale is None:
-        mag = F.avg(F.coalesce(F.col("magnitude").cast("double"), F.lit(0.0)))
+        mag = F.avg(F.coalesce(to_double(ev, "magnitude"), F.lit(0.0)))
     else:
-        mag = (F.sum(F.coalesce(F.col("magnitude").cast("double"), F.lit(0.0))
+        mag = (F.sum(F.coalesce(to_double(ev, "magnitude"), F.lit(0.0))
                      .cast(f"decimal(38,{decimal_scale})")).cast("double") / F.count(F.lit(1)))
     return (ev.groupBy(*keys)
               .agg(F.count(F.lit(1)).alias("n_events"),

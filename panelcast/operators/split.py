@@ -30,7 +30,7 @@ def _cut_expr(n: Column, test_ratio: float, min_periods: int) -> Column:
     keep = 1.0 - float(test_ratio)
     cut = F.greatest(F.lit(1), F.least(F.floor(n * F.lit(keep)).cast("bigint"), n - 1))
     return F.when(n < min_periods, F.raise_error(F.lit(
-        f"Not enough periods to create a meaningful train/test split (need >= {min_periods})."))
+        f"the data cover fewer than {min_periods} periods: too short to hold out a test set"))
     ).otherwise(cut)
 
 
@@ -38,7 +38,7 @@ def split_summary(ds: DataFrame, test_ratio: float = 0.2, time_col: str = "t",
                   min_periods: int = 5) -> DataFrame:
     """One row: n_periods, n_train_periods, last train period, first test period."""
     if not 0.0 < float(test_ratio) < 1.0:
-        raise ValueError("test_ratio must be in (0, 1).")
+        raise ValueError(f"the test share must lie between 0 and 1, not {test_ratio}")
     pi = period_index(ds, time_col)
     cut = _cut_expr(F.col("n_periods"), test_ratio, min_periods)
     return (pi.withColumn("cut", cut)
@@ -61,8 +61,7 @@ def chrono_split(ds: DataFrame, test_ratio: float = 0.2, time_col: str = "t",
     else:
         row = summary.first()
         if row is None or row["n_periods"] is None or row["n_periods"] < min_periods:
-            raise ValueError("Not enough periods to create a meaningful train/test split "
-                             f"(need >= {min_periods}).")
+            raise ValueError(f"the data cover fewer than {min_periods} periods: too short to hold out a test set")
         cut_t = F.lit(row["train_end_t"])
     return ds.withColumn(side_col, F.when(F.col(time_col) <= cut_t, F.lit("train")).otherwise(F.lit("test")))
 
@@ -74,7 +73,7 @@ def chrono_split_with_folds(ds: DataFrame, test_ratio: float = 0.2, n_splits: in
     Returns (split DataFrame, [(fold, train_end_t, val_end_t), ...]); at most
     ``n_splits`` + 1 values reach the driver."""
     if not 0.0 < float(test_ratio) < 1.0:
-        raise ValueError("test_ratio must be in (0, 1).")
+        raise ValueError(f"the test share must lie between 0 and 1, not {test_ratio}")
     pi = period_index(ds, time_col)
     keep = 1.0 - float(test_ratio)
     n = F.col("n_periods")
@@ -90,8 +89,7 @@ def chrono_split_with_folds(ds: DataFrame, test_ratio: float = 0.2, n_splits: in
                  F.max(F.when(F.col("pidx") == te + F.col("block"), F.col(time_col))).alias(f"ve{i}")]
     row = staged.agg(*aggs).first()
     if row is None or row["n_periods"] is None or row["n_periods"] < min_periods:
-        raise ValueError("Not enough periods to create a meaningful train/test split "
-                         f"(need >= {min_periods}).")
+        raise ValueError(f"the data cover fewer than {min_periods} periods: too short to hold out a test set")
     bounds = [(i, row[f"te{i}"], row[f"ve{i}"]) for i in range(min(int(row["k"]), n_splits))]
     split = ds.withColumn(side_col, F.when(F.col(time_col) <= F.lit(row["train_end_t"]), F.lit("train"))
                                      .otherwise(F.lit("test")))

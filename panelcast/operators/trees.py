@@ -24,9 +24,10 @@ GB_LIBRARY_DEFAULTS = dict(maxIter=100, stepSize=0.1, maxDepth=5, minInstancesPe
 GB_SIDE_B = dict(maxIter=1200, stepSize=0.03, maxDepth=2, minInstancesPerNode=20)
 # The reference's search grids (sklearn names -> MLlib names).
 RF_GRID = {"numTrees": [200, 400, 600], "maxDepth": [None, 5, 10],
-           "minInstancesPerNode": [1, 2], "min_samples_split": [2, 5]}
+           "minInstancesPerNode": [1, 2]}
 GB_GRID = {"stepSize": [0.03, 0.05, 0.1], "maxDepth": [2, 3, 4], "maxIter": [300, 600, 1200]}
-MAX_MLLIB_DEPTH = 30     # "unlimited" depth is not available in MLlib
+MAX_MLLIB_DEPTH = 30     # MLlib's deepest tree, which stands for "unlimited"
+MAX_BINS = 256           # split thresholds per feature (``maxBins`` in the parameters overrides it)
 # Parameter names of the reference's best-params tables and their MLlib
 # counterparts.
 PARAM_NAMES = {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
@@ -62,12 +63,8 @@ def _clean_params(kind: str, params: Mapping) -> dict:
     p = {k: v for k, v in params.items() if v is not None or k == "maxDepth"}
     if p.get("maxDepth", 0) is None:
         p["maxDepth"] = MAX_MLLIB_DEPTH
-    split = p.pop("min_samples_split", None)
-    if split is not None:
-        # a node of fewer than min_samples_split rows is not split; with leaves of at
-        # least m rows a split needs 2m rows, so the stricter of the two applies
-        p["minInstancesPerNode"] = max(p.get("minInstancesPerNode", 1), (int(split) + 1) // 2)
-    return p
+    p.pop("min_samples_split", None)    # MLlib knows leaf sizes only
+    return {"maxBins": MAX_BINS} | p
 
 
 def make_estimator(kind: str, params: Mapping, seed: int = 42):

@@ -41,9 +41,8 @@ def base_ctes() -> str:
             ("morders", tp.MACRO_COLUMNS[2], f"CAST(n_urgent AS DOUBLE) / n_orders"),
             ("morders", tp.MACRO_COLUMNS[3], f"CAST(sum_bal AS DOUBLE) / n_orders"),
             ("morders", tp.MACRO_COLUMNS[4], f"CAST(n_orders AS DOUBLE)")]
-    for k, (src, name, expr) in enumerate(defs):
-        macro_parts.append(f"SELECT entity, t, '{name}' AS series, {expr} AS value FROM {src} "
-                           f"WHERE t >= {tp.FIRST_PERIOD + tp.MACRO_STAGGER * k}")
+    for src, name, expr in defs:
+        macro_parts.append(f"SELECT entity, t, '{name}' AS series, {expr} AS value FROM {src}")
     macro_long = "\n    UNION ALL ".join(macro_parts)
     macro_cols = ",\n    ".join(f"MAX(CASE WHEN series = '{c}' THEN value END) AS {c}" for c in tp.MACRO_COLUMNS)
     return f"""
@@ -64,7 +63,7 @@ ev_raw AS (
            AS damage_usd_thousands,
          CASE WHEN l.l_discount <> 0 THEN l.l_discount END AS magnitude
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE l.l_returnflag = 'R' AND l.l_linenumber = 1 AND l.l_quantity >= 40),
+  WHERE l.l_returnflag = 'R'),
 ev AS (
   SELECT entity, t, deaths, magnitude,
          CASE WHEN damage_usd_thousands >= 0 THEN damage_usd_thousands END AS damage_usd_thousands,
@@ -76,13 +75,11 @@ evagg AS (
     CAST(SUM(CAST(COALESCE(damage_usd, 0.0{D}) AS DECIMAL(38,6))) AS DOUBLE) AS total_damage,
     COALESCE(CAST(SUM(CAST(COALESCE(magnitude, 0.0{D}) AS DECIMAL(38,6))) AS DOUBLE) / COUNT(*), 0.0{D}) AS avg_magnitude
   FROM ev GROUP BY entity, t),
-li_ord AS (
-  SELECT l_orderkey AS o_orderkey, SUM(CAST(l_discount AS DECIMAL(18,2))) AS sum_disc,
-         SUM(CAST(l_quantity AS DECIMAL(18,2))) AS sum_qty, COUNT(*) AS n_lines
-  FROM lineitem GROUP BY l_orderkey),
 mlines AS (
-  SELECT f.entity, f.t, SUM(sum_disc) AS sd, SUM(sum_qty) AS sq, SUM(n_lines) AS nl
-  FROM ofacts f JOIN li_ord USING (o_orderkey) GROUP BY f.entity, f.t),
+  SELECT c.c_nationkey AS entity, {month('l.l_shipdate')} AS t, SUM(CAST(l.l_discount AS DECIMAL(18,2))) AS sd,
+         SUM(CAST(l.l_quantity AS DECIMAL(18,2))) AS sq, COUNT(*) AS nl
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  GROUP BY 1, 2),
 morders AS (
   SELECT entity, t, COUNT(*) AS n_orders, COUNT_IF(o_orderpriority = '1-URGENT') AS n_urgent,
          SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS sum_bal
@@ -201,8 +198,9 @@ SUBSETS = {"any_disaster": "m_any", "severe_disaster": "m_severe", "multi_event"
 
 
 def metrics_select(meta: dict | None, q: float = 0.85, r2_min_n: int = 5, subset_min_n: int = 1,
-                   preds: str = "preds") -> str:
-    """Final metrics SELECT over ``preds`` and ``thr`` (all doubles rounded)."""
+                   preds: str = "preds", raw: bool = False) -> str:
+    """Final metrics SELECT over ``preds`` and ``thr`` (doubles rounded unless ``raw``)."""
+    r = (lambda e: f"({e})") if raw else globals()["r"]
     tr, te = "side = 'train'", "side = 'test'"
     cols = [
         ("train_MAE", f"avg(CASE WHEN {tr} THEN abs(e) END)", True),
@@ -274,7 +272,7 @@ ev AS (
   SELECT l_suppkey AS entity, {month('l_shipdate')} AS t, l_quantity AS deaths,
          CASE WHEN l_tax <> 0 THEN l_extendedprice / 1000.0{D} * 1000.0{D} END AS damage_usd,
          CASE WHEN l_discount <> 0 THEN l_discount END AS magnitude
-  FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40),
+  FROM lineitem WHERE l_returnflag = 'R'),
 evagg AS (
   SELECT entity, t, COUNT(*) AS n_events,
     CAST(SUM(CAST(COALESCE(deaths, 0.0{D}) AS DECIMAL(38,6))) AS DOUBLE) AS total_deaths,

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelcast.operators import evaluate as ev
 from panelcast.operators import split as sp
@@ -25,9 +26,6 @@ from panelcast.plans.standard import RunConfig
 from panelcast.session import materialize
 
 LINEAR_MODELS = {"linear_regression": 0.0, "ridge": 5.0}
-# Driver-query presets: trees kept small (the reference's 600-tree presets are options).
-RF_QUICK = dict(numTrees=50, maxDepth=5, minInstancesPerNode=2)
-GB_QUICK = dict(maxIter=20, stepSize=0.1, maxDepth=3, minInstancesPerNode=20)
 PRED_KEEP = ["side", "entity", "t", "y", "n_ev", "dmg"]
 
 
@@ -60,7 +58,7 @@ def _scores(df: DataFrame, groups: Sequence[str], role_col: str, roles=("train",
 
 def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str], cfg: RunConfig, *,
                    models: Sequence[str] = ("linear_regression", "ridge", "random_forest", "gradient_boosting"),
-                   rf_params: Mapping = RF_QUICK, gb_params: Mapping = GB_QUICK,
+                   rf_params: Mapping = tr.RF_DEFAULTS, gb_params: Mapping = tr.GB_LIBRARY_DEFAULTS,
                    tune_rf: bool = False, tune_gb: bool = False,
                    rf_grid: Mapping | None = None, gb_grid: Mapping | None = None,
                    n_splits: int = 5, parallelism: int = 4, cv: bool = True,
@@ -109,7 +107,8 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
             try:
                 fit = tr.fit_tree(fr.filter(F.col("role") == "train"), feats, fill[f], kind, params)
                 pr = fit.transform(fr).select(F.lit(kind).alias("model"), "fold", "role", "y", "p")
-                return _scores(pr, ["model", "fold"], "role").withColumn("status", F.lit("ok"))
+                # scored here: a failure while scoring is a failure of this row alone
+                return materialize(_scores(pr, ["model", "fold"], "role").withColumn("status", F.lit("ok")))
             except Exception as exc:       # a failing model keeps its row, as in the reference
                 return spark.createDataFrame(
                     [(kind, f, None, None, None, None, f"fail:{type(exc).__name__}")],
@@ -192,6 +191,24 @@ def run_suite(spark: SparkSession, sf_dir: str, configs: Sequence[RunConfig], **
     return out
 
 
+def alpha_search(train: DataFrame, features: Sequence[str], bounds: Sequence[tuple], alphas: Sequence[float]) -> DataFrame:
+    """(alpha, fold, val_RMSE, mean_val_RMSE, best) of ridge over expanding folds; the
+    best alpha has the lowest mean (the smaller alpha on ties).  One Gram scan fits all
+    candidates and folds, one pass scores them."""
+    bounds = [(int(f), te, ve) for f, te, ve in bounds]
+    fits = fit_linear_folds(train, features, [te for _, te, _ in bounds], {str(a): a for a in alphas})
+    each = [F.struct(F.lit(f).alias("fold"), F.lit(float(a)).alias("alpha"), fits[(str(a), k)].predict_col().alias("p"),
+                     ((F.col("t") > F.lit(te)) & (F.col("t") <= F.lit(ve))).alias("val"))
+            for k, (f, te, ve) in enumerate(bounds) for a in alphas]
+    rows = train.select("y", F.explode(F.array(*each)).alias("c")).filter("c.val")
+    scored = rows.groupBy("c.alpha", "c.fold").agg(F.sqrt(F.avg((F.col("y") - F.col("c.p")) ** 2)).alias("val_RMSE"))
+    means = scored.groupBy("alpha").agg(F.avg("val_RMSE").alias("mean_val_RMSE"))
+    # a row per candidate: the list of alphas is a parameter
+    order = Window.orderBy("mean_val_RMSE", "alpha")
+    ranked = means.withColumn("best", F.row_number().over(order) == 1)
+    return scored.join(ranked, "alpha").select("alpha", "fold", "val_RMSE", "mean_val_RMSE", "best")
+
+
 def export_predictions(preds: DataFrame, model: str, side: str = "test") -> DataFrame:
     """Per-period predictions of one model with error and absolute error."""
     return (preds.filter((F.col("model") == model) & (F.col("side") == side))

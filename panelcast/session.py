@@ -6,7 +6,9 @@ for scripts, tests and ``bench.py``.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,19 +49,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (tests, local
-    runs) fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``.  Only where it is unset and the master is
+    local (tests), a folder of our own, which goes when the process ends."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder every "
                                "executor can reach (a machine-local folder does not survive "
                                "executor loss)")
         configured = tempfile.mkdtemp(prefix="panelcast-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

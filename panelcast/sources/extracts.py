@@ -8,7 +8,6 @@ cell becomes NULL instead of failing the job.
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from panelcast.functions.scalar import safe_double
 from panelcast.operators.clean import EVENT_RENAMES, clean_events, keep_rename
 from panelcast.operators.panel import merge_series
 from panelcast.operators.reshape import coded_extract_to_long, wide_extract_to_long
+from panelcast.sources.headed import headed_files
 
 
 def _read(spark: SparkSession, path: str, fmt: str, skip_rows: int = 0, header: bool = True) -> DataFrame:
@@ -29,19 +29,20 @@ def _read(spark: SparkSession, path: str, fmt: str, skip_rows: int = 0, header:
 
 
 def _read_after_preamble(spark: SparkSession, path: str, skip_rows: int) -> DataFrame:
-    """CSV whose first ``skip_rows`` lines (blank ones included) are a preamble: read
-    lines as text, take the next line as the header, parse the rest with
-    ``from_csv`` into all-string columns.  Row ids increase with the file offset, so
-    the first ids are the first lines; only the header lines reach the driver."""
-    lines = spark.read.text(path).withColumn("__pos", F.monotonically_increasing_id())
-    head = lines.orderBy("__pos").limit(skip_rows + 1).collect()
-    if len(head) <= skip_rows:
-        raise ValueError(f"{path}: fewer than {skip_rows + 1} lines")
-    names = next(csv.reader([head[skip_rows]["value"]]))
-    ddl = ", ".join(f"c{i} STRING" for i in range(len(names)))
-    body = (lines.filter((F.col("__pos") > F.lit(head[skip_rows]["__pos"])) & (F.trim("value") != ""))
-                 .select(F.from_csv("value", ddl).alias("r")))
-    return body.select(*[F.col("r")[f"c{i}"].alias(n) for i, n in enumerate(names)])
+    """CSV files that each start with ``skip_rows`` lines of preamble (blank ones included)
+    and a header; all must have the same columns, in any order."""
+    parts = headed_files(spark, path, skip_rows)
+    out = None
+    for names, rows in parts:
+        if sorted(names) != sorted(parts[0][0]):
+            raise ValueError(f"{path}: files with different headers")
+        rows = rows.select(*[F.col(f"`{n}`") for n in parts[0][0]])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _has_columns(df: DataFrame, *names: str) -> bool:
+    return set(names) <= set(df.columns)
 
 
 def load_wide_indicator(spark: SparkSession, path: str, value_name: str, entities: Iterable[str] | None = None,
@@ -58,7 +59,7 @@ def load_coded_extract(spark: SparkSession, path: str, value_name: str, entities
     """Coded extract (``[YRdddd]`` columns).  When the header lacks ``Series Code``
     or ``Country Code``, re-read skipping the 3 preamble rows."""
     df = _read(spark, path, fmt)
-    if "Series Code" not in df.columns or "Country Code" not in df.columns:
+    if not _has_columns(df, "Series Code", "Country Code"):
         df = _read(spark, path, fmt, skip_rows=3)
     return coded_extract_to_long(df, value_name, entities)
 

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelcast.sources.headed import headed_files
 
 
 class MissingResultError(FileNotFoundError):
@@ -28,20 +32,23 @@ def write_tagged(df: DataFrame, path: str, fmt: str = "parquet") -> None:
        .save(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+def _load(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none."""
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def read_tagged(spark: SparkSession, path: str, tag: str | None = None, *, missing: str = "empty",
                 schema: str | None = None, fmt: str = "parquet") -> DataFrame | None:
     """Read one tag (partition pruning) or all.  When missing: ``"empty"`` returns
     an empty frame (needs ``schema``), ``"error"`` raises, ``"none"`` returns None."""
-    if not _exists(spark, path):
+    df = _load(spark, path, fmt)
+    if df is None:
         return _missing(spark, path, missing, schema)
-    df = spark.read.format(fmt).load(path)
     if tag is not None:
         df = df.filter(F.col("tag") == tag)
         if missing != "empty" and df.limit(1).count() == 0:
@@ -64,43 +71,51 @@ def latest_tag(spark: SparkSession, path: str, fmt: str = "parquet") -> str | No
     return row[0]["tag"] if row else None
 
 
-def write_runs(df: DataFrame, root: str, *, prefix: str = "model_metrics_", fmt: str = "csv") -> list[str]:
-    """One small file set per run, named ``<prefix><tag>.<fmt>`` (the reference's
-    results folder layout).  Tags are listed first (one row per run reaches the
-    driver); each run's table is tiny, so it is written as one file."""
-    tags = [r["tag"] for r in df.select("tag").distinct().collect()]
-    paths = []
-    for tag in sorted(tags):
-        path = f"{root.rstrip('/')}/{prefix}{tag}.{fmt}"
-        w = df.filter(F.col("tag") == tag).drop("tag").coalesce(1).write.mode("overwrite")
-        if fmt == "csv":
-            w = w.option("header", True)
-        w.format(fmt).save(path)
-        paths.append(path)
-    return paths
+def write_runs(df: DataFrame, root: str, *, prefix: str = "model_metrics_", fmt: str = "csv", mode: str = "overwrite") -> str:
+    """Every run's table in a folder of its own, ``<root>/<prefix>runs/tag=<tag>``, by one
+    partitioned write.  Returns the glob that finds them all."""
+    path = f"{root.rstrip('/')}/{prefix}runs"
+    w = df.repartition("tag").write.mode(mode).partitionBy("tag")   # one file a run
+    if fmt == "csv":
+        w = w.option("header", True)
+    w.format(fmt).save(path)
+    return f"{path}/tag=*"
+
+
+def _tag_of(path, prefix: str):
+    """The tag in ``.../tag=<tag>/...`` or ``.../<prefix><tag>.<ext>[/...]``."""
+    folder = F.url_decode(F.regexp_extract(path, r"/tag=([^/]+)/", 1))
+    return F.when(folder != "", folder).otherwise(
+        F.regexp_extract(path, f"{prefix}([^/]+?)\\.[A-Za-z0-9]+(/[^/]*)?$", 1))
 
 
-def latest_run(spark: SparkSession, glob: str, *, prefix: str = "model_metrics_", fmt: str = "csv") -> DataFrame:
-    """S9 over per-run files: the run whose file was modified last (ties: larger tag),
-    as a one-row DataFrame (top-1 per partition, then one merge)."""
-    runs = scan_runs(spark, glob, prefix=prefix, fmt=fmt).select(
-        "tag", F.col("_metadata.file_modification_time").alias("modified"))
-    return runs.orderBy(F.col("modified").desc(), F.col("tag").desc()).limit(1).select("tag")
+def latest_run(spark: SparkSession, glob: str, *, prefix: str = "model_metrics_") -> DataFrame:
+    """S9 over per-run files: the run whose file was modified last (ties: larger tag), as a
+    one-row DataFrame.  A listing answers it; no file is opened."""
+    runs = spark.read.format("binaryFile").load(glob).select(_tag_of(F.col("path"), prefix).alias("tag"), "modificationTime")
+    return runs.orderBy(F.col("modificationTime").desc(), F.col("tag").desc()).limit(1).select("tag")
 
 
 def scan_runs(spark: SparkSession, glob: str, *, prefix: str = "model_metrics_", fmt: str = "csv",
               schema: str | None = None) -> DataFrame:
-    """Read every per-run file matching a glob (a file, or a folder of part files,
-    named ``<prefix><tag>.<ext>``); the tag comes from that name; unreadable files are
-    skipped (``ignoreCorruptFiles``)."""
-    reader = spark.read.option("ignoreCorruptFiles", "true")
-    if fmt == "csv":
-        reader = reader.option("header", True)
-        reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    df = reader.format(fmt).load(glob)
-    path = F.col("_metadata.file_path")
-    tag = F.regexp_extract(path, f"{prefix}([^/]+?)\\.[A-Za-z0-9]+(/[^/]*)?$", 1)
-    return df.withColumn("tag", tag)
+    """Read every per-run file matching a glob (a file, or a folder of part files, named
+    ``<prefix><tag>.<ext>`` or ``tag=<tag>``); the tag comes from that name; unreadable files
+    are skipped.
+
+    With a ``schema``, CSV columns are taken by their name in each file's header and cast;
+    a column that a file lacks, or a value that does not fit, is NULL."""
+    if fmt != "csv" or not schema:
+        reader = spark.read.option("ignoreCorruptFiles", "true")
+        reader = reader.option("header", True).option("inferSchema", True) if fmt == "csv" else reader
+        df = reader.format(fmt).load(glob)
+        return df.withColumn("tag", _tag_of(F.col("_metadata.file_path"), prefix))
+    fields = T.StructType.fromDDL(schema).fields
+    out = None
+    for names, rows in headed_files(spark, glob, corrupt="skip"):
+        columns = [(F.col(f"`{f.name}`") if f.name in names else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in fields]
+        part = rows.select(*columns, _tag_of(F.col("_file"), prefix).alias("tag"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def read_best_params(spark: SparkSession, path: str, tag: str, model: str) -> dict:

@@ -6,17 +6,18 @@ This module maps them onto the same roles (see FIXTURES.md part 2):
 * entity  = nation of the order's customer, ``t`` = month index ``year*12+month-1``
 * level   = monthly sum of ``o_totalprice``           (role of the GDP level)
 * growth  = percent change of the level              (role of GDP growth, the target)
-* events  = large returned first lines of orders     (role of the disaster list)
-* macro   = five monthly nation aggregates, each starting at a different month
+* events  = returned order lines                     (role of the disaster list)
+* macro   = five monthly nation aggregates: two by ship month, three by order month, so
+            that their spans differ as the data's do
 * global  = monthly mean extended price, no entity   (role of the oil price)
 * wide    = yearly level pivoted to ``YYYY [YRYYYY]`` columns (role of the coded indicator extracts)
 
 Everything is a lazy DataFrame; sums go through ``decimal`` so the values do not
 depend on the order in which partitions are combined.
 
-Scale notes: lineitem is pre-aggregated per order key before it meets orders (the
-join then moves one row per order instead of one per line), and every measure is
-aggregated to (entity, t) before any panel join.
+Scale notes: lineitem meets orders once; every measure that lines carry (events, line
+means, the global series) comes from one aggregate of that join per (entity, ship
+month), and the panel joins see (entity, t) rows only.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelcast.functions.scalar import month_index
+from panelcast.operators.clean import fill_zero
 
 # Names of the five macro controls and of the global series, as in the
 # reference's master table (kept so feature names match its model matrix).
@@ -33,8 +35,6 @@ MACRO_COLUMNS = ["inflation_cpi", "exports_pct_gdp", "unemployment_rate",
                  "investment_pct_gdp", "fx_jpy_per_usd"]
 GLOBAL_COLUMN = "oil_price_usd"
 
-FIRST_PERIOD = 23940          # January 1995 as a month index
-MACRO_STAGGER = 6             # series k starts at FIRST_PERIOD + 6*k
 REGIME_CUTOFF = 24000         # January 2000: role of the 2020 regime dummy
 RESTRICTED_START = 23964      # January 1997: role of the 1992 restricted sample
 
@@ -76,13 +76,12 @@ def growth_series(spark: SparkSession, sf_dir: str, level: DataFrame | None = No
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event list in the reference's cleaned-event schema, one row per event.
 
-    Event = returned first line of an order with quantity >= 40.  deaths = quantity,
+    Event = every returned line.  deaths = quantity,
     damage in thousands = price / 1000, negative when the line has no tax (dirty
     value that P7 must null), magnitude = discount, unknown when 0.
     """
     li = (read_table(spark, sf_dir, "lineitem")
-          .filter((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
-                  & (F.col("l_quantity") >= 40))
+          .filter(F.col("l_returnflag") == "R")
           .select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                   "l_shipdate", "l_returnflag"))
     o = read_table(spark, sf_dir, "orders").select(
@@ -104,89 +103,97 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
               ))
 
 
-def macro_series(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Five (entity, t, value) series; series k kept from FIRST_PERIOD + 6k on.
-
-    inflation_cpi      = mean line discount of the month's orders
-    exports_pct_gdp    = mean line quantity
-    unemployment_rate  = share of urgent orders
-    investment_pct_gdp = mean account balance of ordering customers
-    fx_jpy_per_usd     = number of orders
-    """
-    li = (read_table(spark, sf_dir, "lineitem")
-          .groupBy("l_orderkey")                       # one row per order before the join
-          .agg(F.sum(F.col("l_discount").cast(DEC)).alias("sum_disc"),
-               F.sum(F.col("l_quantity").cast(DEC)).alias("sum_qty"),
-               F.count(F.lit(1)).alias("n_lines"))
-          .withColumnRenamed("l_orderkey", "o_orderkey"))
-    of = order_facts(spark, sf_dir)
-    lines = (of.join(li, "o_orderkey")
-               .groupBy("entity", "t")
-               .agg(F.sum("sum_disc").alias("sd"), F.sum("sum_qty").alias("sq"),
-                    F.sum("n_lines").alias("nl")))
-    orders = (of.groupBy("entity", "t")
-                .agg(F.count(F.lit(1)).alias("n_orders"),
-                     F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"),
-                     F.sum(F.col("c_acctbal").cast(DEC)).alias("sum_bal")))
-    defs = [
-        (lines, MACRO_COLUMNS[0], F.col("sd").cast("double") / F.col("nl")),
-        (lines, MACRO_COLUMNS[1], F.col("sq").cast("double") / F.col("nl")),
-        (orders, MACRO_COLUMNS[2], F.col("n_urgent") / F.col("n_orders")),
-        (orders, MACRO_COLUMNS[3], F.col("sum_bal").cast("double") / F.col("n_orders")),
-        (orders, MACRO_COLUMNS[4], F.col("n_orders").cast("double")),
-    ]
-    out = []
-    for k, (src, name, expr) in enumerate(defs):
-        out.append(src.filter(F.col("t") >= FIRST_PERIOD + MACRO_STAGGER * k)
-                      .select("entity", "t", expr.alias(name)))
-    return out
+def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with the nation of their customer (NULL when unknown) and ship month."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+        month_index("l_shipdate").alias("t"))
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    c = read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("entity"))
+    return li.join(o, "l_orderkey", "left").join(c, "o_custkey", "left")
+
+
+def ship_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One aggregate per (entity, ship month): sums of lines (discount, quantity, price),
+    and the event aggregates of A1 over returned lines as conditional sums."""
+    event = F.col("l_returnflag") == "R"
+    exact = "decimal(38,6)"
+    damage = F.col("l_extendedprice") / F.lit(1000.0) * F.lit(1000.0)
+    known = F.when(F.col("l_tax") == 0, F.lit(0.0)).otherwise(damage)   # negative values are unknown (P7)
+    n = F.count_if(event)
+    magnitude = F.sum(F.when(event, F.coalesce("l_discount", F.lit(0.0)).cast(exact))).cast("double")
+    return (line_facts(spark, sf_dir).groupBy("entity", "t")
+            .agg(F.sum(F.col("l_discount").cast(DEC)).alias("sd"),
+                 F.sum(F.col("l_quantity").cast(DEC)).alias("sq"),
+                 F.sum(F.col("l_extendedprice").cast(DEC)).alias("sp"),
+                 F.count(F.lit(1)).alias("nl"),
+                 n.alias("n_events"),
+                 F.sum(F.when(event, F.coalesce("l_quantity", F.lit(0.0)).cast(exact))).cast("double").alias("total_deaths"),
+                 F.sum(F.when(event, F.coalesce(known, F.lit(0.0)).cast(exact))).cast("double").alias("total_damage"),
+                 F.when(n > 0, magnitude / n).alias("avg_magnitude")))
 
 
 def order_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order-based measure of the panel in ONE aggregate per (entity, t): the
-    level and the five macro inputs.  lineitem is reduced to one row per order first;
-    orders and the reduced lines are both partitioned by order key, so the join adds
-    no shuffle of its own."""
-    li = (read_table(spark, sf_dir, "lineitem")
-          .groupBy("l_orderkey")
-          .agg(F.sum(F.col("l_discount").cast(DEC)).alias("sum_disc"),
-               F.sum(F.col("l_quantity").cast(DEC)).alias("sum_qty"),
-               F.count(F.lit(1)).alias("n_lines"))
-          .withColumnRenamed("l_orderkey", "o_orderkey"))
-    return (order_facts(spark, sf_dir).join(li, "o_orderkey", "left")
-            .groupBy("entity", "t")
+    """One aggregate per (entity, order month): the level and counts of orders."""
+    return (order_facts(spark, sf_dir).groupBy("entity", "t")
             .agg(F.sum(F.col("o_totalprice").cast(DEC)).cast("double").alias("gdp"),
                  F.count(F.lit(1)).alias("n_orders"),
                  F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"),
-                 F.sum(F.col("c_acctbal").cast(DEC)).alias("sum_bal"),
-                 F.sum("sum_disc").alias("sd"), F.sum("sum_qty").alias("sq"),
-                 F.sum("n_lines").alias("nl")))
+                 F.sum(F.col("c_acctbal").cast(DEC)).alias("sum_bal")))
+
 
+def macro_formulas() -> tuple[dict, dict]:
+    """(by ship month, by order month): name -> expression over the aggregate's columns.
+
+    inflation_cpi      = mean line discount        exports_pct_gdp  = mean line quantity
+    unemployment_rate  = share of urgent orders    fx_jpy_per_usd   = number of orders
+    investment_pct_gdp = mean account balance of ordering customers
+    """
+    ship = {MACRO_COLUMNS[0]: F.col("sd").cast("double") / F.col("nl"),
+            MACRO_COLUMNS[1]: F.col("sq").cast("double") / F.col("nl")}
+    order = {MACRO_COLUMNS[2]: F.col("n_urgent") / F.col("n_orders"),
+             MACRO_COLUMNS[3]: F.col("sum_bal").cast("double") / F.col("n_orders"),
+             MACRO_COLUMNS[4]: F.col("n_orders").cast("double")}
+    return ship, order
 
-def wide_level_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, t, gdp, gdp_growth, five macro columns) from one aggregate.
 
-    Level and target come from the same table, so J1 (inner join level x growth)
-    reduces to the growth window plus dropping rows without growth; the macro block
-    (J3 + J4) is a projection of the same row.  Same rows as the join chain."""
-    f = order_month_facts(spark, sf_dir)
+def macro_series(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Five (entity, t, value) series, each over its own months."""
+    ship, order = macro_formulas()
+    lines = ship_month_facts(spark, sf_dir).filter(F.col("entity").isNotNull())
+    orders = order_month_facts(spark, sf_dir)
+    return ([lines.select("entity", "t", e.alias(name)) for name, e in ship.items()]
+            + [orders.select("entity", "t", e.alias(name)) for name, e in order.items()])
+
+
+def wide_level_panel(spark: SparkSession, sf_dir: str, ship: DataFrame | None = None) -> DataFrame:
+    """(entity, t, gdp, gdp_growth, event aggregates, five macro columns) from two
+    aggregates, one of orders and one of lines.
+
+    Level and target come from the same table, so J1 (inner join level x growth) reduces
+    to the growth window plus dropping rows without growth; the event aggregates (J2) and
+    the macro block (J3 + J4) are one left join of the line aggregate.  Same rows as the
+    join chain."""
+    ship = ship_month_facts(spark, sf_dir) if ship is None else ship
+    by_ship, by_order = macro_formulas()
+    events = ["n_events", "total_deaths", "total_damage", "avg_magnitude"]
+    lines = ship.select("entity", "t", *events, *[e.alias(name) for name, e in by_ship.items()])
     w = Window.partitionBy("entity").orderBy("t")
-    exprs = [F.col("sd").cast("double") / F.col("nl"), F.col("sq").cast("double") / F.col("nl"),
-             F.col("n_urgent") / F.col("n_orders"), F.col("sum_bal").cast("double") / F.col("n_orders"),
-             F.col("n_orders").cast("double")]
-    macro = [F.when(F.col("t") >= FIRST_PERIOD + MACRO_STAGGER * k, e).alias(name)
-             for k, (name, e) in enumerate(zip(MACRO_COLUMNS, exprs))]
     g = F.lit(100.0) * (F.col("gdp") / F.lag("gdp", 1).over(w) - F.lit(1.0))
-    return (f.select("entity", "t", "gdp", g.alias("gdp_growth"), *macro)
-             .filter(F.col("gdp_growth").isNotNull()))
+    own = (order_month_facts(spark, sf_dir)
+           .select("entity", "t", "gdp", g.alias("gdp_growth"), *[e.alias(name) for name, e in by_order.items()])
+           .filter(F.col("gdp_growth").isNotNull()))
+    joined = own.join(lines, ["entity", "t"], "left")
+    return fill_zero(joined, events[1:], int_columns=events[:1]).select(
+        "entity", "t", "gdp", "gdp_growth", *events, *MACRO_COLUMNS)
 
 
-def global_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(t, oil_price_usd): mean extended price of lines shipped in the month."""
-    li = read_table(spark, sf_dir, "lineitem")
-    return (li.groupBy(month_index("l_shipdate").alias("t"))
-              .agg((F.sum(F.col("l_extendedprice").cast(DEC)).cast("double")
-                    / F.count(F.lit(1))).alias(GLOBAL_COLUMN)))
+def global_series(spark: SparkSession, sf_dir: str, ship: DataFrame | None = None) -> DataFrame:
+    """(t, oil_price_usd): mean extended price of lines shipped in the month, rolled up
+    from the (entity, ship month) aggregate."""
+    ship = ship_month_facts(spark, sf_dir) if ship is None else ship
+    return ship.groupBy("t").agg((F.sum("sp").cast("double") / F.sum("nl")).alias(GLOBAL_COLUMN))
 
 
 def yearly_level_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,9 +264,8 @@ def speed_level_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the speed panel: returned lines with quantity >= 40, per supplier."""
-    li = (read_table(spark, sf_dir, "lineitem")
-          .filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 40)))
+    """Events of the speed panel: returned lines, per supplier."""
+    li = read_table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
     dmg_k = F.col("l_extendedprice") / F.lit(1000.0)
     return li.select(
         F.col("l_suppkey").alias("entity"), month_index("l_shipdate").alias("t"),
