@@ -9,6 +9,8 @@ from panelcast.llm.common import Steps
 
 #: The rows of a hub (a node with very many links) meet its minimum in this many places.
 HUB_SALT = 32
+#: A state of the iteration is kept in files of about so many links.
+LINKS_PER_FILE = 200_000
 
 
 def _with_minimum(rows: DataFrame, minima: DataFrame) -> DataFrame:
@@ -33,6 +35,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     stars, halves = Steps(links.sparkSession), Steps(links.sparkSession)
     edges = stars.put(links.where(x.isNotNull() & y.isNotNull())
                       .select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
+    files = 1 + edges.count() // LINKS_PER_FILE  # the number of links never grows beyond twice the first
     state = None
     for _ in range(max_rounds):
         # the larger neighbours of u go to the smallest of u and its neighbours
@@ -42,13 +45,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         large = (_with_minimum(up, low).select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
                  .unionByName(edges.where("u = v")).distinct())
         # the smaller neighbours of u, and u, go to the smallest of them
-        large = halves.put(large)
+        large = halves.put(large.coalesce(files))
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         several = low.where("n > 1").select("u", "m")
         small = (_with_minimum(large, several).where("m is not null and v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        edges = stars.put(small)
+        edges = stars.put(small.coalesce(files))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

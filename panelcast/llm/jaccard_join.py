@@ -23,6 +23,7 @@ cells of two.  All steps are exact: caps, samples and prefixes of texts occur no
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,18 +54,22 @@ class Bands:
         if not 0 < num <= den:
             raise ValueError("the ratio must be in (0, 1]")
         self.num, self.den = num, den
-        low = [1]
-        while low[-1] < 1 << 40:
-            low.append(low[-1] * den // num + 1)
-        self.low = np.array(low, dtype=np.int64)
+        self.low = [1]  # least size of each class; grows with the sizes that are asked for
+
+    def _reach(self, classes: int) -> None:
+        while len(self.low) <= classes:
+            self.low.append(self.low[-1] * self.den // self.num + 1)
 
     def of(self, size: int) -> int:
-        return int(np.searchsorted(self.low, size, side="right")) - 1
+        while self.low[-1] <= size:
+            self._reach(len(self.low))
+        return bisect_right(self.low, size) - 1
 
     def mismatches(self, band: int) -> tuple[int, bool]:
         """The most shingles in which two linked sets of the band differ; whether it is small."""
-        high = int(self.low[band + 1]) - 1
-        most = min(int(self.low[band + 2]) - 1, high * self.den // self.num)
+        self._reach(band + 2)
+        high = self.low[band + 1] - 1
+        most = min(self.low[band + 2] - 1, high * self.den // self.num)
         return (high + most) * (self.den - self.num) // (self.den + self.num), high < SMALL
 
 

@@ -151,6 +151,8 @@ def anchors_of(vocabulary: list[str], weights: np.ndarray, bias: np.ndarray, oft
         worst = int(reach.argmax())
         if reach[worst] <= 0:
             return chosen
+        if not holds:
+            return None
         word = max(sorted(holds), key=lambda w: gain[worst, holds[w]].sum())
         gain[:, holds.pop(word)] = 0
         chosen.append(word)
