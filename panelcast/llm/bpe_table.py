@@ -169,11 +169,11 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, decode: bool
     del common
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = _words(spec.value), hot.value.keys()
+        words, known = _words(spec.value), hot.value
         for batch in batches:
             keys, found = [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = set(words.cut(value.as_py())) - known
+                own = set(words.cut(value.as_py())).difference(known)  # a dict: asked by the word, not gone through
                 keys += [key] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=["key", "word"])

@@ -13,12 +13,14 @@ HUB_SALT = 32
 LINKS_PER_FILE = 200_000
 
 
-def _with_minimum(rows: DataFrame, minima: DataFrame) -> DataFrame:
-    """``rows`` (u, v) with m, the minimum that ``minima`` (u, m) holds for u, or null.
-    Salted on both sides, so that a hub's rows are spread over ``HUB_SALT`` tasks."""
-    salted = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(HUB_SALT)).cast("int"))
-    copies = minima.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALT - 1))))
-    return salted.join(copies, ["u", "s"], "left").drop("s")
+def _with_minimum(rows: DataFrame, minima: DataFrame, salts: int) -> DataFrame:
+    """``rows`` (u, v) with m, the minimum that ``minima`` (u, m) holds for u, or null.  With
+    salts, both sides are salted, so that a hub's rows are spread over as many tasks."""
+    if salts < 2:
+        return rows.join(minima, "u", "left")
+    salted = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    copies = minima.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies.hint("merge"), ["u", "s"], "left").drop("s")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -35,20 +37,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     stars, halves = Steps(links.sparkSession), Steps(links.sparkSession)
     edges = stars.put(links.where(x.isNotNull() & y.isNotNull())
                       .select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
-    files = 1 + edges.count() // LINKS_PER_FILE  # the number of links never grows beyond twice the first
+    files = 1 + edges.count() // LINKS_PER_FILE
+    salts = HUB_SALT if files > 1 else 1  # a hub of fewer links than a file holds is a small task
     state = None
     for _ in range(max_rounds):
         # the larger neighbours of u go to the smallest of u and its neighbours
         proper = edges.where("v < u")
         low = proper.groupBy("u").agg(F.min("v").alias("m"))
         up = proper.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large = (_with_minimum(up, low).select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
+        large = (_with_minimum(up, low, salts).select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
                  .unionByName(edges.where("u = v")).distinct())
         # the smaller neighbours of u, and u, go to the smallest of them
         large = halves.put(large.coalesce(files))
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         several = low.where("n > 1").select("u", "m")
-        small = (_with_minimum(large, several).where("m is not null and v <> m")
+        small = (_with_minimum(large, several, salts).where("m is not null and v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         edges = stars.put(small.coalesce(files))

@@ -259,7 +259,8 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, i
     sized = materialize(_sizes(rows, words))
     full = sized.where("n > 0 and id is not null")
     classes = full.groupBy("n", "f", "g").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    copies = materialize(full.join(classes.where("copies > 1"), ["n", "f", "g"]).where("id <> rep").select("id", "rep").distinct())
+    several = materialize(classes.where("copies > 1"))  # a table of its own: a hot class's rows can then be split
+    copies = materialize(full.join(several, ["n", "f", "g"]).where("id <> rep").select("id", "rep").distinct())
 
     def represented(links: DataFrame, side: str) -> DataFrame:
         swap = copies.select(F.col("id").alias(side), "rep")

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from panelcast.llm import embedding_dedup, sharding, topk_search
+from panelcast.llm import components, embedding_dedup, sharding, topk_search
 from panelcast.llm.components import connected_components
 
 
@@ -139,7 +139,9 @@ def test_embedding_components_match_brute_force(spark, monkeypatch, block_rows):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components_of_chains_hubs_and_loops(spark):
+@pytest.mark.parametrize("links_per_file", [200_000, 20])
+def test_components_of_chains_hubs_and_loops(spark, monkeypatch, links_per_file):
+    monkeypatch.setattr(components, "LINKS_PER_FILE", links_per_file)
     rng = np.random.default_rng(5)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 160)] + [(200, 200)]
     links += [tuple(int(v) for v in rng.integers(300, 400, 2)) for _ in range(60)]
