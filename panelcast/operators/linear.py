@@ -162,7 +162,7 @@ def fold_medians(rows: DataFrame, features: Sequence[str], fold_ends: Sequence[o
     exploded = rows.select(fold_of.alias("fold"), *[F.col(c) for c in features], F.col(y)).filter(
         F.col("fold").isNotNull())
     med: dict[tuple[int, str], float | None] = {}
-    for r in wide_medians(exploded, [*features, y], ["fold"]).collect():   # (folds+1) x p values
+    for r in wide_medians(exploded, [*features, y], ["fold"], small_groups=True).collect():   # (folds+1) x p values
         med[(int(r["fold"]), r["feature"])] = r["median"]
     return med
 

@@ -41,12 +41,12 @@ def _pick(distinct_counts: DataFrame, groups: list[str], base: str) -> DataFrame
 
 def grouped_quantile(df: DataFrame, value_col: str, q: float, group_cols: Sequence[str] = (),
                      *, accuracy: int = DEFAULT_ACCURACY, out_col: str = "quantile",
-                     small_groups: bool = True, bracket: float = 3.0, exact: bool = True) -> DataFrame:
+                     small_groups: bool = False, bracket: float = 3.0, exact: bool = True) -> DataFrame:
     """Exact linear-interpolated quantile of ``value_col`` per group.
 
     Returns ``group_cols + [n, out_col]``; groups with no non-NULL value are absent.
-    ``small_groups`` (the number of groups is bounded by the caller, e.g. features x
-    folds) lets the per-group statistics be broadcast; otherwise they are shuffled.
+    ``small_groups`` says that the caller bounds the number of groups (e.g. features x
+    folds): the per-group statistics are then broadcast; otherwise they are shuffled.
     NULL values are ignored (as NumPy after dropping missing values).  ``bracket`` is the
     half-width of the bracket in units of ``1/accuracy`` (tests set 0 to exercise the
     fallback).  ``exact=False`` returns ``percentile_approx`` in one pass (an element
@@ -58,7 +58,7 @@ def grouped_quantile(df: DataFrame, value_col: str, q: float, group_cols: Sequen
     groups = list(group_cols)
     if not groups:
         df = df.withColumn("__qgrp", F.lit(0))
-        groups = ["__qgrp"]
+        groups, small_groups = ["__qgrp"], True
     v = F.col(value_col).cast("double")
     vals = df.select(*groups, v.alias("__v")).filter(F.col("__v").isNotNull())
     if not exact:
@@ -122,7 +122,9 @@ def quantile_scalar(df: DataFrame, value_col: str, q: float, **kw):
 def wide_medians(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = (),
                  **kw) -> DataFrame:
     """Exact medians of many columns at once: stack to (group, feature, value) and run
-    one grouped quantile (two passes for all columns together)."""
+    one grouped quantile (two passes for all columns together).  ``small_groups`` as in
+    ``grouped_quantile``, for ``group_cols``; without them the groups are the columns."""
+    kw.setdefault("small_groups", not group_cols)
     if not columns:
         raise ValueError("no columns")
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)

@@ -89,10 +89,34 @@ def test_write_runs_scan_and_latest(spark):
     d = tempfile.mkdtemp(prefix="pc-runs-")
     m = spark.createDataFrame([("ridge", 1.5, "run_a"), ("ols", 2.5, "run_a"), ("ridge", 0.5, "run_b")],
                               "model string, test_RMSE double, tag string")
-    paths = rs.write_runs(m, d)
-    assert [os.path.basename(p) for p in paths] == ["model_metrics_run_a.csv", "model_metrics_run_b.csv"]
-    got = sorted(tuple(r) for r in rs.scan_runs(spark, os.path.join(d, "model_metrics_*.csv"),
-                                                schema="model string, test_RMSE double")
+    runs = rs.write_runs(m.filter("tag = 'run_b'"), d)
+    time.sleep(1.1)
+    assert rs.write_runs(m.filter("tag = 'run_a'"), d, mode="append") == runs
+    got = sorted(tuple(r) for r in rs.scan_runs(spark, runs, schema="model string, test_RMSE double")
                                       .select("tag", "model", "test_RMSE").collect())
     assert got == [("run_a", "ols", 2.5), ("run_a", "ridge", 1.5), ("run_b", "ridge", 0.5)]
-    assert rs.latest_run(spark, os.path.join(d, "model_metrics_*.csv")).first()["tag"] == "run_b"
+    assert rs.latest_run(spark, runs).first()["tag"] == "run_a"
+
+
+def test_run_files_are_read_by_name(spark):
+    d = tempfile.mkdtemp(prefix="pc-wide-")
+    write(os.path.join(d, "model_metrics_run_x.csv"),
+          "model,train_MAE,train_RMSE,test_MAE,test_RMSE,n_test\nridge,0.1,0.2,0.3,0.4,12\n")
+    write(os.path.join(d, "model_metrics_run_y.csv"), "n_test,model,note\n7,\"ols, plain\",x\nbad,mean,y\n")
+    out = rs.scan_runs(spark, os.path.join(d, "model_metrics_*.csv"), schema="model string, test_RMSE double, n_test bigint")
+    got = sorted((r["tag"], r["model"], r["test_RMSE"], r["n_test"]) for r in out.collect())
+    assert got == [("run_x", "ridge", 0.4, 12), ("run_y", "mean", None, None), ("run_y", "ols, plain", None, 7)]
+
+
+def test_every_file_loses_its_own_preamble(spark):
+    d = tempfile.mkdtemp(prefix="pc-two-")
+    write(os.path.join(d, "a.csv"), "Source,x\n\nUpdated\nCountry Name,Country Code,Indicator Name,Indicator Code,1960,1961\nA,AAA,G,N,1,2\n")
+    write(os.path.join(d, "b.csv"), "Other,y\nz\n\nCountry Code,Country Name,Indicator Name,Indicator Code,1960,1961\nBBB,B,G,N,3,..\n")
+    out = ex.load_wide_indicator(spark, d, "gdp").collect()
+    assert sorted((r["entity"], r["t"], r["gdp"]) for r in out) == [("AAA", 1960, 1.0), ("AAA", 1961, 2.0), ("BBB", 1960, 3.0)]
+    write(os.path.join(d, "c.csv"), "one\ntwo\n")
+    try:
+        ex.load_wide_indicator(spark, d, "gdp")
+        raise AssertionError("expected error")
+    except ValueError:
+        pass
