@@ -18,7 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,11 +118,13 @@ def events_of(turns: DataFrame, piece: int = 256) -> DataFrame:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What is read back from each formatted conversation."""
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(),
+             "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for conv_id, whole in zip(pdf["conv_id"], pdf["formatted"], strict=True):
+            for conv_id, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 turns = parse(whole)
                 every, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
                 for role, text, start, end in turns:
@@ -132,10 +134,10 @@ def digests(formatted: DataFrame) -> DataFrame:
                         loss.update(learnt.encode())
                         chars += len(learnt)
                 rows.append((conv_id, len(turns), every.hexdigest(), chars, loss.hexdigest(), len(whole)))
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            yield out.astype({"conv_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+                                             if rows else [pa.array([], t) for t in kinds.values()], names=list(kinds))
 
-    return formatted.select(F.col("conv_id").cast("long").alias("conv_id"), "formatted").mapInPandas(
+    return formatted.select(F.col("conv_id").cast("long").alias("conv_id"), "formatted").mapInArrow(
         read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,25 +97,26 @@ def nnpu_fit(rows: list[list[int]], confirmed: np.ndarray, start: np.ndarray, pr
 def _term_counts(sample: DataFrame) -> DataFrame:
     """(term, confirmed, unlabelled): documents of the sample that hold the term."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}
 
-        def out() -> pd.DataFrame:
-            rows = pd.DataFrame({"term": [*held[1], *held[0]],
-                                 "confirmed": [*held[1].values()] + [0] * len(held[0]),
-                                 "unlabelled": [0] * len(held[1]) + [*held[0].values()]})
+        def out() -> pa.RecordBatch:
+            known, hidden = held[1], held[0]
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array([*known, *hidden], pa.string()), pa.array([*known.values()] + [0] * len(hidden), pa.int64()),
+                 pa.array([0] * len(known) + [*hidden.values()], pa.int64())], names=["term", "confirmed", "unlabelled"])
             held[0].clear()
             held[1].clear()
             return rows
 
-        for pdf in batches:
-            for text, known in zip(pdf["text"], pdf["known"], strict=True):
-                held[int(known)].update(terms_of(text))
+        for batch in batches:
+            for text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[known].update(terms_of(text))
                 if len(held[0]) + len(held[1]) > HELD_TERMS:
                     yield out()
         yield out()
 
-    return (sample.select("text", "known").mapInPandas(count, "term string, confirmed long, unlabelled long")
+    return (sample.select("text", "known").mapInArrow(count, "term string, confirmed long, unlabelled long")
             .groupBy("term").agg(F.sum("confirmed").alias("confirmed"), F.sum("unlabelled").alias("unlabelled")))
 
 
