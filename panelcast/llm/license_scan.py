@@ -70,7 +70,7 @@ PLAIN = ("The driving licence must be renewed every ten years.", "The poet took
 #: Variants of each notice, the share of words each one loses, and corpus documents whose
 #: paragraphs are taken as unknown.
 VARIANTS, DROPPED, UNKNOWN_DOCS = 60, 15, 400
-#: N-grams of more than this share of the unknown rows are no features (everyday words).
+#: N-grams of more than this share of the corpus paragraphs are no features (everyday words).
 COMMON = 0.01
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.5
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
@@ -97,7 +97,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """(family, grams, part): part 0 is held out for the temperature."""
+    """(family, grams, corpus, part): part 0 is held out for the temperature."""
     spark = docs.sparkSession
 
     def lessened(text: Column, variant: Column) -> Column:
@@ -112,8 +112,9 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, seed: int) -> Dat
     picked = bounded_sample(docs.where(F.col(id_col).isNotNull()), id_col, UNKNOWN_DOCS, seed)
     lines = paragraphs(picked, id_col, text_col).where(~F.lower("text").contains("licen"))
     corpus = lines.select(F.lit(UNKNOWN).alias("family"), "text", F.col("paragraph").alias("k"))
-    rows = known.unionByName(plain).unionByName(corpus).withColumn("grams", ngrams(F.col("text")))
-    return rows.select("family", "grams", F.pmod(F.xxhash64("text", "k"), F.lit(4)).cast("int").alias("part"))
+    made = known.unionByName(plain).withColumn("corpus", F.lit(False))
+    rows = made.unionByName(corpus.withColumn("corpus", F.lit(True))).withColumn("grams", ngrams(F.col("text")))
+    return rows.select("family", "grams", "corpus", F.pmod(F.xxhash64("text", "k"), F.lit(4)).cast("int").alias("part"))
 
 
 @dataclass
@@ -169,7 +170,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     families = [*NOTICES, UNKNOWN]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     rows = materialize(training_rows(docs, id_col, text_col, seed).withColumn("label", number).coalesce(2))
-    unknown = rows.where(F.col("family") == UNKNOWN)
+    unknown = rows.where("corpus")
     everyday = (unknown.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
                 .where(F.col("n") > COMMON * unknown.count()).select("g"))
     own = notices(spark).select(F.explode(ngrams(F.col("text"))).alias("g")).distinct()
