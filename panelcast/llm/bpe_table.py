@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,12 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import materialize
+from panelcast.llm.common import materialize, shuffle_partitions
 
 #: The most common words that are sent to every task (about 60 MB there).
-HOT_WORDS = 500_000
+HOT_WORDS = 400_000
 #: A task hands its counts on when it holds this many words.
-HELD_WORDS = 400_000
+HELD_WORDS = 300_000
+#: Words that are handed to the tokenizer library as one text.
+RUN_WORDS = 2_000
 #: Bytes of token ids in an output batch.
 BATCH_BYTES = 4 << 20
 #: Fixed values of the tokenizer file's splitting pattern: endings that are words of their own.
@@ -58,6 +61,7 @@ class Words:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ends: np.ndarray | None = None
         special = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         plain = _plain_characters()
@@ -84,8 +88,23 @@ class Words:
         return out
 
     def encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """Ids of each word as little-endian unsigned 32-bit integers.  Words go to the library
+        as texts of many, separated by spaces, which are cut again after every piece that
+        ends a word; a text whose ends do not match its words is encoded word by word."""
+        if self.ends is None:
+            pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+            self.ends = np.array([p.endswith("</w>") or bool(self.special and self.special.fullmatch(p)) for p in pieces])
+        runs = [words[k:k + RUN_WORDS] for k in range(0, len(words), RUN_WORDS)]
+        out: list[bytes] = []
+        for run, made in zip(runs, self.tokenizer.encode_batch([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(run) and (not len(ids) or last[-1] == len(ids)):
+                out += [part.tobytes() for part in np.split(ids, last[:-1])]
+            else:
+                alone = self.tokenizer.encode_batch(run, add_special_tokens=False)
+                out += [np.array(e.ids, dtype="<u4").tobytes() for e in alone]
+        return out
 
 
 _MADE: dict[int, Words] = {}
@@ -107,29 +126,42 @@ def read_spec(path: str) -> str:
 def word_table(docs: DataFrame, spec) -> DataFrame:
     """(word, n, ids): every distinct word, how often it occurs, and its ids, encoded once."""
 
+    buckets = 4 * shuffle_partitions(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's words and counts, packed by bucket (sorted words share beginnings)."""
         words, held = _words(spec.value), Counter()
+        squeeze = zstandard.ZstdCompressor(level=3)
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            dealt: dict[int, list[str]] = {}
+            for w in sorted(held):
+                dealt.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+            packed = [squeeze.compress(" ".join(own).encode("utf-8", "surrogatepass")) for own in dealt.values()]
+            counts = [squeeze.compress(np.array([held[w] for w in own], dtype="<i8").tobytes()) for own in dealt.values()]
             held.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())],
+                                              names=["bucket", "packed", "counts"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words.cut(text.as_py()))
+            for text in batch.column(0).to_pylist():
+                held.update(words.cut(text))
                 if len(held) > HELD_WORDS:
                     yield out()
         yield out()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(spec.value)
-        for batch in batches:
-            ids = words.encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
-
-    counted = (docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    return counted.mapInArrow(encode, "word string, n long, ids binary")
+    def merge(table: pa.Table) -> pa.Table:
+        """A bucket's distinct words with their total counts and ids."""
+        expand, total = zstandard.ZstdDecompressor(), Counter()
+        for packed, counts in zip(table.column("packed").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            own = expand.decompress(packed).decode("utf-8", "surrogatepass").split(" ")
+            total.update(dict(zip(own, np.frombuffer(expand.decompress(counts), "<i8").tolist(), strict=True)))
+        own = list(total)
+        return pa.table({"word": pa.array(own, pa.string()), "n": pa.array(list(total.values()), pa.int64()),
+                         "ids": pa.array(_words(spec.value).encode(own), pa.binary())})
+
+    packed = docs.select("text").mapInArrow(count, "bucket int, packed binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(merge, "word string, n long, ids binary")
 
 
 def _hot_count(table: DataFrame, most: int) -> int:
