@@ -217,9 +217,10 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, decode: bool
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["doc_id", "key", "packed"])
 
     others = table.where(F.col("n") < least).select("word", "ids")
-    asked = rows.select("key", "text").mapInArrow(rare, "key long, word string").distinct()
-    answers = (asked.join(others, "word").groupBy("key")
-               .agg(F.collect_list("word").alias("words"), F.collect_list("ids").alias("word_ids")))
+    asked = rows.select("key", "text").mapInArrow(rare, "key long, word string")
+    # word, a space (which no word holds) and ids as one value; rows that share a key share its set
+    answer = F.concat(F.col("word").cast("binary"), F.lit(b" "), F.col("ids"))
+    answers = asked.join(others, "word").groupBy("key").agg(F.collect_set(answer).alias("answers"))
     kind = dict(rows.dtypes)["doc_id"]
     packed = rows.mapInArrow(pack, f"doc_id {kind}, key long, packed binary")
 
@@ -244,7 +245,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, decode: bool
             doc_type = batch.schema.field("doc_id").type
             for k in range(len(batch)):
                 value = expand.decompress(batch.column(1)[k].as_py()).decode("utf-8", "surrogatepass")
-                more = dict(zip(batch.column(2)[k].as_py() or (), batch.column(3)[k].as_py() or (), strict=True))
+                more = {w.decode("utf-8", "surrogatepass"): i for w, _, i in (a.partition(b" ") for a in batch.column(2)[k].as_py() or ())}
                 get = known.get
                 ids = b"".join([get(w) or more[w] for w in words.cut(value)])
                 n = len(ids) // 4
@@ -258,5 +259,5 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, decode: bool
                 yield batch_of(out)
                 out, held = [], 0
 
-    joined = packed.join(answers, "key", "left").select("doc_id", "packed", "words", "word_ids")
+    joined = packed.join(answers, "key", "left").select("doc_id", "packed", "answers")
     return joined.mapInArrow(assemble, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded string" * decode)
