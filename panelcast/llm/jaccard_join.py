@@ -42,6 +42,8 @@ SMALL = 24
 HELD = 1 << 21
 #: Sets in a sub-block, and in a group of the token-group matrix.
 SUB_BLOCK, GROUP = 96, 32
+#: Sub-blocks that meet in cells are so many times larger.
+CELL_SIDE = 4
 #: At most so many document ids (16 MB) are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -310,13 +312,14 @@ def _across(held: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
     so_far = connected_components(links)
     row = held.join(so_far, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     row = materialize(row)
+    cell = CELL_SIDE * SUB_BLOCK  # each set is sent once for every other sub-block: the larger, the fewer
     parts = row.groupBy("block", "part").agg(F.count("*").alias("n"))
     # a large component has sub-blocks of its own, small ones share some
-    big = F.col("n") >= SUB_BLOCK // 2
-    small = parts.where(~big).groupBy("block").agg(F.ceil(F.sum("n") / SUB_BLOCK).cast("int").alias("shares"))
+    big = F.col("n") >= cell // 2
+    small = parts.where(~big).groupBy("block").agg(F.ceil(F.sum("n") / cell).cast("int").alias("shares"))
     parts = (parts.join(small, "block", "left")
              .withColumn("pure", F.when(big, F.col("part")))
-             .withColumn("cuts", F.when(big, F.ceil(F.col("n") / SUB_BLOCK)).otherwise(F.col("shares")).cast("int"))
+             .withColumn("cuts", F.when(big, F.ceil(F.col("n") / cell)).otherwise(F.col("shares")).cast("int"))
              .select("block", "part", "pure", "cuts"))
     parts = materialize(parts)
     placed = (row.join(parts, ["block", "part"])
