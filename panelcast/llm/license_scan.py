@@ -3,10 +3,11 @@
 A paragraph (a line of a text) is the set of its word 1-grams and 2-grams.  A sparse
 multinomial logistic regression over the n-grams of known licence notices tells licence
 families and ``unknown`` apart.  It is trained here, from the notices below with words
-dropped at random and from paragraphs of the corpus itself as ``unknown``; a held-out part
-of the same rows sets the temperature of its probabilities.  A family is reported where
-its probability is at least one half, and confirmed where enough n-grams of the paragraph
-or of a notice of that family are common to both.
+dropped at random and from paragraphs of a bounded sample of the corpus as ``unknown``; a
+held-out part of the same rows sets the temperature of its probabilities.  Which words are
+everyday words, and so no features, is counted over every line of the corpus.  A family is
+reported where its probability is at least one half, and confirmed where enough n-grams of
+the paragraph or of a notice of that family are common to both.
 
 Only DataFrame and SQL functions and MLlib's DataFrame API are used.  A paragraph without
 any of the model's anchor words can't reach a family (the sum of all other positive weights
@@ -17,6 +18,7 @@ no result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -67,19 +69,28 @@ PLAIN = ("The driving licence must be renewed every ten years.", "The poet took
          "All versions of the story were released to the public in general.", "You may use this file as you please.",
          "The software is free of charge for any person.", "Version 2.0 of the plan was published under a new name.",
          "Permission was granted by the council.", "A copy of the work is kept in the source and in binary form.")
-#: Variants of each notice, the share of words each one loses, and corpus documents whose
-#: paragraphs are taken as unknown.
+#: Variants of each notice, the share of words each one loses, and (by default) corpus
+#: documents whose paragraphs are training rows of the unknown class.
 VARIANTS, DROPPED, UNKNOWN_DOCS = 60, 15, 400
-#: N-grams of more than this share of the corpus paragraphs are no features (everyday words).
+#: Words of more than this share of the corpus lines are no features (everyday words).
 COMMON = 0.01
+#: A line is a notice's own, and no evidence of everyday words, where so many words of both
+#: are common: at least this number, and this share of the notice's words or of the line's.
+LEAST_SHARED, NOTICE_SHARE, LINE_SHARE = 3, 0.5, 0.8
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.5
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 
 
+def words_of(text: Column) -> Column:
+    """Words in order: runs of a-z or a number."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+|[0-9]+(?:\.[0-9]+)*)"), F.lit(1))
+
+
 def ngrams(text: Column) -> Column:
-    """Distinct word 1-grams and 2-grams; words are runs of a-z or a number."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+|[0-9]+(?:\.[0-9]+)*)"), F.lit(1))
-    pairs = F.transform(words, lambda w, i: F.when(i > 0, F.concat(F.get(words, i - 1), F.lit(" "), w)))
+    """Distinct word 1-grams and 2-grams."""
+    words = words_of(text)
+    # a lambda that read ``words`` would cut the text anew for every word
+    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda v, w: F.concat(v, F.lit(" "), w))
     return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
 
 
@@ -96,7 +107,39 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(F.trim("text") != "")
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+def _common(words: Column, own: list[str]) -> Column:
+    """How many of the words are in the list."""
+    return F.size(F.filter(words, lambda w: w.isin(own)))
+
+
+def _of_a_notice(words: Column, own: list[list[str]]) -> Column:
+    """Whether the distinct words of a line are those of a notice, whole or in part."""
+    shared = [_common(words, o) for o in own]
+    hits = [(n >= LEAST_SHARED) & ((n >= NOTICE_SHARE * len(o)) | (n >= LINE_SHARE * F.size(words))) for n, o in zip(shared, own, strict=True)]
+    return reduce(Column.__or__, hits)
+
+
+def notice_words(spark: SparkSession) -> list[list[str]]:
+    """The distinct words of every notice (a fixed table)."""
+    return [r["w"] for r in notices(spark).select(F.array_sort(F.array_distinct(words_of(F.col("text")))).alias("w")).collect()]
+
+
+def everyday_words(docs: DataFrame, id_col: str, text_col: str) -> set[str]:
+    """Words of notices that more than COMMON of all lines of the corpus hold; lines that are
+    a notice's own are left out.  One distributed count, of as many rows as notices have words.
+    (A 2-gram is in no more lines than its words, so words alone decide.)"""
+    own = notice_words(docs.sparkSession)
+    listed = sorted({w for o in own for w in o})
+    # exploded, w is an attribute: each lambda would cut the text anew
+    lines = paragraphs(docs, id_col, text_col).select(F.explode(F.array(F.array_distinct(words_of(F.col("text"))))).alias("w"))
+    others = lines.where(~_of_a_notice(F.col("w"), own))
+    # the null in each line counts the lines
+    words = others.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.filter("w", lambda w: w.isin(listed)))).alias("w"))
+    n = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {w for w, k in n.items() if w is not None and k > COMMON * n[None]}
+
+
+def training_rows(docs: DataFrame, id_col: str, text_col: str, seed: int, unknown_docs: int = UNKNOWN_DOCS) -> DataFrame:
     """(family, grams, corpus, part): part 0 is held out for the temperature."""
     spark = docs.sparkSession
 
@@ -109,9 +152,11 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, seed: int) -> Dat
     plain = (spark.range(1).select(F.explode(F.array(*map(F.lit, PLAIN))).alias("t"))
              .withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
              .select(F.lit(UNKNOWN).alias("family"), lessened(F.col("t"), F.col("v")).alias("text"), F.col("v").alias("k")))
-    picked = bounded_sample(docs.where(F.col(id_col).isNotNull()), id_col, UNKNOWN_DOCS, seed)
-    lines = paragraphs(picked, id_col, text_col).where(~F.lower("text").contains("licen"))
-    corpus = lines.select(F.lit(UNKNOWN).alias("family"), "text", F.col("paragraph").alias("k"))
+    picked = bounded_sample(docs.where(F.col(id_col).isNotNull()), id_col, unknown_docs, seed)
+    # lines that speak of licences stay, as long as no notice is in them
+    lines = (paragraphs(picked, id_col, text_col).withColumn("w", F.explode(F.array(F.array_distinct(words_of(F.col("text"))))))
+             .where(~_of_a_notice(F.col("w"), notice_words(spark))))
+    corpus = lines.select(F.lit(UNKNOWN).alias("family"), "text", F.lit(0).alias("k"))  # equal lines are in one part
     made = known.unionByName(plain).withColumn("corpus", F.lit(False))
     rows = made.unionByName(corpus.withColumn("corpus", F.lit(True))).withColumn("grams", ngrams(F.col("text")))
     return rows.select("family", "grams", "corpus", F.pmod(F.xxhash64("text", "k"), F.lit(4)).cast("int").alias("part"))
@@ -165,19 +210,18 @@ def _as_word(word: str) -> str:
     return f"(?<![{letters}]){word.replace('.', chr(92) + '.')}(?![{letters}])"
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 6) -> Scanner:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 6,
+          unknown_docs: int = UNKNOWN_DOCS) -> Scanner:
+    """The model for ``docs``.  ``unknown_docs`` bounds the documents whose paragraphs are
+    training rows; nothing else is sampled."""
     spark = docs.sparkSession
     families = [*NOTICES, UNKNOWN]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    rows = materialize(training_rows(docs, id_col, text_col, seed).withColumn("label", number).coalesce(2))
-    unknown = rows.where("corpus")
-    everyday = (unknown.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-                .where(F.col("n") > COMMON * unknown.count()).select("g"))
-    own = notices(spark).select(F.explode(ngrams(F.col("text"))).alias("g")).distinct()
+    rows = materialize(training_rows(docs, id_col, text_col, seed, unknown_docs).withColumn("label", number).coalesce(2))
+    often = everyday_words(docs, id_col, text_col)
     # at most as large as the notices above
-    seen = own.join(everyday.withColumn("often", F.lit(True)), "g", "left").select("g", F.coalesce("often", F.lit(False)).alias("often")).collect()
-    often = {r["g"] for r in seen if r["often"]}
-    vocabulary = sorted(r["g"] for r in seen if not r["often"] and not often.issuperset(r["g"].split(" ")))
+    own = {r["g"] for r in notices(spark).select(F.explode(ngrams(F.col("text"))).alias("g")).distinct().collect()}
+    vocabulary = sorted(g for g in own if not often.issuperset(g.split(" ")))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="__features")
     vectors.setBinary(True)
     fit = LogisticRegression(featuresCol="__features", labelCol="label", rawPredictionCol="__raw", probabilityCol="__probability",
@@ -195,7 +239,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     return Scanner(families, vectors, model, temperature, anchors_of(vocabulary, weights, bias, often))
 
 
-def scan(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text",
+         unknown_docs: int = UNKNOWN_DOCS) -> DataFrame:
     """One row per paragraph that names a licence: ``id_col``, paragraph (line number from 0),
     text, family, probability, similarity (overlap of n-grams with the family's nearest
     notice), confirmed.
@@ -211,7 +256,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id"
             return texts.limit(0).select(
                 id_col, F.lit(0).alias("paragraph"), F.lit("").alias("text"), F.lit("").alias("family"),
                 F.lit(0.0).alias("probability"), F.lit(0.0).alias("similarity"), F.lit(False).alias("confirmed"))
-        scanner = train(texts, id_col, text_col)
+        scanner = train(texts, id_col, text_col, unknown_docs=unknown_docs)
     lines = texts
     if scanner.anchors is not None:
         pattern = "|".join(_as_word(w) for w in scanner.anchors)
