@@ -1,13 +1,16 @@
 """Licence scan: a trained paragraph classifier confirmed by templates.
 
-A paragraph (a line of a text) is the set of its word 1-grams and 2-grams.  A sparse
+A paragraph is a run of lines between blank ones, or one line of it: a wrapped notice is
+judged as a whole, a notice of one line among other lines by itself.  Either is the set of
+its word 1-grams and 2-grams.  A sparse
 multinomial logistic regression over the n-grams of known licence notices tells licence
 families and ``unknown`` apart.  It is trained here, from the notices below with words
 dropped at random and from paragraphs of a bounded sample of the corpus as ``unknown``; a
 held-out part of the same rows sets the temperature of its probabilities.  Which words are
-everyday words, and so no features, is counted over every line of the corpus.  A family is
-reported where its probability is at least one half, and confirmed where enough n-grams of
-the paragraph or of a notice of that family are common to both.
+everyday words, and so no features, is counted over every line of the corpus.  The
+likeliest family is reported where ``unknown`` has at most one half of the probability, and
+confirmed where enough n-grams of the paragraph or of a notice of that family are common to
+both.
 
 Only DataFrame and SQL functions and MLlib's DataFrame API are used.  A paragraph without
 any of the model's anchor words can't reach a family (the sum of all other positive weights
@@ -77,7 +80,11 @@ COMMON = 0.01
 #: A line is a notice's own, and no evidence of everyday words, where so many words of both
 #: are common: at least this number, and this share of the notice's words or of the line's.
 LEAST_SHARED, NOTICE_SHARE, LINE_SHARE = 3, 0.5, 0.8
-LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.5
+LEAST_KNOWN, LEAST_SIMILARITY = 0.5, 0.5
+#: Lines are a wrapped notice if together they hold this share of its n-grams (as far as they
+#: are features), and so much more than any one of them; a line that holds more than WHOLE of
+#: a notice of another family is a notice of its own.
+WRAPPED, MORE, WHOLE = 0.5, 0.25, 0.8
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 
 
@@ -102,11 +109,32 @@ def notices(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, paragraph, text): lines of each text that are not blank, numbered from 0."""
+    """(id, paragraph, text): lines of each text that are not blank, numbered from 0: the rows
+    of the statistics and of training."""
     lines = docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "text"))
     return lines.where(F.trim("text") != "")
 
 
+def runs_of_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, first, lines): runs of lines that are not blank, and the number of their first line."""
+    # exploded, an array is an attribute: lambdas would cut the text anew
+    cut = docs.select(F.col(id_col), F.explode(F.array(F.split(F.col(text_col), "\n"))).alias("__all"))
+    blank = F.filter(F.transform("__all", lambda t, i: F.when(~t.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    cut = cut.select(id_col, "__all", F.explode(F.array(blank)).alias("__blank"))
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), "__blank"), F.concat("__blank", F.array(F.size("__all"))),
+                      lambda a, b: F.struct((a + 1).alias("first"), F.slice("__all", a + 2, b - a - 1).alias("lines")))
+    return cut.select(id_col, F.explode(runs).alias("__run")).select(id_col, "__run.first", "__run.lines").where(F.size("lines") > 0)
+
+
+def units(runs: DataFrame, id_col: str) -> DataFrame:
+    """(id, __key, __whole, paragraph, text) of each run of several lines and of each line; the
+    key is that of the run."""
+    whole = F.struct(F.lit(True).alias("__whole"), F.col("first").alias("paragraph"), F.concat_ws(" ", "lines").alias("text"))
+    single = F.transform("lines", lambda t, i: F.struct(F.lit(False).alias("__whole"), (F.col("first") + i).alias("paragraph"), t.alias("text")))
+    both = F.when(F.size("lines") > 1, F.concat(F.array(whole), single)).otherwise(single)
+    return runs.select(id_col, "__key", F.explode(both).alias("__unit")).select(id_col, "__key", "__unit.*")
+
+
 def _common(words: Column, own: list[str]) -> Column:
     """How many of the words are in the list."""
     return F.size(F.filter(words, lambda w: w.isin(own)))
@@ -170,6 +198,10 @@ class Scanner:
     temperature: float
     anchors: list[str] | None
 
+    @property
+    def vocabulary(self) -> list[str]:
+        return self.vectors.vocabulary
+
     def logits(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with grams) and z, the linear scores of the families."""
         scored = self.model.transform(self.vectors.transform(rows)).withColumn("z", vector_to_array(F.col("__raw")))
@@ -182,20 +214,26 @@ def _softmax(logits: Column, temperature: float) -> Column:
     return F.transform(logits, lambda z: F.exp((z - top) / temperature) / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def anchors_of(vocabulary: list[str], weights: np.ndarray, bias: np.ndarray, often: set[str]) -> list[str] | None:
-    """Words of which a paragraph needs at least one before any family can outweigh
-    ``unknown`` (the last class), none of them an everyday word.  None if there is no such
-    set."""
+def anchors_of(vocabulary: list[str], weights: np.ndarray, bias: np.ndarray, often: set[str],
+               temperature: float = 0.0) -> list[str] | None:
+    """Words of which a paragraph needs at least one before the families, whose probabilities
+    at the temperature are added up (at 0: any one of them), can outweigh ``unknown`` (the
+    last class), none of them an everyday word.  None if there is no such set."""
     gain = np.maximum(0, weights[:-1] - weights[-1])
     start = bias[:-1] - bias[-1]
-    if (start > 0).any():
+
+    def outweighs(reach: np.ndarray) -> bool:
+        top = reach.max()
+        return top + (temperature * np.log(np.exp((reach - top) / temperature).sum()) if temperature else 0.0) > 0
+
+    if outweighs(start):
         return None
     holds = {w: [i for i, g in enumerate(vocabulary) if w in g.split(" ")] for w in {w for g in vocabulary for w in g.split(" ")} - often}
     chosen: list[str] = []
     while True:
         reach = start + gain.sum(axis=1)
         worst = int(reach.argmax())
-        if reach[worst] <= 0:
+        if not outweighs(reach):
             return chosen
         if not holds:
             return None
@@ -236,14 +274,40 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     losses = held.agg(*loss).first()
     temperature = TEMPERATURES[int(np.argmin([v if v is not None else np.inf for v in losses]))]
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    return Scanner(families, vectors, model, temperature, anchors_of(vocabulary, weights, bias, often))
+    return Scanner(families, vectors, model, temperature, anchors_of(vocabulary, weights, bias, often, temperature))
+
+
+def _paragraphs_of_notices(named: DataFrame, scanner: Scanner) -> DataFrame:
+    """Of ``named`` (units that name a family) either a run of lines or lines of it."""
+    features = set(scanner.vocabulary)
+    rows = notices(named.sparkSession).select("family", ngrams(F.col("text")).alias("own")).collect()  # a fixed table
+    held = [(r["family"], [g for g in r["own"] if g in features]) for r in rows]
+    held = [(family, own) for family, own in held if own]
+    shares = F.array(*[_common(F.col("grams"), own) / F.lit(float(len(own))) for _, own in held])
+    named = materialize(named.withColumn("__shares", shares))
+    share = [F.get("__shares", F.lit(k)) for k in range(len(held))]
+    lines, runs = named.where("not __whole"), named.where("__whole")
+    most = lines.groupBy("__key").agg(F.array(*[F.max(c) for c in share]).alias("__most"))
+    more = [(F.col("family") == family) & (c >= WRAPPED) & (c - F.coalesce(F.get("__most", F.lit(k)), F.lit(0.0)) >= MORE)
+            for k, ((family, _), c) in enumerate(zip(held, share, strict=True))]
+    runs = runs.join(most, "__key", "left").where(F.col("__most").isNull() | reduce(Column.__or__, more, F.lit(False))).drop("__most")
+    runs = materialize(runs)
+    of = runs.select("__key", F.col("family").alias("__run_family"))
+    other = reduce(Column.__or__, [(F.col("__run_family") != family) & (c >= WHOLE) & (F.col("family") == family)
+                                   for (family, _), c in zip(held, share, strict=True)], F.lit(False))
+    lines = lines.join(of, "__key", "left").where(F.col("__run_family").isNull() | other).drop("__run_family")
+    return runs.unionByName(lines)
 
 
 def scan(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text",
          unknown_docs: int = UNKNOWN_DOCS) -> DataFrame:
-    """One row per paragraph that names a licence: ``id_col``, paragraph (line number from 0),
-    text, family, probability, similarity (overlap of n-grams with the family's nearest
-    notice), confirmed.
+    """One row per paragraph that names a licence: ``id_col``, paragraph (number of its first
+    line, from 0), text (lines joined by spaces), family, probability (of that family; a
+    notice that fits several has less than one half of each), similarity (overlap of n-grams
+    with the family's nearest notice), confirmed.
+
+    A run of lines is one row where it is a wrapped notice, or where none of its lines names
+    a licence; otherwise its lines that name one are the rows.
 
     Defined cases: null, empty and blank texts have no paragraphs; a paragraph is judged by
     all its words, however long; repeated rows are scanned each; a null id is kept; a table
@@ -257,17 +321,23 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id"
                 id_col, F.lit(0).alias("paragraph"), F.lit("").alias("text"), F.lit("").alias("family"),
                 F.lit(0.0).alias("probability"), F.lit(0.0).alias("similarity"), F.lit(False).alias("confirmed"))
         scanner = train(texts, id_col, text_col, unknown_docs=unknown_docs)
-    lines = texts
-    if scanner.anchors is not None:
-        pattern = "|".join(_as_word(w) for w in scanner.anchors)
-        lines = paragraphs(lines.where(F.lower(text_col).rlike(pattern)), id_col, text_col).where(F.lower("text").rlike(pattern))
-    else:
-        lines = paragraphs(lines, id_col, text_col)
-    scored = materialize(scanner.logits(lines.withColumn("grams", ngrams(F.col("text")))))
-    place = F.array_position("z", F.array_max("z")).cast("int")
-    named = (scored.withColumn("probability", F.element_at(_softmax(F.col("z"), scanner.temperature), place))
-             .withColumn("family", F.element_at(F.array(*map(F.lit, scanner.families)), place))
-             .where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY)))
+    pattern = None if scanner.anchors is None else "|".join(_as_word(w) for w in scanner.anchors)
+
+    def may(rows: DataFrame, text: Column) -> DataFrame:
+        return rows if pattern is None else rows.where(F.lower(text).rlike(pattern))
+
+    runs = may(runs_of_lines(may(texts, F.col(text_col)), id_col, text_col), F.concat_ws(" ", "lines"))
+    runs = materialize(runs.withColumn("__key", F.monotonically_increasing_id()))  # written once: keys stay
+    scored = scanner.logits(may(units(runs, id_col), F.col("text")).withColumn("grams", F.explode(F.array(ngrams(F.col("text"))))))
+    scored = scored.withColumn("z", F.explode(F.array("z")))  # an attribute: scored once
+    n = len(scanner.families) - 1
+    odds = sum((F.exp((F.get("z", F.lit(k)) - F.get("z", F.lit(n))) / scanner.temperature) for k in range(n)), F.lit(0.0))
+    sure = materialize(scored.where(odds >= LEAST_KNOWN / (1 - LEAST_KNOWN)))
+    best = F.slice("z", 1, n)
+    place = F.array_position(best, F.array_max(best)).cast("int")
+    named = (sure.withColumn("probability", F.element_at(_softmax(F.col("z"), scanner.temperature), place))
+             .withColumn("family", F.element_at(F.array(*map(F.lit, scanner.families)), place)))
+    named = _paragraphs_of_notices(named, scanner)
     known = notices(spark).select("family", ngrams(F.col("text")).alias("own")).groupBy("family").agg(F.collect_list("own").alias("owns"))
     shared = F.transform("owns", lambda own: F.size(F.array_intersect("grams", own)) / F.least(F.size("grams"), F.size(own)))
     return (named.join(F.broadcast(known), "family")  # a fixed table of a few families

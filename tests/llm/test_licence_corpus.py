@@ -31,3 +31,26 @@ def test_lines_on_licences_are_unknown_and_the_sample_is_a_parameter(spark):
     assert any("licence plate" in g for g in grams) and not any("mit license" in g for g in grams)
     few = license_scan.training_rows(corpus(spark, []), "doc_id", "text", 6, unknown_docs=50).where("corpus").count()
     assert 0 < few < 300
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction"""
+GPL2 = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; version 2 of the License."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License."""
+VERSIONLESS = "This code is licensed under the GNU General Public License."
+
+
+def test_wrapped_and_versionless_notices_are_one_row(spark):
+    texts = {9000: MIT, 9001: "intro\n\n" + GPL2 + "\n\noutro", 9002: APACHE, 9003: VERSIONLESS, 9004: "one\n" + MIT + "\n\n" + NOTICE,
+             9005: f"a line\n{NOTICE}\nThe driving licence is new.\nLicensed under CC BY 4.0.\nlast", 9006: "a\n \t\r\n" + NOTICE + "\r\n"}
+    got = license_scan.scan(corpus(spark, list(texts.items()), 300)).where("confirmed").collect()
+    rows = sorted((r.doc_id, r.paragraph, r.family) for r in got if r.doc_id != 9003)
+    assert rows == [(9000, 0, "MIT"), (9001, 2, "GPL-2.0"), (9002, 0, "Apache-2.0"), (9004, 0, "MIT"), (9004, 5, "MIT"),
+                    (9005, 1, "MIT"), (9005, 3, "CC-BY-4.0"), (9006, 2, "MIT")]
+    assert {r.text for r in got if r.doc_id == 9000} == {MIT.replace("\n", " ")}
+    bare = [r.family for r in got if r.doc_id == 9003]
+    assert len(bare) == 1 and bare[0] in ("GPL-2.0", "GPL-3.0")
