@@ -1,7 +1,9 @@
 """N-gram Jaccard join by token-group matrices.
 
 Documents are sets of word shingles; two link when their Jaccard similarity is at least a
-ratio.  Sets that are equal are one class, represented by its smallest document.
+ratio.  Sets that are equal are one class with a key of its own (a hash of the set); all
+steps work on classes, and only the last one joins them to document ids, of which several
+rows with different texts may share one.
 
 *Partition.*  Linked sets of sizes n and m differ in at most k = (n + m)(1 - t)/(1 + t)
 shingles.  Shingles are dealt by hash into more than k parts, so linked sets agree on whole
@@ -112,8 +114,16 @@ def _star(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sigs[first], docs[first], links[:, 0], links[:, 1]
 
 
-def _candidates(docs: DataFrame, words: int, bands: Bands, buckets: int) -> DataFrame:
-    """(a, b): documents that share a signature, as stars."""
+def _class_key(tokens: np.ndarray, seed: int) -> tuple[int, int, int]:
+    """A 128-bit fingerprint of a set, and a 64-bit key made of it."""
+    f = tokens.sum(dtype=np.uint64, keepdims=True)
+    g = np.bitwise_xor.reduce(tokens * (tokens | np.uint64(1)), initial=np.uint64(0), keepdims=True)
+    key = mixed(mixed(f + np.uint64(seed)) ^ g)
+    return int(f.view(np.int64)[0]), int(g.view(np.int64)[0]), int(key.view(np.int64)[0])
+
+
+def _candidates(docs: DataFrame, words: int, bands: Bands, buckets: int, seed: int) -> DataFrame:
+    """(a, b): keys of classes that share a signature, as stars."""
 
     def blobs(sigs: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
         bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -144,10 +154,10 @@ def _candidates(docs: DataFrame, words: int, bands: Bands, buckets: int) -> Data
                 names=["bucket", "low", "high", "at", "ids"])
 
         for batch in batches:
-            for doc, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
+            for tokens in shingle_sets(batch.column(0), words):
                 own = signatures(tokens, bands)
                 sigs.append(own)
-                ids.append(np.full(len(own), doc, np.int64))
+                ids.append(np.full(len(own), _class_key(tokens, seed)[2], np.int64))
                 held += len(own)
                 if held >= HELD:
                     yield flush()
@@ -166,25 +176,36 @@ def _candidates(docs: DataFrame, words: int, bands: Bands, buckets: int) -> Data
         _, _, a, b = _star((high << np.uint64(32)) | low, ids)
         return pd.DataFrame({"a": a, "b": b})
 
-    signed = (docs.where(F.col("id").isNotNull()).select("id", "text")
+    signed = (docs.where(F.col("id").isNotNull()).select("text")
               .mapInArrow(sign, "bucket int, low binary, high binary, at binary, ids binary"))
     return signed.groupBy("bucket").applyInPandas(gather, "a long, b long").distinct()
 
 
-def _sizes(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, f, g) of every row: size of its set and a 128-bit fingerprint of it."""
+def _sizes(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """(id, n, f, g, key) of every row: size of its set, a 128-bit fingerprint and the key of it."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f, g = [], [], []
+            n, marks = [], []
             for tokens in shingle_sets(batch.column(1), words):
                 n.append(len(tokens))
-                f.append(int(tokens.sum(dtype=np.uint64).view(np.int64)))
-                g.append(int(np.bitwise_xor.reduce(tokens * (tokens | np.uint64(1)), initial=np.uint64(0)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64())],
-                                             names=["id", "n", "f", "g"])
+                marks.append(_class_key(tokens, seed))
+            own = [pa.array(c, pa.int64()) for c in (zip(*marks, strict=True) if marks else [[]] * 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *own], names=["id", "n", "f", "g", "key"])
+
+    return docs.select("id", "text").mapInArrow(measure, "id long, n long, f long, g long, key long")
 
-    return docs.select("id", "text").mapInArrow(measure, "id long, n long, f long, g long")
+
+def _classes(rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame, int]:
+    """``_sizes`` of the rows, (n, f, g, key, rep, copies) of each class (rep: its smallest id),
+    and the seed of the keys: the first with which no two classes have one key."""
+    for seed in range(8):
+        sized = materialize(_sizes(rows, words, seed))
+        classes = materialize(sized.where("n > 0 and id is not null").groupBy("n", "f", "g", "key")
+                              .agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+        if not classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
+            return sized, classes, seed
+    raise RuntimeError("classes without keys of their own")
 
 
 class _Forest:
@@ -258,35 +279,38 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, i
     spark = docs.sparkSession
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sized = materialize(_sizes(rows, words))
-    full = sized.where("n > 0 and id is not null")
-    classes = full.groupBy("n", "f", "g").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    several = materialize(classes.where("copies > 1"))  # a table of its own: a hot class's rows can then be split
-    copies = materialize(full.join(several, ["n", "f", "g"]).where("id <> rep").select("id", "rep").distinct())
-
-    def represented(links: DataFrame, side: str) -> DataFrame:
-        swap = copies.select(F.col("id").alias(side), "rep")
-        return links.join(swap, side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
+    sized, classes, seed = _classes(rows, words)
+    several = materialize(classes.where("copies > 1").select("key", "rep"))  # a table of its own: a hot class's rows can then be split
+    copies = materialize(sized.where("n > 0 and id is not null").join(several, "key").where("id <> rep").select("id", "rep").distinct())
 
-    drawn = _candidates(rows, words, bands, 4 * shuffle_partitions(spark))
-    near = materialize(represented(represented(drawn, "a"), "b").where("a <> b").distinct())
-    block = materialize(connected_components(near).withColumnRenamed("component", "block"))
+    near = materialize(_candidates(rows, words, bands, 4 * shuffle_partitions(spark), seed))
+    block = materialize(connected_components(near).select(F.col("id").alias("key"), F.col("component").alias("block")))
 
     sizes = materialize(block.groupBy("block").agg(F.count("*").alias("__n")))
     placed = block.join(sizes, "block").withColumn("subs", F.ceil(F.col("__n") / SUB_BLOCK).cast("int")).drop("__n")
-    placed = materialize(placed)
+    placed = materialize(placed.join(classes.select("key", "rep"), "key"))
     few = placed.count() <= BROADCAST_IDS
-    wanted = rows.join(F.broadcast(placed) if few else placed, "id")
+
+    def sent(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
+    # rows of an id that is no class's smallest are not read; of the others, those of a class in a block
+    wanted = rows.join(sent(placed.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows of one id and text: one from each task
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("subs"), batch.column("id"), pa.array(sets, pa.binary())],
-                                             names=["block", "subs", "id", "tokens"])
-
-    held = materialize(wanted.select("block", "subs", "id", "text")
-                       .mapInArrow(tokenise, "block long, subs int, id long, tokens binary")
-                       .where(F.length("tokens") > 0))
+            keys, sets = [], []
+            for s in shingle_sets(batch.column("text"), words):
+                key = _class_key(s, seed)[2]
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "tokens"])
+
+    held = materialize(wanted.select("text").mapInArrow(tokenise, "key long, tokens binary")
+                       .join(sent(placed.drop("rep")), "key").select("block", "subs", F.col("key").alias("id"), "tokens"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
@@ -298,9 +322,13 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, i
     subs = held.withColumn("sub", F.explode(F.when(F.col("id") == F.col("block"), everywhere).otherwise(own)))
     first = materialize(subs.groupBy("block", "sub").applyInPandas(inside, _LINKS))
 
-    links = first.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    links = first
     if held.where("subs > 1").limit(1).count():
         links = links.unionByName(_across(held.where("subs > 1"), first, num, den))
+    # from classes to documents: an id's texts are in one component
+    for side in ("a", "b"):
+        links = links.join(sent(placed.select(F.col("key").alias(side), "rep")), side).withColumn(side, F.col("rep")).drop("rep")
+    links = links.select("a", "b").unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     groups = connected_components(links).withColumnRenamed("component", "component_id")
     return (sized.join(groups, "id", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -347,7 +375,8 @@ def _across(held: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (with doc_id and text) without those whose component has a smaller document; of
-    rows that share a kept id one stays, rows of a null id all stay."""
+    rows that share a kept id one stays (whatever their texts, they stand for one node; the one
+    with the smallest hash, the same in every run), rows of a null id all stay."""
     nodes = materialize(components(docs, **options).where(F.col("doc_id").isNotNull())
                         .groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
                         .where("c <> doc_id or n > 1"))
@@ -358,5 +387,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         return F.broadcast(found) if few else found
 
     alone = docs.join(ids("true"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.join(ids("c = doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    repeated = (docs.join(ids("c = doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__id"))
+                .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*"))
     return alone.unionByName(repeated)
