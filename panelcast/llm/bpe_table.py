@@ -176,6 +176,14 @@ def _hot_count(table: DataFrame, most: int) -> int:
     return 1 << 62 if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key and text.  The key is a hash of id and text, so that what meets under it is
+    one document's own distinct words however often the id occurs.  (Two texts with one hash
+    would get both their words' ids, which changes no result.)"""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id"), F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
+
+
 def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, decode: bool = True) -> DataFrame:
     """``doc_id``, n_tokens, ids (binary: little-endian unsigned 32-bit) and, with ``decode``,
     decoded: the text that the ids give back, special tokens included.
@@ -192,8 +200,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS, decode: bool
     text = read_spec(path)
     spec = spark.sparkContext.broadcast(text)  # one tokenizer file: a fixed size
     size = max(json.loads(text)["model"]["vocab"].values()) + 1
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("key"),
-                       F.col("text").cast("string").alias("text"))
+    rows = keyed(docs)
     table = materialize(word_table(rows, spec))
     least = _hot_count(table, hot_words)
     common = table.where(F.col("n") >= least).select("word", "ids").toArrow()
