@@ -95,22 +95,35 @@ def grid_search(fold_rows: DataFrame, features: Sequence[str], fold_fill: Mappin
                 seed: int = 42) -> tuple[dict, DataFrame]:
     """M8 / M9: every candidate x expanding fold; score = mean validation RMSE
     (lowest wins, first candidate on ties).  ``fold_rows`` has ``fold, role`` (from
-    ``split.assign_folds``).  Returns (best params, per-candidate table)."""
+    ``split.assign_folds``).  Returns (best params, per-candidate table).
+
+    Boosting candidates that differ in their rounds alone are prefixes of the longest of
+    them, so one fit scores them all; every size of a forest is a fit of its own."""
     spark = fold_rows.sparkSession
     cands = expand_grid(grid)
     folds = sorted(fold_fill)
 
-    def run(ci_fold):
-        ci, fold = ci_fold
-        rows = fold_rows.filter(F.col("fold") == fold)
-        fit = fit_tree(rows.filter(F.col("role") == "train"), features, fold_fill[fold], kind, cands[ci], seed)
-        pred = fit.transform(rows.filter(F.col("role") == "val"))
-        rmse = pred.agg(F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2))).first()[0]
-        return ci, fold, rmse
+    fits: dict[tuple, list[int]] = {}
+    for ci, c in enumerate(cands):
+        own = {k: v for k, v in c.items() if k != "maxIter"} if kind == "gradient_boosting" and "maxIter" in c else {"": ci}
+        fits.setdefault(tuple(own.items()), []).append(ci)
 
-    jobs = [(ci, f) for ci in range(len(cands)) for f in folds]
+    def run(cis_fold):
+        cis, fold = cis_fold
+        rows = fold_rows.filter(F.col("fold") == fold)
+        longest = max(cis, key=lambda ci: cands[ci].get("maxIter", 0))
+        fit = fit_tree(rows.filter(F.col("role") == "train"), features, fold_fill[fold], kind, cands[longest], seed)
+        val = rows.filter(F.col("role") == "val")
+        if len(cis) > 1:
+            scored = assemble(val.select(*features, F.col("y").cast("double").alias("y")), features, fold_fill[fold])
+            errors = fit.model.evaluateEachIteration(scored, "squared") if val.limit(1).count() else None
+            return [(ci, fold, errors[cands[ci]["maxIter"] - 1] ** 0.5 if errors else None) for ci in cis]
+        rmse = fit.transform(val).agg(F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2))).first()[0]
+        return [(cis[0], fold, rmse)]
+
+    jobs = [(cis, f) for cis in fits.values() for f in folds]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(run, jobs))
+        results = sorted((r for part in pool.map(run, jobs) for r in part), key=lambda r: r[:2])
     rows = [(ci, str(cands[ci]), fold, float(r) if r is not None else None) for ci, fold, r in results]
     table = spark.createDataFrame(rows, "candidate int, params string, fold int, val_RMSE double")
     means = {}

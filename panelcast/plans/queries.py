@@ -750,10 +750,6 @@ def q_line_importance(spark, d):
 # ---------------------------------------------------------------- models (rows-only checks: no exact SQL)
 
 LINEAR = ("linear_regression", "ridge")
-# Model sizes of the registered tree queries, stated where they are used: the library's
-# defaults are the reference presets (600 trees; 100 rounds of depth 5).
-TREE_SIZES = dict(rf_params=dict(numTrees=50, maxDepth=5, minInstancesPerNode=2),
-                  gb_params=dict(maxIter=20, stepSize=0.1, maxDepth=3, minInstancesPerNode=20))
 
 
 def _run(spark, d, cfg: RunConfig, feats: list[str] | None = None, **kw):
@@ -768,7 +764,8 @@ def _linear_run(spark, d):
 
 
 def _all_run(spark, d, **kw):
-    return _run(spark, d, MAIN, **TREE_SIZES, **kw)
+    """All models at the reference presets, the library's defaults."""
+    return _run(spark, d, MAIN, **kw)
 
 
 @register("m4_m5_linear_metrics", None)
@@ -820,16 +817,14 @@ def q_model_preds(spark, d):
 @register("m8_rf_grid_search", None)
 def q_rf_grid(spark, d):
     from panelcast.operators import trees as tr
-    res, _ = _run(spark, d, MAIN, models=("random_forest",), tune_rf=True, cv=False,
-                  rf_grid={"numTrees": [20], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2]})
+    res, _ = _run(spark, d, MAIN, models=("random_forest",), tune_rf=True, cv=False, rf_grid=tr.RF_GRID)
     return tr.best_params_frame(spark, res.best_params["random_forest"]).withColumn("tag", F.lit(MAIN.tag))
 
 
 @register("m9_gb_grid_search", None)
 def q_gb_grid(spark, d):
     from panelcast.operators import trees as tr
-    res, _ = _run(spark, d, MAIN, models=("gradient_boosting",), tune_gb=True, cv=False,
-                  gb_grid={"stepSize": [0.05, 0.1], "maxDepth": [2, 3], "maxIter": [20]})
+    res, _ = _run(spark, d, MAIN, models=("gradient_boosting",), tune_gb=True, cv=False, gb_grid=tr.GB_GRID)
     return tr.best_params_frame(spark, res.best_params["gradient_boosting"]).withColumn("tag", F.lit(MAIN.tag))
 
 
