@@ -2,9 +2,10 @@
 
 Texts are cut into the tokenizer's words on the executors.  A grouped count gives the table
 of distinct words; the tokenizer encodes each of them once.  Ids come back to the texts by
-word and position: the commonest words (a table of at most ``HOT_WORDS`` rows) travel to
-every task, all others come through joins on the word and on the document.  Decoding joins
-every id with the vocabulary's id-to-piece table (as large as the vocabulary).
+word: the commonest words (a table of at most ``HOT_WORDS`` rows) travel to every task, all
+others come through joins on the word and on the document.  Positions are not carried: each
+text is cut again, in order, where its ids are put together.  Decoding looks every id up in
+a list of the vocabulary's pieces in the task; neither is a DataFrame join.
 
 Words of plain texts (ASCII and most letters of European languages) are found by an
 equivalent regular expression; a text with any other character goes through the
