@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import (
+    ball_codes,
     bpe_table,
     chat,
     embedding_dedup,
     jaccard_join,
     license_scan,
+    merkle,
     mixing,
     quality,
     sharding,
+    substring_dedup,
     topk_search,
     toxicity,
 )
@@ -151,6 +154,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+@register("op11_merkle_manifest", merkle.oracle_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op12_substring_dedup", substring_dedup.ORACLE_SQL)
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op13_ball_codes", ball_codes.oracle_sql())
+def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 
