@@ -9,7 +9,6 @@ point); everything the driver receives is bounded by folds x features x models.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,7 @@ from panelcast.plans import standard as st
 from panelcast.plans.standard import RunConfig
 from panelcast.session import materialize
 
+ALL = tr.ALL
 LINEAR_MODELS = {"linear_regression": 0.0, "ridge": 5.0}
 PRED_KEEP = ["side", "entity", "t", "y", "n_ev", "dmg"]
 
@@ -37,6 +37,7 @@ class RunResult:
     features: list[str]
     fits: dict = field(default_factory=dict)
     best_params: dict = field(default_factory=dict)
+    searches: dict = field(default_factory=dict)
 
 
 def _fold_role(t, bounds: Sequence[tuple[int, object, object]]):
@@ -61,7 +62,7 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
                    rf_params: Mapping = tr.RF_DEFAULTS, gb_params: Mapping = tr.GB_LIBRARY_DEFAULTS,
                    tune_rf: bool = False, tune_gb: bool = False,
                    rf_grid: Mapping | None = None, gb_grid: Mapping | None = None,
-                   n_splits: int = 5, parallelism: int = 4, cv: bool = True,
+                   n_splits: int = 5, cv: bool = True,
                    checkpoint: bool = True, bounds: Sequence[tuple] | None = None) -> RunResult:
     feats = list(feats)
     keep = list(dict.fromkeys(["side", "entity", "t", "y", "n_ev", "dmg", "gdp_growth_lag1",
@@ -82,9 +83,34 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
     lin = {m: a for m, a in LINEAR_MODELS.items() if m in models}
     fits = fit_linear_folds(train, feats, ends, lin, medians=med) if lin else {}
 
+    # ---- trees: searches, then every fold's model and the final ones from one table of bins
+    kinds = {k: dict(p) for k, p in (("random_forest", rf_params), ("gradient_boosting", gb_params)) if k in models}
+    best_params, searches, cv_fits = {}, {}, {}
+    folds = list(bounds) if cv else []
+    if kinds:
+        table = tr.bin_table(train, feats, tr.period_ends(bounds))
+        units, names = [], []
+        for kind, params in kinds.items():
+            units += tr.fold_units(kind, params, folds, fill, tr.period_ends(bounds))
+            names += [(kind, f) for f, _, _ in folds]
+            if {"random_forest": tune_rf, "gradient_boosting": tune_gb}[kind] and bounds:
+                grid = (rf_grid or tr.RF_GRID) if kind == "random_forest" else (gb_grid or tr.GB_GRID)
+                best_params[kind], searches[kind] = tr.grid_search(train, feats, bounds, fill, kind, grid, table=table)
+                params = tr.with_params(params, best_params[kind])
+            units.append(tr.Unit(kind, params, dict(fill[ALL])))
+            names.append((kind, ALL))
+        made = dict(zip(names, tr.fit_units(spark, table, units), strict=True))
+        for name, fit in made.items():
+            if name[1] != ALL:
+                cv_fits[name] = fit
+            elif isinstance(fit, tr.Failed):
+                raise ValueError(f"{name[0]} cannot be fitted: {fit}")
+            else:
+                fits[name] = fit
+
     # ---- CV report (M10): every model x fold, train and validation scores
     cv_parts = []
-    if cv and bounds:
+    if folds:
         rows = (train.select("entity", "t", "y", *feats, F.explode(_fold_role(F.col("t"), bounds)).alias("fr"))
                      .select(F.col("fr.fold").alias("fold"), F.col("fr.role").alias("role"), "entity", "t", "y", *feats))
         if lin:
@@ -98,25 +124,14 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
             lp = rows.select("fold", "role", "y", F.explode(F.array(*per_model)).alias("mp")) \
                      .select(F.col("mp.model").alias("model"), "fold", "role", "y", F.col("mp.p").alias("p"))
             cv_parts.append(_scores(lp, ["model", "fold"], "role").withColumn("status", F.lit("ok")))
-        jobs = [(kind, params, f) for kind, params in (("random_forest", rf_params), ("gradient_boosting", gb_params))
-                if kind in models for f, _, _ in bounds]
-
-        def cv_fit(job):
-            kind, params, f = job
-            fr = rows.filter(F.col("fold") == f)
-            try:
-                fit = tr.fit_tree(fr.filter(F.col("role") == "train"), feats, fill[f], kind, params)
-                pr = fit.transform(fr).select(F.lit(kind).alias("model"), "fold", "role", "y", "p")
-                # scored here: a failure while scoring is a failure of this row alone
-                return materialize(_scores(pr, ["model", "fold"], "role").withColumn("status", F.lit("ok")))
-            except Exception as exc:       # a failing model keeps its row, as in the reference
-                return spark.createDataFrame(
-                    [(kind, f, None, None, None, None, f"fail:{type(exc).__name__}")],
-                    "model string, fold int, train_RMSE double, train_R2 double, val_RMSE double, "
-                    "val_R2 double, status string")
-        # independent fits run as concurrent Spark jobs from a driver thread pool
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            cv_parts.extend(pool.map(cv_fit, jobs))
+        if cv_fits:
+            ok = {name: fit for name, fit in cv_fits.items() if not isinstance(fit, tr.Failed)}
+            if ok:
+                cv_parts.append(_scores(tr.score_folds(rows, ok, feats), ["model", "fold"], "role").withColumn("status", F.lit("ok")))
+            failed = [(kind, f, None, None, None, None, f"fail:{fit}") for (kind, f), fit in cv_fits.items() if (kind, f) not in ok]
+            if failed:      # a failing model keeps its row, as in the reference
+                cv_parts.append(spark.createDataFrame(failed, "model string, fold int, train_RMSE double, train_R2 double, "
+                                                              "val_RMSE double, val_R2 double, status string"))
     cv_df = None
     for part in cv_parts:
         part = part.select("fold", "model", "train_RMSE", "val_RMSE", "train_R2", "val_R2", "status")
@@ -128,24 +143,8 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
         arr = F.array(*[F.struct(F.lit(m).alias("model"), fits[(m, -1)].predict_col().alias("p")) for m in lin])
         preds.append(s.select(*PRED_KEEP, F.explode(arr).alias("mp"))
                       .select(F.col("mp.model").alias("model"), *PRED_KEEP, F.col("mp.p").alias("p")))
-    best_params: dict = {}
-    fold_rows = None
-    for kind, params, tune, grid in (("random_forest", rf_params, tune_rf, rf_grid),
-                                     ("gradient_boosting", gb_params, tune_gb, gb_grid)):
-        if kind not in models:
-            continue
-        p = dict(params)
-        if tune and bounds:
-            if fold_rows is None:
-                fold_rows = (train.select("*", F.explode(_fold_role(F.col("t"), bounds)).alias("fr"))
-                                  .select(F.col("fr.fold").alias("fold"), F.col("fr.role").alias("role"), "*"))
-            g = grid or (tr.RF_GRID if kind == "random_forest" else tr.GB_GRID)
-            best, _table = tr.grid_search(fold_rows, feats, {f: fill[f] for f, _, _ in bounds}, kind, g,
-                                          parallelism=parallelism)
-            p = best
-            best_params[kind] = best
-        fit = tr.fit_tree(train, feats, fill[-1], kind, p)
-        fits[(kind, -1)] = fit
+    for kind in kinds:
+        fit = fits[(kind, ALL)]
         preds.append(fit.transform(s).select(F.lit(kind).alias("model"), *PRED_KEEP, "p"))
     long = preds[0]
     for part in preds[1:]:
@@ -159,7 +158,7 @@ def run_all_models(spark: SparkSession, split: DataFrame, feats: Sequence[str],
         cv_df = spark.createDataFrame([], "fold int, model string, train_RMSE double, val_RMSE double, "
                                           "train_R2 double, val_R2 double, status string")
     return RunResult(metrics, cv_df.withColumn("tag", F.lit(cfg.tag)), long.withColumn("tag", F.lit(cfg.tag)),
-                     feats, fits, best_params)
+                     feats, fits, best_params, searches)
 
 
 def prepare_run(spark: SparkSession, sf_dir: str, cfg: RunConfig, features: DataFrame | None = None,
