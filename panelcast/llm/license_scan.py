@@ -140,10 +140,10 @@ def _common(words: Column, own: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(own)))
 
 
-def _of_a_notice(words: Column, own: list[list[str]]) -> Column:
-    """Whether the distinct words of a line are those of a notice, whole or in part."""
-    shared = [_common(words, o) for o in own]
-    hits = [(n >= LEAST_SHARED) & ((n >= NOTICE_SHARE * len(o)) | (n >= LINE_SHARE * F.size(words))) for n, o in zip(shared, own, strict=True)]
+def _of_a_notice(words: Column, own: list[list[str]], size: Column | None = None) -> Column:
+    """Whether the distinct words of a line (``size`` in all) are those of a notice, whole or in part."""
+    shared, size = [_common(words, o) for o in own], F.size(words) if size is None else size
+    hits = [(n >= LEAST_SHARED) & ((n >= NOTICE_SHARE * len(o)) | (n >= LINE_SHARE * size)) for n, o in zip(shared, own, strict=True)]
     return reduce(Column.__or__, hits)
 
 
@@ -160,9 +160,12 @@ def everyday_words(docs: DataFrame, id_col: str, text_col: str) -> set[str]:
     listed = sorted({w for o in own for w in o})
     # exploded, w is an attribute: each lambda would cut the text anew
     lines = paragraphs(docs, id_col, text_col).select(F.explode(F.array(F.array_distinct(words_of(F.col("text"))))).alias("w"))
-    others = lines.where(~_of_a_notice(F.col("w"), own))
+    # of a line only the words of notices matter, and its number of words; with fewer than
+    # LEAST_SHARED of them it is no notice
+    lines = lines.select(F.size("w").alias("of"), F.explode(F.array(F.filter("w", lambda w: w.isin(listed)))).alias("w"))
+    others = lines.where((F.size("w") < LEAST_SHARED) | ~_of_a_notice(F.col("w"), own, F.col("of")))
     # the null in each line counts the lines
-    words = others.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.filter("w", lambda w: w.isin(listed)))).alias("w"))
+    words = others.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("w"))
     n = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {w for w, k in n.items() if w is not None and k > COMMON * n[None]}
 
@@ -242,10 +245,11 @@ def anchors_of(vocabulary: list[str], weights: np.ndarray, bias: np.ndarray, oft
         chosen.append(word)
 
 
-def _as_word(word: str) -> str:
-    """A pattern that finds the word wherever ``ngrams`` would (and seldom elsewhere)."""
-    letters = "0-9" if word[0].isdigit() else "a-z"
-    return f"(?<![{letters}]){word.replace('.', chr(92) + '.')}(?![{letters}])"
+def _as_words(words: list[str]) -> str:
+    """A pattern that finds any of the words wherever ``ngrams`` would (and seldom elsewhere).  The
+    boundary comes before the alternatives, so that places inside a word are passed over."""
+    kinds = [("a-z", [w for w in words if not w[0].isdigit()]), ("0-9", [w for w in words if w[0].isdigit()])]
+    return "|".join(f"(?<![{letters}])(?:{'|'.join(w.replace('.', chr(92) + '.') for w in own)})(?![{letters}])" for letters, own in kinds if own)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 6,
@@ -321,7 +325,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id"
                 id_col, F.lit(0).alias("paragraph"), F.lit("").alias("text"), F.lit("").alias("family"),
                 F.lit(0.0).alias("probability"), F.lit(0.0).alias("similarity"), F.lit(False).alias("confirmed"))
         scanner = train(texts, id_col, text_col, unknown_docs=unknown_docs)
-    pattern = None if scanner.anchors is None else "|".join(_as_word(w) for w in scanner.anchors)
+    pattern = None if scanner.anchors is None else _as_words(scanner.anchors)
 
     def may(rows: DataFrame, text: Column) -> DataFrame:
         return rows if pattern is None else rows.where(F.lower(text).rlike(pattern))
