@@ -18,9 +18,13 @@ bounds its overlap with any member; only groups whose bound reaches the ratio ar
 and their members compared exactly.  Groups that are already connected with the query are
 passed over, and a task returns a spanning forest of its links, never the pairs.
 
-*Large blocks* are cut into sub-blocks that all hold the block's first document.  What is
-connected after that is one component; the sub-blocks of different components then meet in
-cells of two.  All steps are exact: caps, samples and prefixes of texts occur nowhere.
+*Large blocks* are first cut by the least shingle hash of their sets, which near copies mostly
+share; what is connected after that is one component.  Sets of different components can link
+only where their sizes are in the same or neighbouring classes, so only sub-blocks of such
+classes meet, in cells of two.  There, sets come as 16-bit codes of their shingles, packed to
+about a byte each: codes in common are never fewer than shingles in common, so a set goes on
+to the exact comparison, with its shingles, only where its codes reach the ratio with a set
+of another component.  All steps are exact: caps, samples and prefixes of texts occur nowhere.
 """
 
 from __future__ import annotations
@@ -31,12 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import materialize, shuffle_partitions
 from panelcast.llm.components import connected_components
 from panelcast.llm.shingles import mixed, shingle_sets
+from panelcast.llm.spread import spread_join
 
 #: Sets below this size use prefixes instead of parts.
 SMALL = 24
@@ -44,8 +50,8 @@ SMALL = 24
 HELD = 1 << 21
 #: Sets in a sub-block, and in a group of the token-group matrix.
 SUB_BLOCK, GROUP = 96, 32
-#: Sub-blocks that meet in cells are so many times larger.
-CELL_SIDE = 4
+#: Sets of each side of a cell, where sets are codes.
+CELL_SIDE = 1024
 #: At most so many document ids (16 MB) are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -69,6 +75,11 @@ class Bands:
             self._reach(len(self.low))
         return bisect_right(self.low, size) - 1
 
+    def column(self, size: Column, largest: int) -> Column:
+        """The class of a size of at most ``largest``."""
+        self.of(largest)
+        return F.size(F.filter(F.array(*map(F.lit, self.low)), lambda least: least <= size)) - 1
+
     def mismatches(self, band: int) -> tuple[int, bool]:
         """The most shingles in which two linked sets of the band differ; whether it is small."""
         self._reach(band + 2)
@@ -182,26 +193,27 @@ def _candidates(docs: DataFrame, words: int, bands: Bands, buckets: int, seed: i
 
 
 def _sizes(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """(id, n, f, g, key) of every row: size of its set, a 128-bit fingerprint and the key of it."""
+    """(id, n, f, g, key, least) of every row: size of its set, a 128-bit fingerprint, the key of it
+    and the set's least token."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, marks = [], []
             for tokens in shingle_sets(batch.column(1), words):
                 n.append(len(tokens))
-                marks.append(_class_key(tokens, seed))
-            own = [pa.array(c, pa.int64()) for c in (zip(*marks, strict=True) if marks else [[]] * 3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *own], names=["id", "n", "f", "g", "key"])
+                marks.append((*_class_key(tokens, seed), int(tokens[:1].view(np.int64)[0]) if len(tokens) else 0))
+            own = [pa.array(c, pa.int64()) for c in (zip(*marks, strict=True) if marks else [[]] * 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *own], names=["id", "n", "f", "g", "key", "least"])
 
-    return docs.select("id", "text").mapInArrow(measure, "id long, n long, f long, g long, key long")
+    return docs.select("id", "text").mapInArrow(measure, "id long, n long, f long, g long, key long, least long")
 
 
 def _classes(rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame, int]:
-    """``_sizes`` of the rows, (n, f, g, key, rep, copies) of each class (rep: its smallest id),
-    and the seed of the keys: the first with which no two classes have one key."""
+    """``_sizes`` of the rows, (n, f, g, key, least, rep, copies) of each class (rep: its smallest
+    id), and the seed of the keys: the first with which no two classes have one key."""
     for seed in range(8):
         sized = materialize(_sizes(rows, words, seed))
-        classes = materialize(sized.where("n > 0 and id is not null").groupBy("n", "f", "g", "key")
+        classes = materialize(sized.where("n > 0 and id is not null").groupBy("n", "f", "g", "key", "least")
                               .agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
         if not classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
             return sized, classes, seed
@@ -211,8 +223,8 @@ def _classes(rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame, int]:
 class _Forest:
     """Union-find over the rows of a task."""
 
-    def __init__(self, names: np.ndarray):
-        self.names, (_, self.label) = names, np.unique(names, return_inverse=True)
+    def __init__(self, names: np.ndarray, parts: np.ndarray | None = None):
+        self.names, (_, self.label) = names, np.unique(names if parts is None else parts, return_inverse=True)
         self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, j: int) -> None:
@@ -222,9 +234,11 @@ class _Forest:
             self.label[self.label == max(a, b)] = min(a, b)
 
 
-def connect(names: np.ndarray, sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``sets`` (with ``side``, of those across its values)."""
-    forest = _Forest(names)
+def connect(names: np.ndarray, sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None,
+            parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``sets`` (with ``side``, of those across its values;
+    with ``parts``, sets of one part are connected already)."""
+    forest = _Forest(names, parts)
     sizes = np.array([len(s) for s in sets])
     flat, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -258,6 +272,48 @@ def connect(names: np.ndarray, sets: list[np.ndarray], num: int, den: int, side:
     return forest.links
 
 
+def may_link(sizes: np.ndarray, codes: list[np.ndarray], parts: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Which sets share enough codes with a set of another part (with ``side``, of another side)."""
+    flat = np.concatenate(codes)
+    lengths = np.array([len(c) for c in codes])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    order = np.lexsort((sizes, np.array([c[0] for c in codes]), parts, side if side is not None else np.zeros(len(sizes), int)))
+    cut = np.flatnonzero(np.diff(side[order])) + 1 if side is not None else []
+    groups = [run[i:i + GROUP] for run in np.split(order, cut) for i in range(0, len(run), GROUP)]
+    mark, opened = np.zeros(1 << 16, dtype=np.int32), np.zeros(len(sizes), dtype=bool)
+    for members in groups:
+        tokens = np.concatenate([codes[i] for i in members])
+        mark[tokens] = 1  # this group's row of the token-group matrix
+        overlap = np.add.reduceat(mark[flat], starts)
+        mark[tokens] = 0
+        least, most = sizes[members].min(), sizes[members].max()
+        may = ((num + den) * overlap >= num * (sizes + least)) & (den * sizes >= num * least) & (den * most >= num * sizes)
+        if side is not None:
+            may &= side > side[members[0]]  # each pair of sides once
+        if (parts[members] == parts[members[0]]).all():
+            may &= parts != parts[members[0]]
+        cuts = np.concatenate([[0], np.cumsum(lengths[members])[:-1]])
+        for q in np.flatnonzero(may):
+            mark[codes[q]] = 1
+            shared = np.add.reduceat(mark[tokens], cuts)
+            mark[codes[q]] = 0
+            hit = members[((num + den) * shared >= num * (sizes[q] + sizes[members])) & (parts[members] != parts[q])]
+            if len(hit):
+                opened[q] = True
+                opened[hit] = True
+    return opened
+
+
+def pack_codes(tokens: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """16-bit codes of a set's tokens (as many as tokens), sorted, as steps, compressed."""
+    codes = np.sort((tokens & np.uint64(0xFFFF)).astype(np.uint16))
+    return squeeze.compress(np.diff(codes, prepend=np.uint16(0)).tobytes())
+
+
+def unpack_codes(packed: bytes, expand: zstandard.ZstdDecompressor) -> np.ndarray:
+    return np.cumsum(np.frombuffer(expand.decompress(packed), np.uint16), dtype=np.uint16)
+
+
 _LINKS = "a long, b long"
 
 
@@ -287,8 +343,14 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, i
     block = materialize(connected_components(near).select(F.col("id").alias("key"), F.col("component").alias("block")))
 
     sizes = materialize(block.groupBy("block").agg(F.count("*").alias("__n")))
-    placed = block.join(sizes, "block").withColumn("subs", F.ceil(F.col("__n") / SUB_BLOCK).cast("int")).drop("__n")
-    placed = materialize(placed.join(classes.select("key", "rep"), "key"))
+    total = block.count()
+    placed = spread_join(block, sizes, ["block"], "__n", total).withColumn("large", F.col("__n") > SUB_BLOCK).drop("__n")
+    placed = placed.join(classes.select("key", "rep", "n", "least"), "key")
+    # a large block is cut by least tokens (two cuts under one hash are compared with each other, no more)
+    placed = materialize(placed.withColumn("cut", F.when(F.col("large"), F.xxhash64("block", "least")).otherwise(F.col("block"))))
+    cuts = materialize(placed.groupBy("cut").agg(F.count("*").alias("__n"), F.min("key").alias("head")).withColumn(
+        "subs", F.ceil(F.col("__n") / SUB_BLOCK).cast("int")))
+    placed = materialize(spread_join(placed, cuts, ["cut"], "__n", total).withColumn("alone", F.col("__n") < 2).drop("__n", "least"))
     few = placed.count() <= BROADCAST_IDS
 
     def sent(table: DataFrame) -> DataFrame:
@@ -310,21 +372,25 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, i
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "tokens"])
 
     held = materialize(wanted.select("text").mapInArrow(tokenise, "key long, tokens binary")
-                       .join(sent(placed.drop("rep")), "key").select("block", "subs", F.col("key").alias("id"), "tokens"))
+                       .join(sent(placed.where("large or not alone").select("key", "large", "alone", "cut", "subs", "head")), "key")
+                       .withColumnRenamed("key", "id"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
         return _link_frame(connect(pdf["id"].to_numpy(np.int64), sets, num, den))
 
-    # the block's first document is in every sub-block: what is near it is connected at once
+    # the first set of a cut is in every sub-block of it: what is near it is connected at once
     everywhere = F.sequence(F.lit(0), F.col("subs") - 1)
     own = F.array(F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
-    subs = held.withColumn("sub", F.explode(F.when(F.col("id") == F.col("block"), everywhere).otherwise(own)))
-    first = materialize(subs.groupBy("block", "sub").applyInPandas(inside, _LINKS))
+    subs = held.where("not alone").withColumn("sub", F.explode(F.when(F.col("id") == F.col("head"), everywhere).otherwise(own)))
+    first = materialize(subs.select("cut", "sub", "id", "tokens").groupBy("cut", "sub").applyInPandas(inside, _LINKS))
 
     links = first
-    if held.where("subs > 1").limit(1).count():
-        links = links.unionByName(_across(held.where("subs > 1"), first, num, den))
+    large = placed.where("large").select(F.col("key").alias("id"), "block", "n")
+    largest = large.agg(F.max("n")).first()[0]
+    if largest is not None:
+        band = bands.column(F.col("n"), largest)
+        links = links.unionByName(_across(large.withColumn("band", band), held.where("large").select("id", "tokens"), first, num, den))
     # from classes to documents: an id's texts are in one component
     for side in ("a", "b"):
         links = links.join(sent(placed.select(F.col("key").alias(side), "rep")), side).withColumn(side, F.col("rep")).drop("rep")
@@ -335,42 +401,56 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, i
                     F.coalesce("component_id", "id").alias("component_id")))
 
 
-def _across(held: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between different components of large blocks (given ``links`` so far)."""
-    so_far = connected_components(links)
-    row = held.join(so_far, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    row = materialize(row)
-    cell = CELL_SIDE * SUB_BLOCK  # each set is sent once for every other sub-block: the larger, the fewer
-    parts = row.groupBy("block", "part").agg(F.count("*").alias("n"))
+def _across(large: DataFrame, tokens: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between different components of large blocks: ``large`` (id, block, n, band) places
+    the sets, ``tokens`` (id, tokens) holds them, ``links`` are those so far."""
+    row = materialize(large.join(connected_components(links), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
+    total = row.count()
+    sizes = row.groupBy("block", "band", "part").agg(F.count("*").alias("__n"))
     # a large component has sub-blocks of its own, small ones share some
-    big = F.col("n") >= cell // 2
-    small = parts.where(~big).groupBy("block").agg(F.ceil(F.sum("n") / cell).cast("int").alias("shares"))
-    parts = (parts.join(small, "block", "left")
-             .withColumn("pure", F.when(big, F.col("part")))
-             .withColumn("cuts", F.when(big, F.ceil(F.col("n") / cell)).otherwise(F.col("shares")).cast("int"))
-             .select("block", "part", "pure", "cuts"))
-    parts = materialize(parts)
-    placed = (row.join(parts, ["block", "part"])
-              .withColumn("cut", F.when(F.col("pure").isNull(), F.pmod(F.xxhash64("part"), F.col("cuts")))
-                          .otherwise(F.pmod(F.xxhash64("id"), F.col("cuts"))).cast("int"))
-              .withColumn("sub", F.concat_ws("/", F.coalesce(F.col("pure").cast("string"), F.lit("-")), F.col("cut").cast("string")))
-              .select("block", "sub", "pure", "id", "tokens"))
-    placed = materialize(placed)
-    names = placed.select("block", "sub", "pure").distinct()
+    big = F.col("__n") >= CELL_SIDE // 2
+    shares = sizes.where(~big).groupBy("block", "band").agg(F.ceil(F.sum("__n") / CELL_SIDE).cast("int").alias("shares"))
+    sizes = materialize(sizes.join(shares, ["block", "band"], "left")
+                        .withColumn("pure", F.when(big, F.col("part")))
+                        .withColumn("cuts", F.when(big, F.ceil(F.col("__n") / CELL_SIDE)).otherwise(F.col("shares")).cast("int"))
+                        .select("block", "band", "part", "pure", "cuts", "__n"))
+    cut = F.pmod(F.xxhash64(F.when(F.col("pure").isNull(), F.col("part")).otherwise(F.col("id"))), F.col("cuts"))
+    placed = spread_join(row, sizes, ["block", "band", "part"], "__n", total).withColumn(
+        "sub", F.concat_ws("/", "band", F.coalesce(F.col("pure").cast("string"), F.lit("-")), cut.cast("string")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [pack_codes(np.frombuffer(t.as_py(), np.uint64), squeeze) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "codes"])
+
+    codes = tokens.mapInArrow(pack, "id long, codes binary")
+    placed = materialize(placed.join(codes, "id").select("block", "band", "sub", "pure", "id", "part", "n", "codes"))
+    names = placed.select("block", "band", "sub", "pure").distinct()
     x, y = names.alias("x"), names.alias("y")
     cells = (x.join(y, F.col("x.block") == F.col("y.block"))
-             .where("x.sub < y.sub or (x.sub = y.sub and x.pure is null)")
+             .where("x.sub <= y.sub and abs(x.band - y.band) <= 1")  # linked sets are in neighbouring size classes
+             .where("x.sub < y.sub or x.pure is null")
              .where("x.pure is null or y.pure is null or x.pure <> y.pure")
              .select(F.col("x.block").alias("block"), F.col("x.sub").alias("s"), F.col("y.sub").alias("t")))
-    ends = (cells.select("block", "s", "t", F.lit(0).alias("side"), F.col("s").alias("sub"))
-            .unionByName(cells.where("s <> t").select("block", "s", "t", F.lit(1).alias("side"), F.col("t").alias("sub"))))
+    ends = materialize(cells.select("block", "s", "t", F.lit(0).alias("side"), F.col("s").alias("sub"))
+                       .unionByName(cells.where("s <> t").select("block", "s", "t", F.lit(1).alias("side"), F.col("t").alias("sub"))))
+
+    def open_some(pdf: pd.DataFrame) -> pd.DataFrame:
+        expand = zstandard.ZstdDecompressor()
+        side = pdf["side"].to_numpy()
+        opened = may_link(pdf["n"].to_numpy(np.int64), [unpack_codes(c, expand) for c in pdf["codes"]], pdf["part"].to_numpy(np.int64),
+                          num, den, side if side.any() else None)
+        return pdf.loc[opened, ["block", "s", "t", "side", "id", "part"]]
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
         side = pdf["side"].to_numpy()
-        return _link_frame(connect(pdf["id"].to_numpy(np.int64), sets, num, den, side if side.any() else None))
+        return _link_frame(connect(pdf["id"].to_numpy(np.int64), sets, num, den, side if side.any() else None, pdf["part"].to_numpy(np.int64)))
 
-    return ends.join(placed, ["block", "sub"]).groupBy("block", "s", "t").applyInPandas(meet, _LINKS)
+    opened = (ends.join(placed.drop("band", "pure"), ["block", "sub"]).groupBy("block", "s", "t")
+              .applyInPandas(open_some, "block long, s string, t string, side int, id long, part long"))
+    return materialize(opened).join(tokens, "id").groupBy("block", "s", "t").applyInPandas(meet, _LINKS)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
