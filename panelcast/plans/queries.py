@@ -828,6 +828,9 @@ def q_gb_grid(spark, d):
     return tr.best_params_frame(spark, res.best_params["gradient_boosting"]).withColumn("tag", F.lit(MAIN.tag))
 
 
+from panelcast.plans import tree_queries  # noqa: E402, F401  (registers its queries)
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

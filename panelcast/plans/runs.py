@@ -18,10 +18,12 @@ from pyspark.sql.window import Window
 from panelcast.operators import evaluate as ev
 from panelcast.operators import split as sp
 from panelcast.operators import trees as tr
-from panelcast.operators.importance import permutation_importance
+from panelcast.operators import report as rp
+from panelcast.operators.importance import permutation_importance, tree_importance
 from panelcast.operators.linear import fit_linear_folds, fold_medians
 from panelcast.plans import standard as st
 from panelcast.plans.standard import RunConfig
+from panelcast.sources import results as rs
 from panelcast.session import materialize
 
 ALL = tr.ALL
@@ -215,14 +217,35 @@ def export_predictions(preds: DataFrame, model: str, side: str = "test") -> Data
                          (F.col("y") - F.col("p")).alias("error"), F.abs(F.col("y") - F.col("p")).alias("abs_error")))
 
 
+def write_run(spark: SparkSession, result: RunResult, root: str, importance: DataFrame | None = None) -> dict[str, str]:
+    """C4's outputs (S7) under ``root``, each a table with a partition for the run's tag: metrics, CV
+    scores, the test predictions of the model with the lowest test RMSE, tuned parameters of
+    each searched model with its table of scores, and permutation importance where given.
+    Returns their paths by name."""
+    metrics = materialize(result.metrics)
+    best = rp.best_model(metrics).select("tag", "model").collect()      # one row a tag
+    tag, model = best[0]["tag"], best[0]["model"]
+    outputs = {"model_metrics": metrics, "cv_scores": result.cv,
+               "predictions": export_predictions(result.predictions, model).withColumn("model", F.lit(model))}
+    for kind, params in result.best_params.items():
+        outputs[f"best_params_{kind}"] = tr.best_params_frame(spark, params)
+        outputs[f"search_{kind}"] = result.searches[kind]
+    if importance is not None:
+        outputs["feature_importance"] = importance
+    paths = {}
+    for name, table in outputs.items():
+        paths[name] = f"{root}/{name}"
+        rs.write_tagged(table.withColumn("tag", F.lit(tag)), paths[name])
+    return paths
+
+
 def importance_for(result: RunResult, split: DataFrame, model: str, **kw) -> DataFrame:
     """M11 for a fitted model of a run, on its test rows."""
     fit = result.fits[(model, -1)]
     test = split.filter(F.col("side") == "test")
-    if hasattr(fit, "predict_col"):
-        def predict(df):
-            return df.withColumn("p", fit.predict_col())
-    else:
-        def predict(df):
-            return fit.transform(df)
+    if isinstance(fit, tr.TreeFit):
+        return tree_importance(test, fit, **kw)
+
+    def predict(df):
+        return df.withColumn("p", fit.predict_col())
     return permutation_importance(test, result.features, predict, **kw)

@@ -69,3 +69,36 @@ def test_config_from_metrics(spark):
         ("nowcast", True, False, True, 23964, 0.25)
     c2 = config_from_metrics(m, "run_nowcast_ex_post_restricted_oil")      # no row: from the tag text
     assert c2.mode == "nowcast" and c2.include_covid and c2.include_oil and c2.start is not None
+
+
+def test_written_run_and_failed_fold(spark, tmp_path):
+    """A run's tables under its tag, tuned parameters read back, and a model that fails on its folds."""
+    from panelcast.operators import trees as tr
+    from panelcast.sources import results as rs
+    split, feats = synthetic_split(spark)
+    cfg = RunConfig(tag="run_written")
+    grid = {"maxIter": [2, 4], "stepSize": [0.1], "maxDepth": [1, 2], "l2": [0.0], "minInstancesPerNode": [5]}
+    res = runs.run_all_models(spark, split, feats, cfg, models=("gradient_boosting",), tune_gb=True, gb_grid=grid,
+                              gb_params=dict(maxIter=2, stepSize=0.1, maxDepth=1, minInstancesPerNode=5))
+    imp = runs.importance_for(res, split, "gradient_boosting", n_repeats=2)
+    paths = runs.write_run(spark, res, str(tmp_path), imp)
+    assert set(paths) == {"model_metrics", "cv_scores", "predictions", "best_params_gradient_boosting", "search_gradient_boosting", "feature_importance"}
+    back = {name: rs.read_tagged(spark, path, "run_written", missing="error").collect() for name, path in paths.items()}
+    assert {r["model"] for r in back["model_metrics"]} >= {"gradient_boosting", "baseline_mean_train"}
+    assert len(back["predictions"]) == split.filter("side = 'test'").count() and len(back["feature_importance"]) == len(feats)
+    params = rs.read_best_params(spark, paths["best_params_gradient_boosting"], "run_written", "gradient_boosting")
+    assert tr.with_params(dict(maxIter=99), params)["maxIter"] in (2, 4)
+    assert {k: v for k, v in tr.with_params({}, params).items()} == res.best_params["gradient_boosting"]
+
+    real = tr.fit_units
+    def broken(spark, table, units):        # folds get a rule that no tree can grow by
+        return real(spark, table, [u if u.last is None else tr.Unit(u.kind, u.params | {"l2": -1.0}, u.fill, u.last, u.until) for u in units])
+    tr.fit_units = broken
+    try:
+        res = runs.run_all_models(spark, split, feats, cfg, models=("gradient_boosting", "ridge"),
+                                  gb_params=dict(maxIter=2, stepSize=0.1, maxDepth=1, minInstancesPerNode=5))
+        rows = res.cv.collect()
+    finally:
+        tr.fit_units = real
+    assert {r["status"] for r in rows if r["model"] == "gradient_boosting"} == {"fail:ValueError"}
+    assert {r["status"] for r in rows if r["model"] == "ridge"} == {"ok"}

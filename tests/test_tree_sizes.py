@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators import growth as gr
+from panelcast.operators import importance as im
 from panelcast.operators import trees as tr
 from panelcast.plans import queries as q
 
@@ -165,3 +166,16 @@ def test_errors_of_a_model_keep_its_row(spark):
         tr.grid_search(df, ["a", "b"], BOUNDS, FILL, "gradient_boosting", {"maxIter": [2], "stepSize": [0.1], "l2": [-1.0]})
     with pytest.raises(ValueError):
         tr.fit_tree(df.limit(0), ["a", "b"], {}, "random_forest", dict(numTrees=2))
+
+
+@pytest.mark.parametrize("kind, params", [("gradient_boosting", dict(maxIter=5, stepSize=0.3, maxDepth=2, minInstancesPerNode=3)),
+                                          ("random_forest", dict(numTrees=4, maxDepth=3))])
+def test_importance_of_trees_scored_in_part(spark, kind, params):
+    """The trees that test a feature, followed again, give what scoring all of them gives."""
+    df = fold_table(spark)
+    fit = tr.fit_tree(df, ["a", "b"], FILL[-1], kind, params)
+    part = {r.feature: r for r in im.tree_importance(df, fit, n_repeats=3).collect()}
+    whole = {r.feature: r for r in im.permutation_importance(df, ["a", "b"], fit.transform, n_repeats=3).collect()}
+    assert set(part) == set(whole) == {"a", "b"}
+    for name, r in whole.items():
+        assert part[name].importance == pytest.approx(r.importance, rel=1e-9) and part[name].std == pytest.approx(r.std, rel=1e-6)
