@@ -1,4 +1,4 @@
-"""Least squares and ridge from distributed Gram sums.
+"""Least squares and ridge from distributed QR factors.
 
 Pipeline reproduced: median imputer (fit on train) -> standard scaler (train mean,
 population std, std 0 -> 1) -> least squares (minimum norm when rank deficient) or
@@ -7,15 +7,18 @@ ridge (intercept not penalised).
 How it runs on Spark:
 
 * one exact distributed median per (fold, feature)  (``quantile.wide_medians``);
-* one scan computes, per partition, the Gram matrix of
-  ``v = [coalesce(x - c, 0), is_missing(x), 1, y - c_y]`` for each period *block*
-  (numpy inside ``mapInPandas``), and Spark sums the partials per block: the driver
-  receives ``blocks x d^2`` numbers, never rows;
-* because ``v`` does not depend on the medians, a fold's imputed Gram is the linear
-  map ``A G A'`` of the cumulative block Gram (``f = x0 + (median - c) * missing``),
-  so every expanding fold and the final fit come from the same scan;
-* the solve (d <= 2p+2) is numpy on the driver; predictions go back to Spark as one
-  JVM-side column expression per fold.
+* one scan gives, for each period *block*, the R factor of a QR factorisation of the rows
+  ``v = [coalesce(x - c, 0), is_missing(x), 1, y - c_y]`` (TSQR: a task factors its rows
+  batch by batch, factors of many tasks are stacked and factored again, in two levels);
+  the driver receives ``blocks`` triangles of ``d x d``, never rows.  A factor has the
+  condition of the data; their Gram matrix would have its square, and lose half of the
+  digits where features are nearly collinear (time and its square);
+* because ``v`` does not depend on the medians, a fold's imputed rows are the linear map
+  ``V A'`` (``f = x0 + (median - c) * missing``): the factors of the blocks a fold has are
+  stacked, mapped, centred and scaled, so every expanding fold and the final fit come from
+  the same scan;
+* the solve (d <= 2p+2) is numpy on the driver, by singular values; predictions go back to
+  Spark as one JVM-side column expression per fold.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from panelcast.operators.quantile import wide_medians
 
 EPS = np.finfo(np.float64).eps
+#: Factors of tasks are stacked in so many groups a block before the last step.
+GROUPS = 64
 
 
 @dataclass
@@ -56,10 +61,17 @@ class LinearFit:
         return expr
 
 
-def block_grams(df: DataFrame, features: Sequence[str], shift: np.ndarray, y_shift: float,
-                block_col: str = "block", y: str = "y") -> dict[int, np.ndarray]:
-    """Per-block Gram of v = [coalesce(x-c,0) (p), missing (p), 1, y-c_y]; partial per
-    partition in numpy, summed per block by Spark; returns {block: d x d}."""
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """The R factor of ``rows`` (columns x columns: filled up with zeros where rows are few)."""
+    d = rows.shape[1]
+    r = np.linalg.qr(rows, mode="r")
+    return r if r.shape[0] == d else np.vstack([r, np.zeros((d - r.shape[0], d))])
+
+
+def block_factors(df: DataFrame, features: Sequence[str], shift: np.ndarray, y_shift: float,
+                  block_col: str = "block", y: str = "y") -> dict[int, np.ndarray]:
+    """Per-block R factor of v = [coalesce(x-c,0) (p), missing (p), 1, y-c_y]: factored per task in
+    numpy, then by groups of tasks, then by block; returns {block: d x d}."""
     feats = list(features)
     p = len(feats)
     d = 2 * p + 2
@@ -68,9 +80,12 @@ def block_grams(df: DataFrame, features: Sequence[str], shift: np.ndarray, y_shi
             F.col(y).cast("double").alias("y")]
     shift = np.asarray(shift, dtype=float)
 
-    def partial(batches):
+    def frame(made: dict[int, np.ndarray]):
         import pandas as pd
-        acc: dict[int, np.ndarray] = {}
+        return pd.DataFrame({"block": list(made), "r": [m.ravel().tolist() for m in made.values()]})
+
+    def partial(batches):
+        made: dict[int, np.ndarray] = {}
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -80,60 +95,54 @@ def block_grams(df: DataFrame, features: Sequence[str], shift: np.ndarray, y_shi
             v = np.concatenate([x0, miss.astype(float), np.ones((len(pdf), 1)),
                                 (pdf["y"].to_numpy(dtype=float) - y_shift)[:, None]], axis=1)
             for b, idx in pdf.groupby("block").indices.items():
-                vb = v[idx]
-                g = vb.T @ vb
-                acc[int(b)] = acc.get(int(b), 0) + g
-        if acc:
-            yield pd.DataFrame({"block": list(acc.keys()),
-                                "g": [m.ravel().tolist() for m in acc.values()]})
-
-    parts = df.select(*cols).mapInPandas(partial, "block int, g array<double>")
-    summed = (parts.select("block", F.posexplode("g").alias("pos", "val"))
-                   .groupBy("block", "pos").agg(F.sum("val").alias("val")))
-    out: dict[int, np.ndarray] = {}
-    for row in summed.collect():         # blocks x d^2 numbers: bounded by features and folds
-        m = out.setdefault(int(row["block"]), np.zeros(d * d))
-        m[int(row["pos"])] = row["val"]
-    return {b: m.reshape(d, d) for b, m in out.items()}
-
-
-def solve_from_gram(G: np.ndarray, features: Sequence[str], medians: np.ndarray, shift: np.ndarray,
-                    y_shift: float, alpha: float = 0.0, rcond: float = 1e-10,
-                    keep_empty: bool = True) -> LinearFit:
-    """Imputed, standardised, centred solve from the raw Gram ``G`` (see module doc)."""
+                own = [made[int(b)]] if int(b) in made else []
+                made[int(b)] = triangle(np.vstack([*own, v[idx]]))
+        if made:
+            yield frame(made)
+
+    def stacked(pdf):
+        """The factor of a group's factors, taken in one by one."""
+        r = None
+        for m in pdf["r"]:
+            m = np.asarray(m, dtype=float).reshape(d, d)
+            r = triangle(m if r is None else np.vstack([r, m]))
+        return frame({int(pdf["block"].iloc[0]): r})
+
+    schema = "block int, r array<double>"
+    parts = df.select(*cols).mapInPandas(partial, schema).withColumn("task", F.spark_partition_id() % GROUPS)
+    some = parts.groupBy("block", "task").applyInPandas(stacked, schema)
+    whole = some.groupBy("block").applyInPandas(stacked, schema)    # at most GROUPS factors a block
+    # blocks x d^2 numbers: bounded by features and folds
+    return {int(r["block"]): np.array(r["r"]).reshape(d, d) for r in whole.collect()}
+
+
+def solve_from_factor(R: np.ndarray, features: Sequence[str], medians: np.ndarray, shift: np.ndarray,
+                      y_shift: float, alpha: float = 0.0, rcond: float = 1e-12,
+                      keep_empty: bool = True) -> LinearFit:
+    """Imputed, standardised, centred solve from a factor ``R`` of the raw rows (see module doc)."""
     p = len(features)
     med = np.where(np.isnan(medians), 0.0, medians)      # all-NULL column -> fill 0 (keep_empty)
-    A = np.zeros((p + 2, 2 * p + 2))
-    for j in range(p):
-        A[j, j] = 1.0
-        A[j, p + j] = med[j] - shift[j]
-    A[p, 2 * p] = 1.0
-    A[p + 1, 2 * p + 1] = 1.0
-    Gf = A @ G @ A.T
-    n = Gf[p, p]
-    if n < 1:
+    filled = R[:, :p] + R[:, p:2 * p] * (med - shift)    # inner products of these are those of the rows
+    ones, target = R[:, 2 * p], R[:, 2 * p + 1]
+    n = float(ones @ ones)
+    if n < 0.5:
         raise ValueError("no training rows")
-    s = Gf[:p, p] / n                     # mean of shifted filled features
-    sy = Gf[p + 1, p] / n
-    Cxx = Gf[:p, :p] - n * np.outer(s, s)
-    Cxy = Gf[:p, p + 1] - n * s * sy
-    var = np.clip(np.diag(Cxx) / n, 0.0, None)
+    s, sy = ones @ filled / n, float(ones @ target / n)
+    centred, yc = filled - np.outer(ones, s), target - ones * sy
+    var = (centred ** 2).sum(axis=0) / n
     mean = s + shift
     const = var <= n * EPS * var + (n * (mean) * EPS) ** 2
     scale = np.where(const | (var == 0), 1.0, np.sqrt(var))
-    Czz = Cxx / np.outer(scale, scale)
-    Czy = Cxy / scale
-    empty = np.isnan(medians)
-    if not keep_empty and empty.any():
-        Czz[empty, :] = 0.0
-        Czz[:, empty] = 0.0
-        Czy[empty] = 0.0
+    Z = np.where(const, 0.0, centred / scale)
+    if not keep_empty:
+        Z[:, np.isnan(medians)] = 0.0
+    u, sv, vt = np.linalg.svd(Z, full_matrices=False)
     if alpha > 0:
-        coef = np.linalg.solve(Czz + alpha * np.eye(p), Czy) if p else np.zeros(0)
+        gain = sv / (sv ** 2 + alpha)
     else:
-        coef = np.linalg.pinv(Czz, rcond=rcond, hermitian=True) @ Czy if p else np.zeros(0)
-    intercept = sy + y_shift
-    return LinearFit(list(features), med, mean, scale, coef, float(intercept), int(round(n)), alpha)
+        gain = np.divide(1.0, sv, out=np.zeros_like(sv), where=sv > rcond * sv.max(initial=0.0))
+    coef = vt.T @ (gain * (u.T @ yc)) if p else np.zeros(0)
+    return LinearFit(list(features), med, mean, scale, coef, sy + y_shift, int(round(n)), alpha)
 
 
 def imputer_scaler_stats(train: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -169,10 +178,10 @@ def fold_medians(rows: DataFrame, features: Sequence[str], fold_ends: Sequence[o
 
 def fit_linear_folds(rows: DataFrame, features: Sequence[str], fold_ends: Sequence[object],
                      alphas: Mapping[str, float], *, time_col: str = "t", y: str = "y",
-                     rcond: float = 1e-10, medians: Mapping | None = None,
+                     rcond: float = 1e-12, medians: Mapping | None = None,
                      keep_empty: bool = True) -> dict[tuple[str, int], LinearFit]:
     """Fit every model in ``alphas`` (0 = least squares) on every expanding fold and on
-    the full set in one Gram scan.
+    the full set in one scan.
 
     ``rows``: the training rows.  ``fold_ends``: sorted last train period of each fold
     (fold i trains on ``t <= fold_ends[i]``); the full set is fold ``-1``.
@@ -188,15 +197,16 @@ def fit_linear_folds(rows: DataFrame, features: Sequence[str], fold_ends: Sequen
     med = dict(medians) if medians is not None else fold_medians(rows, feats, ends, time_col=time_col, y=y)
     shift = np.array([med.get((-1, c)) if med.get((-1, c)) is not None else 0.0 for c in feats])
     y_shift = med.get((-1, y)) or 0.0
-    grams = block_grams(blocked, feats, shift, y_shift, y=y)
-    d = 2 * len(feats) + 2
-    total = sum(grams.values(), np.zeros((d, d)))
+    factors = block_factors(blocked, feats, shift, y_shift, y=y)
     out: dict[tuple[str, int], LinearFit] = {}
     for fold in [-1, *range(len(ends))]:
-        G = total if fold == -1 else sum((g for b, g in grams.items() if b <= fold), np.zeros((d, d)))
+        own = [r for b, r in sorted(factors.items()) if fold == -1 or b <= fold]
+        if not own:
+            raise ValueError("no training rows")
+        R = triangle(np.vstack(own))
         m = np.array([np.nan if med.get((fold, c)) is None else med[(fold, c)] for c in feats])
         for name, alpha in alphas.items():
-            out[(name, fold)] = solve_from_gram(G, feats, m, shift, y_shift, alpha, rcond, keep_empty)
+            out[(name, fold)] = solve_from_factor(R, feats, m, shift, y_shift, alpha, rcond, keep_empty)
     return out
 
 
@@ -204,8 +214,3 @@ def fit_linear(train: DataFrame, features: Sequence[str], alpha: float = 0.0, **
     """M4 (alpha = 0) / M5 (alpha > 0) on one training set."""
     return fit_linear_folds(train, features, [], {"m": alpha}, **kw)[("m", -1)]
 
-
-def one_feature_ols(df: DataFrame, x: str, y: str = "y") -> DataFrame:
-    """M4 with one feature, exactly expressible in SQL: slope, intercept, R2."""
-    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-                  F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))

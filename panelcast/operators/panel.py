@@ -59,22 +59,39 @@ def aggregate_events(events: DataFrame, keys: Sequence[str] = KEYS, *,
 def merge_series(series: Sequence[DataFrame], keys: Sequence[str] = KEYS, how: str = "full") -> DataFrame:
     """Merge several keyed series.
 
-    ``how="full"`` is the chain of full outer joins, computed as one union of long
-    rows plus one grouped pivot: one shuffle instead of one per join (identical rows
-    when each series has unique keys).  ``how="join"`` runs the literal join chain.
+    ``how="full"`` gives the rows of the chain of full outer joins.  Keys that no series
+    repeats (as a rule all of them) are merged by one union of long rows and one grouped
+    pivot, one shuffle in place of one a join.  The rows of keys that some series repeats,
+    which the chain multiplies, go through the chain; rows with a null in their key match
+    nothing and stay as they are.  ``how="join"`` runs the literal chain for all rows.
     """
-    if how == "join":
-        out = series[0]
-        for s in series[1:]:
-            out = out.join(s, list(keys), "full")
+    keys = list(keys)
+
+    def chain(parts: Sequence[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for s in parts[1:]:
+            out = out.join(s, keys, "full")
         return out
+
+    if how == "join":
+        return chain(series)
     names = [[c for c in s.columns if c not in keys][0] for s in series]
-    long = None
-    for s, name in zip(series, names):
-        part = s.select(*keys, F.lit(name).alias("series"), F.col(name).cast("double").alias("value"))
+    series = [s.select(*keys, F.col(n).cast("double").alias(n)) for s, n in zip(series, names, strict=True)]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    long, loose = None, None
+    for s, name in zip(series, names, strict=True):
+        part = s.filter(known).select(*keys, F.lit(name).alias("series"), F.col(name).alias("value"))
+        alone = s.filter(~known).select(*keys, *[(F.col(n) if n == name else F.lit(None).cast("double")).alias(n) for n in names])
         long = part if long is None else long.unionByName(part)
-    aggs = [F.max(F.when(F.col("series") == n, F.col("value"))).alias(n) for n in names]
-    return long.groupBy(*keys).agg(*aggs)
+        loose = alone if loose is None else loose.unionByName(alone)
+    own = [F.col("series") == n for n in names]
+    merged = long.groupBy(*keys).agg(*[F.max(F.when(c, F.col("value"))).alias(n) for c, n in zip(own, names, strict=True)],
+                                     F.greatest(*[F.count_if(c) for c in own], F.lit(1)).alias("__most"))
+    repeated = merged.filter("__most > 1").select(*keys)
+    several = chain([s.join(repeated, keys, "left_semi") for s in series])
+    return merged.filter("__most = 1").drop("__most").unionByName(several).unionByName(loose)
 
 
 def join_target(level: DataFrame, growth: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -101,6 +101,32 @@ def q_oil(spark, d):
     return rounded(tp.global_series(spark, d))
 
 
+def _j3_parts(spark, d):
+    """Three keyed series; the first two repeat (entity, t): one row for each order status, one for
+    each order priority."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").join(
+        spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("entity")), "o_custkey")
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("int")
+    price = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+    rows = orders.withColumn("t", month)
+    return [rows.groupBy("entity", "t", "o_orderstatus").agg(price.alias("by_status")).drop("o_orderstatus"),
+            rows.groupBy("entity", "t", "o_orderpriority").agg(price.alias("by_priority")).drop("o_orderpriority"),
+            rows.groupBy("entity", (F.col("t") + 1).alias("t")).agg(F.count(F.lit(1)).cast("double").alias("before"))]
+
+
+@register("j3_repeated_keys", """
+WITH o AS (SELECT c_nationkey AS entity, """ + O.month("o_orderdate") + """ AS t, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderstatus, o_orderpriority
+           FROM orders JOIN customer ON c_custkey = o_custkey),
+a AS (SELECT entity, t, CAST(sum(price) AS DOUBLE) AS by_status FROM o GROUP BY entity, t, o_orderstatus),
+b AS (SELECT entity, t, CAST(sum(price) AS DOUBLE) AS by_priority FROM o GROUP BY entity, t, o_orderpriority),
+c AS (SELECT entity, t + 1 AS t, CAST(count(*) AS DOUBLE) AS before FROM o GROUP BY entity, t)
+SELECT entity, t, """ + ", ".join(f"{O.r(c)} AS {c}" for c in ("by_status", "by_priority", "before")) + """
+FROM a FULL JOIN b USING (entity, t) FULL JOIN c USING (entity, t)""")
+def q_repeated_keys(spark, d):
+    """J3 with keys that series repeat: rows multiply as in the chain of joins."""
+    return rounded(pn.merge_series(_j3_parts(spark, d)))
+
+
 @register("a13_key_quality", _with(O.base_ctes()) + """
 SELECT CAST(count(*) AS BIGINT) AS n_rows,
        CAST(count_if(entity IS NULL OR t IS NULL) AS BIGINT) AS n_null_keys,
@@ -576,19 +602,6 @@ def q_proxy(spark, d):
     return rounded(rp.error_vs_proxy(ex, ft))
 
 
-@register("m4_ols_one_feature", _run_sql_prefix(MAIN) + """
-SELECT entity, """ + O.r("regr_slope(y, gdp_growth_lag1)") + """ AS slope,
-       """ + O.r("regr_intercept(y, gdp_growth_lag1)") + """ AS intercept,
-       CAST(regr_count(y, gdp_growth_lag1) AS BIGINT) AS n
-FROM sp WHERE side = 'train' GROUP BY entity""")
-def q_ols1(spark, d):
-    s, _ = st.split_dataset(spark, d, MAIN)
-    tr_ = s.filter(F.col("side") == "train")
-    return rounded(tr_.groupBy("entity").agg(F.regr_slope("y", "gdp_growth_lag1").alias("slope"),
-                                             F.regr_intercept("y", "gdp_growth_lag1").alias("intercept"),
-                                             F.regr_count("y", "gdp_growth_lag1").alias("n")))
-
-
 @register("a3b_scores_by_model_side", _MAIN_PRED_SQL + """
 SELECT model, side, count(*) AS n, """ + O.r("sqrt(avg((y - p) * (y - p)))") + """ AS RMSE,
        """ + O.r("avg(abs(y - p))") + """ AS MAE,
@@ -696,6 +709,24 @@ def q_line_predictions(spark, d):
     return rounded(p.select("model", "side", "entity", "t", "p"))
 
 
+_Z = "gdp_growth_lag2"
+
+
+@register("m4_m5_two_feature_predictions", _run_sql_prefix(MAIN) + f""",
+med AS (SELECT median({_X}) AS m1, median({_Z}) AS m2 FROM sp WHERE side = 'train'),
+fl AS (SELECT side, entity, t, y, coalesce({_X}, m1) AS a, coalesce({_Z}, m2) AS b FROM sp, med),
+st AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, count(*) AS n,
+  covar_pop(a, y) AS cay, covar_pop(b, y) AS cby, covar_pop(a, b) AS cab FROM fl WHERE side = 'train'),
+eq AS (SELECT *, n + alpha AS d, n * cab / (sa * sb) AS o, n * cay / sa AS u, n * cby / sb AS v FROM st, {_TWO})
+SELECT model, side, entity, t, {O.r('my + (u * d - v * o) / (d * d - o * o) * ((a - ma) / sa) + (v * d - u * o) / (d * d - o * o) * ((b - mb) / sb)')} AS p
+FROM fl, eq""")
+def q_plane_predictions(spark, d):
+    """M4, M5 with two correlated features, one of them imputed."""
+    res, _ = _run(spark, d, MAIN, [_X, _Z], models=LINEAR, cv=False)
+    p = res.predictions.filter(F.col("model").isin(*LINEAR))
+    return rounded(p.select("model", "side", "entity", "t", "p"))
+
+
 def _part_scores(role: str) -> str:
     c = f"role = '{role}'"
     sse, sst = f"sum(CASE WHEN {c} THEN e * e END)", f"(var_pop(CASE WHEN {c} THEN y END) * count_if({c}))"

@@ -65,3 +65,17 @@ def test_global_rank_is_gapless(spark):
         got.setdefault(r["g"], []).append((r["k"], r["rank"]))
     for rows in got.values():
         assert [k for _, k in sorted(rows)] == list(range(1, len(rows) + 1))
+
+
+def test_merge_multiplies_repeated_keys_as_joins_do(spark):
+    from panelcast.operators.panel import merge_series
+    a = spark.createDataFrame([(1, 1, 1.0), (1, 1, 2.0), (1, 2, None), (None, 1, 9.0), (None, 1, 9.0)], "entity int, t int, a double")
+    b = spark.createDataFrame([(1, 1, 5.0), (1, 1, 6.0), (1, 1, 6.0), (2, 1, 7.0), (None, 1, 8.0)], "entity int, t int, b double")
+    c = spark.createDataFrame([(1, 1, 3.0), (3, 3, None)], "entity int, t int, c double")
+
+    def rows(df):
+        return sorted(map(repr, df.select("entity", "t", "a", "b", "c").collect()))
+
+    assert rows(merge_series([a, b, c])) == rows(merge_series([a, b, c], how="join"))
+    assert merge_series([a, b, c]).filter("entity = 1 and t = 1").count() == 6
+    assert merge_series([a.limit(0), b.limit(0), c.limit(0)]).count() == 0

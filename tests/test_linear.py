@@ -68,3 +68,34 @@ def test_folds_from_one_scan(spark):
         for name, a in (("ols", 0.0), ("ridge", 5.0)):
             ref = numpy_fit(X[:n], y[:n], a)
             np.testing.assert_allclose(predict(spark, fits[(name, f)], X, y), ref(X), rtol=1e-7, atol=1e-7)
+
+
+def test_nearly_collinear_features_keep_their_digits(spark):
+    """Condition 1e8: the factors agree with lstsq on the rows; a Gram matrix would lose all of it."""
+    rng = np.random.default_rng(8)
+    t = np.arange(23000.0, 23200.0)
+    X = np.stack([t, t * t, rng.normal(size=200)], axis=1)
+    X = np.concatenate([X, X[:, 2:] + 1e-8 * rng.normal(size=(200, 1))], axis=1)
+    Z = (X - X.mean(0)) / X.std(0)
+    assert np.linalg.cond(Z) > 5e7
+    y = 0.3 * Z[:, 0] + 2 * Z[:, 2] + rng.normal(size=200)
+    df, cols = frame(spark, X, y)
+    for parts in (1, 7):
+        fit = fit_linear(df.repartition(parts), cols, 0.0)
+        ref = numpy_fit(X, y, 0.0)
+        np.testing.assert_allclose(predict(spark, fit, X, y), ref(X), rtol=1e-6, atol=1e-6)
+
+
+def test_factors_of_well_conditioned_rows_match_to_nine_digits(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(300, 5)) * [1, 1e3, 1e-3, 1, 5] + [0, 1e6, 0, 2, 0]
+    y = X @ [1, 1e-3, 1e3, -2, 0.1] + rng.normal(size=300)
+    df, cols = frame(spark, X, y)
+    for alpha in (0.0, 5.0):
+        np.testing.assert_allclose(predict(spark, fit_linear(df.repartition(9), cols, alpha), X, y), numpy_fit(X, y, alpha)(X), rtol=1e-9, atol=1e-9)
+
+
+def test_no_rows_is_an_error(spark):
+    df, cols = frame(spark, np.ones((2, 1)), np.ones(2))
+    with pytest.raises(ValueError):
+        fit_linear(df.limit(0), cols)
