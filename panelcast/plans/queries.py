@@ -533,6 +533,22 @@ def q_scan(spark, d):
              .select("tag", "model", "test_RMSE", "n_test")
 
 
+_NOTE_SQL = "concat(c_name, chr(10), '\"', c_mktsegment, '\", ', c_nationkey)"
+
+
+@register("s3_quoted_line_ends", f"SELECT c_custkey, {_NOTE_SQL} AS note, {O.r('c_acctbal')} AS c_acctbal FROM customer")
+def q_quoted(spark, d):
+    """S1, S3, S4's reader: customers with a note of two lines, quotes and a comma, written to
+    several CSV files and read back record by record."""
+    from panelcast.sources.headed import headed_files
+    path = _results_root(spark, "s3") + "/customers"
+    note = F.concat("c_name", F.lit("\n\""), "c_mktsegment", F.lit("\", "), F.col("c_nationkey").cast("string"))
+    (spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", note.alias("note"), "c_acctbal").repartition(4, "c_custkey")
+     .write.csv(path, header=True, quoteAll=True, escape='"'))
+    (_, rows), = headed_files(spark, path)
+    return rounded(rows.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "note", F.col("c_acctbal").cast("double").alias("c_acctbal")))
+
+
 @register("s9_latest_run", _SUITE_CTE + "SELECT min(tag) AS tag FROM suite")
 def q_latest(spark, d):
     """The run whose tag sorts first is written after the others; the newest file names
@@ -602,6 +618,19 @@ def q_proxy(spark, d):
     return rounded(rp.error_vs_proxy(ex, ft))
 
 
+@register("m4_ols_one_feature", _run_sql_prefix(MAIN) + """
+SELECT entity, """ + O.r("regr_slope(y, gdp_growth_lag1)") + """ AS slope,
+       """ + O.r("regr_intercept(y, gdp_growth_lag1)") + """ AS intercept,
+       CAST(regr_count(y, gdp_growth_lag1) AS BIGINT) AS n
+FROM sp WHERE side = 'train' GROUP BY entity""")
+def q_ols1(spark, d):
+    s, _ = st.split_dataset(spark, d, MAIN)
+    tr_ = s.filter(F.col("side") == "train")
+    return rounded(tr_.groupBy("entity").agg(F.regr_slope("y", "gdp_growth_lag1").alias("slope"),
+                                             F.regr_intercept("y", "gdp_growth_lag1").alias("intercept"),
+                                             F.regr_count("y", "gdp_growth_lag1").alias("n")))
+
+
 @register("a3b_scores_by_model_side", _MAIN_PRED_SQL + """
 SELECT model, side, count(*) AS n, """ + O.r("sqrt(avg((y - p) * (y - p)))") + """ AS RMSE,
        """ + O.r("avg(abs(y - p))") + """ AS MAE,

@@ -59,8 +59,8 @@ def load_coded_extract(spark: SparkSession, path: str, value_name: str, entities
     """Coded extract (``[YRdddd]`` columns).  When the header lacks ``Series Code``
     or ``Country Code``, re-read skipping the 3 preamble rows."""
     df = _read(spark, path, fmt)
-    if not _has_columns(df, "Series Code", "Country Code"):
-        df = _read(spark, path, fmt, skip_rows=3)
+    if fmt == "csv":
+        df = _read_after_preamble(spark, path, 0 if _has_columns(df, "Series Code", "Country Code") else 3)
     return coded_extract_to_long(df, value_name, entities)
 
 
@@ -75,7 +75,7 @@ def load_event_list(spark: SparkSession, path: str, entity: str | None = None, *
                     entity_col: str | None = None) -> DataFrame:
     """S3: event list -> keep 8 columns, rename, clean (P4-P7).  ``entity`` tags a
     single-entity file; ``entity_col`` reads it from a column."""
-    df = _read(spark, path, fmt)
+    df = _read_after_preamble(spark, path, 0) if fmt == "csv" else _read(spark, path, fmt)    # names may hold line ends
     mapping = dict(EVENT_RENAMES)
     if entity_col:
         mapping[entity_col] = "entity"
