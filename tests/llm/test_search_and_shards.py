@@ -63,20 +63,36 @@ def test_top_k_is_exact_with_ties_and_odd_rows(spark):
     rows = [(i, [float(v) for v in rng.integers(-3, 4, 6) / 4], 9) for i in range(240)]
     rows += [(1000, None, 1), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (1002, [float("nan")] * 6, 1),
              (1003, [float("inf")] + [0.0] * 5, 1), (None, [1.0] * 6, 1), (1050, [1.0, 1.0], 1), (1051, [0.5, 1.0], 1)]
-    rows += [rows[3]] * 2
+    # rows are candidates of their own: copies, and other vectors of an id, a query's own too
+    rows += [rows[3]] * 2 + [(4, rows[9][1], 0), (50, rows[50][1], 1), (100, rows[7][1], 2)] + [(260, rows[150][1], 0)] * 9
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = topk_search.top_k(df.where("vec_id % 50 = 0"), df, k=5).collect()
-    good = {i: np.floor(256 * np.array(v)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in good if i % 50 == 0):
-        scores = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
-        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    good = [(i, tuple(int(x) for x in np.floor(256 * np.array(v)))) for i, v, _ in rows
+            if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q in {r for r in good if r[0] % 50 == 0}:
+        others = list(good)
+        others.remove(q)
+        scores = sorted((-sum(a * b for a, b in zip(q[1], v, strict=True)), i) for i, v in others if len(v) == len(q[1]))
+        want += [(q[0], r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert (1050, 1, 1051) in {(q, r, i) for q, r, i, _ in want}
     assert topk_search.top_k(df.limit(0), df, k=5).count() == 0
     assert topk_search.top_k(df.where("vec_id = 0"), df.limit(0), k=5).count() == 0
 
 
+def test_top_k_near_and_beyond_the_range_of_scores(spark):
+    big = [(i, [float(2**22 + i), float(-i)]) for i in range(8)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df.where("vec_id = 0"), df, k=2).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [
+        (7, 65536 * 2**22 * (2**22 + 7)), (6, 65536 * 2**22 * (2**22 + 6))]
+    for odd in ([1e7, 1e7], [1e15, 1.0], [1e300, 0.0], [-1e300, 1.0]):
+        far = spark.createDataFrame([*big, (50, odd), (51, odd)], "vec_id long, embedding array<double>")
+        with pytest.raises(topk_search.ScoreRangeError):
+            topk_search.top_k(far.where("vec_id = 50"), far, k=2)
+
+
 def test_top_k_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "QUERY_ROWS", 3)
     monkeypatch.setattr(topk_search, "VECTOR_ROWS", 40)
