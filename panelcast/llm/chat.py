@@ -55,7 +55,10 @@ def _joined(df: DataFrame, keys: list[str], order: list[str], text: str) -> Data
     """Texts of each key joined in order: runs of ``RUN`` rows first, then the runs."""
     runs = df.groupBy(*keys, "__run").agg(
         F.array_sort(F.collect_list(F.struct(*order, text))).alias("__rows"))
-    runs = runs.select(*keys, "__run", F.concat_ws("", F.transform("__rows", lambda r: r[text])).alias(text))
+    rows = F.col("__rows")
+    if "__kind" in order:  # equal rows that start a text anew are one
+        rows = F.filter(rows, lambda r, i: (r["__kind"] == 1) | (i == 0))
+    runs = runs.select(*keys, "__run", F.concat_ws("", F.transform(rows, lambda r: r[text])).alias(text))
     whole = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__run", text))).alias("__rows"))
     return whole.select(*keys, F.concat_ws("", F.transform("__rows", lambda r: r[text])).alias(text))
 
@@ -66,19 +69,26 @@ def fold_events(events: DataFrame) -> DataFrame:
     The text is that of the last open, edit or regenerate event and the deltas after it.
     The role is that of the earliest event that names one.  Null texts are empty; null
     kinds count as delta; events of a null conversation or message are folded together
-    under null; rows with equal seq are taken in order of kind and text.
+    under null.  An event of null seq comes before all numbered ones (so a numbered open,
+    edit or regenerate event makes it void).  Of events of one seq, those that start the
+    text anew come first, by kind and text, so the last of them counts; deltas follow it, by
+    text, each row once for every time it is logged.
     """
     e = events.select("conv_id", "message", "seq", F.coalesce("kind", F.lit(DELTA)).alias("kind"), "role",
                       F.coalesce("text", F.lit("")).alias("text"))
+    fresh = F.col("kind").isin(*FRESH)
     state = e.groupBy("conv_id", "message").agg(
-        F.max(F.when(F.col("kind").isin(*FRESH), F.col("seq"))).alias("__fresh"),
+        F.max(F.when(fresh, F.struct("seq", "kind", "text"))).alias("__fresh"),
         F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("__role"))
     same = (F.col("e.conv_id").eqNullSafe(F.col("s.conv_id")) & F.col("e.message").eqNullSafe(F.col("s.message")))
+    start = F.col("__fresh.seq")
+    later = start.isNull() | (F.col("seq") >= start)
+    chosen = F.struct(F.col("seq"), F.col("kind"), F.col("e.text").alias("text")).eqNullSafe(F.col("__fresh"))
     live = (e.alias("e").join(state.alias("s"), same)
-            .where(F.col("__fresh").isNull() | (F.col("seq") >= F.col("__fresh")))
+            .where(F.when(fresh, chosen).otherwise(F.coalesce(later, F.lit(False))))
             .select("e.conv_id", "e.message", "seq", "kind", "text",
                     F.coalesce(F.col("__role.role"), F.lit("")).alias("role"))
-            .withColumn("__kind", F.when(F.col("kind") == DELTA, 1).otherwise(0))
+            .withColumn("__kind", F.when(fresh, 0).otherwise(1))
             .withColumn("__run", F.floor(F.col("seq") / RUN)))
     return _joined(live, ["conv_id", "message", "role"], ["seq", "__kind"], "text")
 
@@ -94,8 +104,10 @@ def render(messages: DataFrame, position: Column | None = None) -> DataFrame:
 
 
 def events_of(turns: DataFrame, piece: int = 256) -> DataFrame:
-    """The log that streams finished turns (conv_id, turn, role, text): each message is
-    opened and its text arrives in pieces of ``piece`` characters.
+    """A log that leads to finished turns (conv_id, turn, role, text): each message is opened
+    and its text arrives in pieces of ``piece`` characters.  By a digest of its text one
+    message in three is regenerated after its first piece, and one has a wrong first piece
+    that an edit puts right.
 
     Rows that repeat a turn number of their conversation stay messages of their own: they
     are numbered by (turn, role, text) within the conversation.
@@ -106,11 +118,23 @@ def events_of(turns: DataFrame, piece: int = 256) -> DataFrame:
     message = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.md5(F.col("text").cast("binary")).alias("digest"), "copy")
     numbered = doubles.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("message", message)
     length = F.length("text")
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.ceil(length / piece).cast("int")),
-        lambda i: F.struct(
-            i.cast("long").alias("seq"), F.when(i == 0, F.lit("open")).otherwise(F.lit(DELTA)).alias("kind"),
-            F.when(i == 0, F.lit("")).otherwise(F.substr("text", (i - 1) * piece + 1, F.lit(piece))).alias("piece")))
+    def event(kind: str, body: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), body.alias("piece"))
+
+    def cut(i: Column) -> Column:
+        return F.substr("text", i * piece + 1, F.lit(piece))
+
+    count, first = F.ceil(length / piece).cast("int"), F.substr("text", F.lit(1), F.lit(piece))
+
+    def stream(skip: int) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: i >= skip),
+                           lambda i: event(DELTA, cut(i)))
+
+    opened, way = event("open", F.lit("")), F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(3))
+    log = (F.when(way == 1, F.concat(F.array(opened, event(DELTA, first), event("regenerate", F.lit(""))), stream(0)))
+           .when(way == 2, F.concat(F.array(opened, event(DELTA, F.reverse(first)), event("edit", first)), stream(1)))
+           .otherwise(F.concat(F.array(opened), stream(0))))
+    pieces = F.transform(log, lambda e, i: F.struct(i.cast("long").alias("seq"), e["kind"].alias("kind"), e["piece"].alias("piece")))
     return (numbered.withColumn("__e", F.explode(pieces))
             .select("conv_id", "message", F.col("__e.seq").alias("seq"), F.col("__e.kind").alias("kind"), "role",
                     F.col("__e.piece").alias("text")))

@@ -177,3 +177,42 @@ def test_events_fold_to_the_last_state(spark, monkeypatch):
     assert got == {(1, 0): ("user", "Hello"), (1, 1): ("assistant", "right"), (1, 2): ("user", "second!"), (2, 0): ("user", "only")}
     text = {r.conv_id: r.formatted for r in chat.render(chat.fold_events(df)).collect()}
     assert text[1] == "### user: Hello</turn>\n### assistant: right</turn>\n### user: second!</turn>\n"
+
+
+def slow_fold(events):
+    """Plain replay: order events, start anew where the kind says so."""
+    out = {}
+    for conv, message in {(e[0], e[1]) for e in events}:
+        own = [(-1 if e[2] is None else e[2], e[3] or "delta", e[4], e[5] or "") for e in events if (e[0], e[1]) == (conv, message)]
+        text = ""
+        for _, kind, _, piece in sorted(own, key=lambda e: (e[0], e[1] == "delta", e[1], e[3])):
+            text = text + piece if kind == "delta" else piece
+        roles = sorted((e[0], e[2]) for e in own if e[2] is not None)
+        out[conv, message] = (roles[0][1] if roles else "", text)
+    return out
+
+
+def test_events_of_null_and_tied_sequence(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RUN", 4)
+    rng = np.random.default_rng(8)
+    kinds = ["delta"] * 5 + [None, "edit", "regenerate", "open"]
+    events = [(c, int(rng.integers(3)), None if rng.random() < 0.15 else int(rng.integers(6)), kinds[int(rng.integers(9))],
+               [None, "user", "assistant"][int(rng.integers(3))], [None, "", "a", "b", "c"][int(rng.integers(5))])
+              for c in [None, *range(30)] for _ in range(int(rng.integers(1, 16)))]
+    events += [(90, 0, 1, "edit", "user", "E1"), (90, 0, 1, "edit", "user", "E2"), (90, 0, 1, "edit", "user", "E2"),
+               (91, 0, None, "delta", "user", "lost"), (91, 0, 0, "open", "user", ""), (92, 0, None, "edit", "user", "kept"),
+               (92, 0, None, "delta", None, "!"), (92, 0, 3, "delta", None, "?"), (92, 0, 3, "delta", None, "?")]
+    df = spark.createDataFrame(events, "conv_id long, message long, seq long, kind string, role string, text string")
+    got = {(r.conv_id, r.message): (r.role, r.text) for r in chat.fold_events(df).collect()}
+    assert got == slow_fold(events)
+    assert (got[90, 0][1], got[91, 0][1], got[92, 0][1]) == ("E2", "", "kept!??")
+
+
+def test_log_of_finished_turns_holds_edits_and_regenerations(spark):
+    rows = [(i // 4, i % 4, "user", f"turn {i} " + "x" * (i * 37 % 900)) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.events_of(df)
+    kinds = {r.kind for r in log.select("kind").distinct().collect()}
+    assert kinds == {"open", "delta", "edit", "regenerate"}
+    got = {(r.conv_id, r.message.turn): r.text for r in chat.fold_events(log).collect()}
+    assert got == {(c, t): text for c, t, _, text in rows}
