@@ -183,7 +183,9 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, seed: int, unknow
     plain = (spark.range(1).select(F.explode(F.array(*map(F.lit, PLAIN))).alias("t"))
              .withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
              .select(F.lit(UNKNOWN).alias("family"), lessened(F.col("t"), F.col("v")).alias("text"), F.col("v").alias("k")))
-    picked = bounded_sample(docs.where(F.col(id_col).isNotNull()), id_col, unknown_docs, seed)
+    # rows of null id are picked by their text
+    own = F.coalesce(F.col(id_col), F.xxhash64(text_col).cast(docs.schema[id_col].dataType))
+    picked = bounded_sample(docs.withColumn("__pick", own), "__pick", unknown_docs, seed)
     # lines that speak of licences stay, as long as no notice is in them
     lines = (paragraphs(picked, id_col, text_col).withColumn("w", F.explode(F.array(F.array_distinct(words_of(F.col("text"))))))
              .where(~_of_a_notice(F.col("w"), notice_words(spark))))
@@ -314,13 +316,13 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id"
     a licence; otherwise its lines that name one are the rows.
 
     Defined cases: null, empty and blank texts have no paragraphs; a paragraph is judged by
-    all its words, however long; repeated rows are scanned each; a null id is kept; a table
-    without any paragraph gives no rows; other columns are not read.
+    all its words, however long; repeated rows are scanned each; null ids are kept, also where
+    all are null; a table without any paragraph gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     if scanner is None:
-        if not paragraphs(texts.where(F.col(id_col).isNotNull()), id_col, text_col).limit(1).count():
+        if not paragraphs(texts, id_col, text_col).limit(1).count():
             return texts.limit(0).select(
                 id_col, F.lit(0).alias("paragraph"), F.lit("").alias("text"), F.lit("").alias("family"),
                 F.lit(0.0).alias("probability"), F.lit(0.0).alias("similarity"), F.lit(False).alias("confirmed"))
