@@ -101,7 +101,8 @@ def test_mixing_meets_its_targets(spark):
         assert 0 <= r.probability <= 1
         own = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
         assert r.tokens == len(own)
-        u = int(hashlib.md5(f"7:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 16**13
+        key = f"null:{hashlib.md5((r.text or '').encode()).hexdigest()}" if r.doc_id is None else r.doc_id
+        u = int(hashlib.md5(f"7:{key}".encode()).hexdigest()[:13], 16) / 16**13
         assert r.sampled == (u < r.probability)
         for m in mixing.MARGINS:
             base[m, r[m]] += r.tokens
@@ -114,6 +115,62 @@ def test_mixing_meets_its_targets(spark):
             assert cells[m, v] == pytest.approx(want, rel=0.08), (m, v)
 
 
+def test_mixing_settles_and_names_what_it_cannot_reach(spark):
+    """With the registered parameters: raked by numpy until nothing moves."""
+    docs, _ = tables(spark)
+    got = {(r.source, r.lang, r.topic): (r.p, r.t) for r in mixing.sampling_plan(docs).groupBy(
+        F.coalesce("source", F.lit(mixing.NO_VALUE)).alias("source"), F.coalesce("lang", F.lit(mixing.NO_VALUE)).alias("lang"), "topic")
+        .agg(F.max("probability").alias("p"), F.sum("tokens").alias("t")).collect()}
+    cells = sorted(k for k, (_, t) in got.items() if t)
+    base = np.array([float(got[k][1]) for k in cells])
+    w, goals = base.copy(), {}
+    for m, power in enumerate(mixing.POWERS.values()):
+        sums = defaultdict(float)
+        for k, t in zip(cells, base, strict=True):
+            sums[k[m]] += t
+        goals[m] = {v: t**power / sum(x**power for x in sums.values()) * base.sum() for v, t in sums.items()}
+    for _ in range(300):
+        for m in range(3):
+            now = defaultdict(float)
+            for k, x in zip(cells, w, strict=True):
+                now[k[m]] += x
+            w = w * [goals[m][k[m]] / now[k[m]] for k in cells]
+        w = np.minimum(w, base / 0.5)
+    assert np.allclose([got[k][0] for k in cells], np.minimum(1, 0.5 * w / base), atol=1e-9)
+    rows = {(r.margin, r.value): r for r in mixing.margins(docs).collect()}
+    assert len(rows) == sum(map(len, goals.values()))
+    for m, margin in enumerate(mixing.MARGINS):
+        for v, goal in goals[m].items():
+            r, reached = rows[margin, v], 0.5 * sum(x for k, x in zip(cells, w, strict=True) if k[m] == v)
+            assert r.target == pytest.approx(0.5 * goal) and r.expected == pytest.approx(reached, rel=1e-6)
+            assert r.unreached == (abs(reached - 0.5 * goal) > 0.005 * goal)
+    short = {v: r.expected / r.target for (m, v), r in rows.items() if m == "topic" and r.unreached and r.expected < r.target}
+    assert min(short, key=short.get) == "contact" and short["contact"] < 0.92  # all its documents are taken
+    assert rows["topic", "contact"].exhausted == pytest.approx(rows["topic", "contact"].expected, rel=0.02)
+
+
+def test_mixing_rounds_over_many_files_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    cells = spark.createDataFrame([(f"s{i % 7}", f"l{i % 4}", f"t{i % 3}", float(rng.integers(1, 900))) for i in range(84)],
+                                  "source string, lang string, topic string, base double")
+    total = cells.agg(F.sum("base")).first()[0]
+    goals = {"source": spark.createDataFrame([(f"s{i}", total / 6) for i in range(6)], "source string, target double"),
+             "topic": spark.createDataFrame([(f"t{i}", total * (i + 1) / 6) for i in range(3)], "topic string, target double")}
+
+    def raked(rounds):
+        return sorted((r.source, r.lang, r.topic, r.base, round(r.w, 6)) for r in mixing.rake(cells, goals, 0.4, rounds).collect())
+
+    one = raked(6)
+    monkeypatch.setattr(mixing, "CELLS_PER_FILE", 30)
+    assert raked(6) == one and len(one) == 84
+
+
+def test_mixing_draws_rows_of_null_id_each_by_its_text(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "en", "s", 1) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = mixing.sampling_plan(df).where("sampled").count()
+    assert 60 < taken < 140
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, "a b c", "en", None, 5), (1, "a b c", "en", None, 5), (2, None, None, "s", 5), (3, "", None, "s", 5), (None, "x", "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int")
