@@ -54,3 +54,13 @@ def test_wrapped_and_versionless_notices_are_one_row(spark):
     assert {r.text for r in got if r.doc_id == 9000} == {MIT.replace("\n", " ")}
     bare = [r.family for r in got if r.doc_id == 9003]
     assert len(bare) == 1 and bare[0] in ("GPL-2.0", "GPL-3.0")
+
+
+def test_a_table_of_null_ids_is_scanned(spark):
+    rows = [(None, f"{name(i)} {name(i % 83)}\nline {name(i % 73)}") for i in range(200)] + [(None, "intro\n" + NOTICE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan(docs).where("confirmed").collect()
+    assert [(r.doc_id, r.paragraph, r.family) for r in got] == [(None, 1, "MIT")]
+    # the rows of a null id are picked one by one
+    picked = license_scan.training_rows(docs, "doc_id", "text", 6, unknown_docs=50).where("corpus").count()
+    assert 0 < picked < 300
