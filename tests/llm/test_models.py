@@ -74,6 +74,8 @@ def test_toxicity_finds_insults_and_leaves_odd_rows(spark):
     right, rows = judge(got, labels, "toxic")
     assert right >= 0.93 and sum(p for p, t in rows if t) >= 0.5 * sum(t for _, t in rows)
     assert all(r.predicted == 0 for r in got if r.doc_id is None or r.doc_id >= 90001)
+    positives = toxicity.classify(docs, labels.where("toxic = 1")).select("doc_id", "text", "score").collect()
+    assert sorted(map(str, positives)) == sorted(str(r) for r in toxicity.classify(docs, labels).select("doc_id", "text", "score").collect())
     none = toxicity.classify(docs, labels.withColumn("toxic", F.lit(0))).select("score").distinct().collect()
     assert len(none) == 1 and none[0].score < 0.5
     assert toxicity.classify(docs.limit(0), labels).count() == 0
@@ -91,6 +93,23 @@ def test_positive_unlabelled_risk_recovers_hidden_positives():
     assert called[hidden & truth].mean() > 0.9 and called[hidden & ~truth].mean() < 0.05
 
 
+def test_class_prior_from_confirmed_and_unlabelled_scores():
+    rng = np.random.default_rng(2)
+    for share in (0.03, 0.2, 0.5):
+        confirmed, truth = rng.normal(3, 1, 1500), rng.random(9000) < share
+        unlabelled = np.where(truth, rng.normal(3, 1, 9000), rng.normal(0, 1, 9000))
+        assert abs(toxicity.class_prior(confirmed, unlabelled) - share) < 0.25 * share + 0.01
+    assert toxicity.class_prior(np.zeros(4), np.zeros(9)) == 0.9
+
+
+def test_toxicity_terms_are_counted_over_the_whole_fold(spark):
+    docs, labels = tables(spark)
+    small = toxicity.fit(docs, labels, unlabelled_rows=50)
+    assert small.vocabulary == toxicity.fit(docs, labels).vocabulary
+    hot = docs.unionByName(docs.where("doc_id = 1").crossJoin(spark.range(2000)).drop("id"))
+    assert toxicity.classify(hot, labels).where("doc_id = 1").select("score").distinct().count() == 1
+
+
 def test_mixing_meets_its_targets(spark):
     docs, _ = tables(spark)
     options = dict(fraction=0.3, rounds=30)
