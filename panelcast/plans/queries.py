@@ -704,6 +704,28 @@ def q_speed_features(spark, d):
     return rounded(speed_features(spark, d).select(*SPEED_FEAT_COLUMNS))
 
 
+_LINE_LAGS = ["total_deaths", "oil_price_usd"]
+_LINE_COLUMNS = ["entity", "t", "gdp_growth", *_LINE_LAGS, "t2", "covid_dummy", "gdp_growth_lag1", "gdp_growth_lag2",
+                 "gdp_growth_roll3_mean", "gdp_growth_roll5_mean", "gdp_growth_roll5_std", "oil_price_usd_change",
+                 "total_deaths_lag1", "oil_price_usd_lag1"]
+_LINE_DOUBLES = set(_LINE_COLUMNS) - {"entity", "t", "t2", "covid_dummy"}
+
+
+@register("w1_w6_long_series", """WITH lines AS (
+  SELECT l_returnflag AS entity, l_orderkey * 8 + l_linenumber AS t, max(l_discount) * 100.0::DOUBLE AS gdp_growth,
+         max(l_quantity) AS total_deaths, max(l_extendedprice) AS oil_price_usd FROM lineitem GROUP BY 1, 2),""" + O.feat_cte("lines", lag_cols=_LINE_LAGS)
+          + "\n" + O.select_rounded(_LINE_COLUMNS, _LINE_DOUBLES, "feat"))
+def q_long_series(spark, d):
+    """The window features of three series that hold all lines (the largest values of each line
+    number): each is cut into pieces with halos."""
+    from panelcast.operators import halo
+    lines = tp.read_table(spark, d, "lineitem").groupBy(
+        F.col("l_returnflag").alias("entity"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("t")).agg(
+        (F.max("l_discount") * 100.0).alias("gdp_growth"), F.max("l_quantity").alias("total_deaths"),
+        F.max("l_extendedprice").alias("oil_price_usd"))
+    return rounded(halo.add_features_long(lines, regime_cutoff=tp.REGIME_CUTOFF).select(*_LINE_COLUMNS))
+
+
 @register("speed_supplier_linear_metrics", None)
 def q_speed_linear(spark, d):
     from panelcast.plans import runs
