@@ -191,8 +191,10 @@ def wide_level_panel(spark: SparkSession, sf_dir: str, ship: DataFrame | None =
 
 def global_series(spark: SparkSession, sf_dir: str, ship: DataFrame | None = None) -> DataFrame:
     """(t, oil_price_usd): mean extended price of lines shipped in the month, rolled up
-    from the (entity, ship month) aggregate."""
-    ship = ship_month_facts(spark, sf_dir) if ship is None else ship
+    from the (entity, ship month) aggregate where one is given, else from lines alone."""
+    if ship is None:
+        ship = (read_table(spark, sf_dir, "lineitem").groupBy(month_index("l_shipdate").alias("t"))
+                .agg(F.sum(F.col("l_extendedprice").cast(DEC)).alias("sp"), F.count(F.lit(1)).alias("nl")))
     return ship.groupBy("t").agg((F.sum("sp").cast("double") / F.sum("nl")).alias(GLOBAL_COLUMN))
 
 
