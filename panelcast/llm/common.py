@@ -38,6 +38,16 @@ def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def materialize_by(df: DataFrame, key: str) -> DataFrame:
+    """As ``materialize``, with the files bucketed by ``key``: grouping by it reads them without
+    a shuffle.  (Buckets need a table's name; it goes at once, the files stay.)"""
+    spark, name = df.sparkSession, f"table_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), key).option("path", _folder(spark)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 class Steps:
     """The states of an iteration, written to two folders in turn: each state replaces the
     last but one, so the folder does not grow with the number of steps."""
