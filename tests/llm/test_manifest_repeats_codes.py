@@ -136,7 +136,7 @@ def repeated_texts(rng, window):
         for _ in range(rng.integers(1, 5)):
             p = passages[rng.integers(len(passages))]
             a = rng.integers(0, len(p) // 2)
-            parts += p[a:a + rng.integers(3, len(p))] + [f"own{k}-{rng.integers(9)}" for _ in range(rng.integers(0, 3))]
+            parts += p[a:a + rng.integers(3, max(4, len(p)))] + [f"own{k}-{rng.integers(9)}" for _ in range(rng.integers(0, 3))]
         texts.append(("\n" if k % 2 else " ").join(parts))
     texts += ["a " * 200, "a b " * 100, "a " * 34 + "b", None, "", "  \t ", " ".join(map(str, range(500))), "A", texts[0], texts[0].upper()]
     return texts
