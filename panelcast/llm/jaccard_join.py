@@ -8,9 +8,12 @@ rows with different texts may share one.
 *Partition.*  Linked sets of sizes n and m differ in at most k = (n + m)(1 - t)/(1 + t)
 shingles.  Shingles are dealt by hash into more than k parts, so linked sets agree on whole
 parts; the hash of a part is a signature (very small sets use their first shingles in hash
-order instead).  Classes that share a signature go to one block: no link crosses blocks.
-A signature's documents are linked as a star to the smallest of them, already inside each
-task, so a signature of very many documents never meets in one place.
+order instead).  Linked sets share a least number of signatures (parts less k, less the empty
+ones).  Shared ones are counted for each pair; only a pair with that many is a candidate, so
+that a common line alone connects no texts.  Pairs are not formed where many sets share a
+signature (a hot one): how many hot ones a set has lowers what its pairs need, and only sets
+with as many hot ones as a link needs are joined by them, as stars to the smallest.  No link
+crosses a block, the candidates that are connected.
 
 *Token-group matrix.*  Inside a block, neighbouring sets in minhash order form groups and
 the matrix says which shingles a group's union holds.  A row sum over a query's shingles
@@ -48,6 +51,9 @@ from panelcast.llm.spread import spread_join
 SMALL = 24
 #: Signatures a task holds before it hands them on.
 HELD = 1 << 21
+#: Pairs are counted in groups of at most so many sets that share a signature; others are hot.
+FEW = 8
+_LOW_40 = np.uint64((1 << 40) - 1)
 #: Sets in a sub-block, and in a group of the token-group matrix.
 SUB_BLOCK, GROUP = 96, 32
 #: Sets of each side of a cell, where sets are codes.
@@ -89,7 +95,8 @@ class Bands:
 
 
 def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a sorted set; any two sets that link share at least one."""
+    """Signatures of a sorted set, with the parity of their size class as lowest bit; any two
+    sets that link share, in one class, at least as many as ``needed`` says of either."""
     n, out = len(tokens), []
     if not n:
         return tokens
@@ -100,29 +107,38 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
         k, small = bands.mismatches(band)
         seed = mixed(np.array([2 * band + small], dtype=np.uint64))
         if small:  # linked sets share one of their first n - ceil(t n) + 1 shingles
-            out.append(mixed(tokens[:n + (-n * bands.num // bands.den) + 1] ^ seed))
-            continue
-        parts = k + 3 + k // 8
-        part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        sums = np.add.reduceat(tokens, first)
-        out.append(mixed(mixed(sums ^ seed) + part[first]))
-        if parts - len(first) >= parts - k:  # so many empty parts that they may be all that agree
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-            out.append(mixed(mixed(seed) + empty))
+            found = [mixed(tokens[:n + (-n * bands.num // bands.den) + 1] ^ seed)]
+        else:
+            parts, part, first = _parts(tokens, k)
+            sums = np.add.reduceat(tokens, first)
+            found = [mixed(mixed(sums ^ seed) + part[first])]
+            if parts - len(first) >= parts - k:  # so many empty parts that they may be all that agree
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
+                found.append(mixed(mixed(seed) + empty))
+        out += [sigs & ~np.uint64(1) | np.uint64(band & 1) for sigs in found]
     return np.concatenate(out)
 
 
-def _star(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures with their smallest document, and distinct (document, smallest) links."""
-    order = np.lexsort((docs, sigs))
-    sigs, docs = sigs[order], docs[order]
-    first = np.append(True, sigs[1:] != sigs[:-1]) if len(sigs) else np.empty(0, bool)
-    head = np.maximum.accumulate(np.where(first, np.arange(len(sigs)), 0)) if len(sigs) else order
-    a, b = docs, docs[head]
-    far = a != b
-    links = np.unique(np.stack([a[far], b[far]], axis=1), axis=0)
-    return sigs[first], docs[first], links[:, 0], links[:, 1]
+def _parts(tokens: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of parts where linked sets differ in at most k shingles, each token's part, and
+    the places where parts begin."""
+    parts = k + 3 + k // 8
+    part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return parts, part, np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+
+
+def needed(tokens: np.ndarray, bands: Bands) -> tuple[int, int]:
+    """For the size classes of even and of odd number: the least number of signatures that the set
+    shares with any set it links with.  Of all parts no more than k differ; those that are empty
+    have no signatures, or where they have, the other set's may have none."""
+    least = [1, 1]
+    own = bands.of(len(tokens)) if len(tokens) else 0
+    for band in (own - 1, own):
+        k, small = bands.mismatches(max(band, 0))
+        if band >= 0 and not small:
+            parts, _, first = _parts(tokens, k)
+            least[band & 1] = max(1, len(first) - k)
+    return least[0], least[1]
 
 
 def _class_key(tokens: np.ndarray, seed: int) -> tuple[int, int, int]:
@@ -133,42 +149,69 @@ def _class_key(tokens: np.ndarray, seed: int) -> tuple[int, int, int]:
     return int(f.view(np.int64)[0]), int(g.view(np.int64)[0]), int(key.view(np.int64)[0])
 
 
-def _candidates(docs: DataFrame, words: int, bands: Bands, buckets: int, seed: int) -> DataFrame:
-    """(a, b): keys of classes that share a signature, as stars."""
+def _pairs(ids: np.ndarray, sigs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, class parity) for all pairs of different ids in the groups that begin at ``starts``."""
+    out = [(ids[:0], ids[:0], ids[:0])]
+    for size in np.unique(sizes):
+        group = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        a, b = ids[group[:, None] + i].ravel(), ids[group[:, None] + j].ravel()
+        out.append((np.minimum(a, b), np.maximum(a, b), np.repeat((sigs[group] & np.uint64(1)).astype(np.int64), len(i))))
+    a, b, odd = (np.concatenate(c) for c in zip(*out, strict=True))
+    return a[a != b], b[a != b], odd[a != b]
+
+
+def _meetings(docs: DataFrame, words: int, bands: Bands, buckets: int, seed: int) -> DataFrame:
+    """(a, b, odd, hot, n): n signatures of a class parity that the keys a and b share, in groups of
+    at most FEW keys; for larger groups (hot) one row for each signature a and key b."""
 
-    def blobs(sigs: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
+    def blobs(sigs: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(sigs, kind="stable")
+        sigs, ids = sigs[order], ids[order]
+        first = np.append(True, sigs[1:] != sigs[:-1])
+        head = np.maximum.accumulate(np.where(first, np.arange(len(sigs)), 0))
         bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        more = np.arange(len(sigs)) - head > FEW  # a hot signature's bucket sees that it is hot from FEW + 1 keys
+        names, far = (bucket[more] << np.uint64(40) | sigs[more] & _LOW_40).view(np.int64), ids[more]
+        order = np.lexsort((ids[~more], bucket[~more]))
+        sigs, ids, bucket = sigs[~more][order], ids[~more][order], bucket[~more][order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[k], cuts[k + 1])
-            known, at = np.unique(ids[s], return_inverse=True)
+            known, times = np.unique(ids[s], return_counts=True)
             # 40 bits beyond the bucket tell signatures apart; a chance meeting is only a candidate
             yield int(k), (sigs[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), \
                 ((sigs[s] >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), \
-                at.astype(np.uint32).tobytes(), known.tobytes()
-        place = buckets + a % buckets
+                times.astype(np.uint32).tobytes(), known.tobytes()
+        place = buckets + far % buckets
         for k in np.unique(place):
-            yield int(k), b"", b"", a[place == k].tobytes(), b[place == k].tobytes()
+            yield int(k), names[place == k].tobytes(), b"", b"", far[place == k].tobytes()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        seen: set[int] = set()
         held = 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(blobs(*_star(np.concatenate(sigs), np.concatenate(ids))))
+            rows = list(blobs(np.concatenate(sigs), np.concatenate(ids)))
             sigs.clear()
             ids.clear()
+            seen.clear()
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             return pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]],
-                names=["bucket", "low", "high", "at", "ids"])
+                names=["bucket", "low", "high", "times", "ids"])
 
         for batch in batches:
             for tokens in shingle_sets(batch.column(0), words):
+                key = _class_key(tokens, seed)[2]
+                if not len(tokens) or key in seen:
+                    continue
+                seen.add(key)
                 own = signatures(tokens, bands)
                 sigs.append(own)
-                ids.append(np.full(len(own), _class_key(tokens, seed)[2], np.int64))
+                ids.append(np.full(len(own), key, np.int64))
                 held += len(own)
                 if held >= HELD:
                     yield flush()
@@ -177,43 +220,81 @@ def _candidates(docs: DataFrame, words: int, bands: Bands, buckets: int, seed: i
             yield flush()
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] >= buckets:  # links made inside tasks
-            pairs = np.stack([np.frombuffer(b"".join(pdf["at"]), np.int64), np.frombuffer(b"".join(pdf["ids"]), np.int64)], axis=1)
-            pairs = np.unique(pairs, axis=0)
-            return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        if key[0] >= buckets:
+            names, ids = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("low", "ids"))
+            return pd.DataFrame({"a": names, "b": ids, "odd": names & 1, "hot": True, "n": 1})
         low = np.frombuffer(b"".join(pdf["low"]), np.uint32).astype(np.uint64)
         high = np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64)
-        ids = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(a, np.uint32)] for a, i in zip(pdf["at"], pdf["ids"], strict=True)])
-        _, _, a, b = _star((high << np.uint64(32)) | low, ids)
-        return pd.DataFrame({"a": a, "b": b})
+        known = np.frombuffer(b"".join(pdf["ids"]), np.int64)
+        once = np.zeros(len(known), bool)
+        once[np.unique(known, return_index=True)[1]] = True  # of a class that several tasks read, one task's
+        times = np.frombuffer(b"".join(pdf["times"]), np.uint32)
+        keep = np.repeat(once, times)
+        sigs, ids = ((high << np.uint64(32)) | low)[keep], np.repeat(known, times)[keep]
+        order = np.argsort(sigs, kind="stable")
+        sigs, ids = sigs[order], ids[order]
+        starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
+        sizes = np.diff(np.append(starts, len(sigs)))
+        few = (sizes > 1) & (sizes <= FEW)
+        a, b, odd = _pairs(ids, sigs, starts[few], sizes[few])
+        many = np.repeat(sizes > FEW, sizes)
+        names = (np.uint64(int(key[0]) << 40) | sigs[many]).view(np.int64)
+        return pd.DataFrame({"a": np.concatenate([a, names]), "b": np.concatenate([b, ids[many]]), "odd": np.concatenate([odd, names & 1]),
+                             "hot": np.arange(len(a) + len(names)) >= len(a), "n": 1})
 
     signed = (docs.where(F.col("id").isNotNull()).select("text")
-              .mapInArrow(sign, "bucket int, low binary, high binary, at binary, ids binary"))
-    return signed.groupBy("bucket").applyInPandas(gather, "a long, b long").distinct()
+              .mapInArrow(sign, "bucket int, low binary, high binary, times binary, ids binary"))
+    return (signed.groupBy("bucket").applyInPandas(gather, "a long, b long, odd long, hot boolean, n long")
+            .groupBy("a", "b", "odd", "hot").agg(F.sum("n").alias("n")))
+
+
+def _candidates(docs: DataFrame, classes: DataFrame, words: int, bands: Bands, buckets: int, seed: int) -> DataFrame:
+    """(a, b): keys of classes that share as many signatures as linked ones do, or are connected so.
+
+    A pair that links shares ``needed`` signatures of either set.  Hot ones among these are no
+    more than the hot ones that either set has; so the others, which are counted for each pair,
+    make up the rest, or both sets have that many hot ones.  Only the sets that do are joined
+    by hot signatures, as stars.
+    """
+    met = materialize(_meetings(docs, words, bands, buckets, seed))
+    hot = met.where("hot").groupBy(F.col("b").alias("key"), "odd").agg(F.sum("n").alias("hots"))
+    both = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("odd"), F.col(f"need{k}").alias("need")) for k in (0, 1))))
+    least = materialize(classes.select("key", both.alias("of")).select("key", "of.*").join(hot, ["key", "odd"], "left").fillna(0, ["hots"]))
+    pairs = met.where("not hot").select("a", "b", "odd", "n")
+    for side in ("a", "b"):
+        own = least.select(F.col("key").alias(side), "odd", F.col("need").alias(f"need_{side}"), F.col("hots").alias(f"hots_{side}"))
+        pairs = pairs.join(own, [side, "odd"])
+    pairs = pairs.where("n + least(hots_a, hots_b) >= greatest(need_a, need_b)").select("a", "b")
+    ends = materialize(met.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("key"), "odd")
+                       .join(least.where("hots >= need").select("key", "odd"), ["key", "odd"]).select("sig", "key"))
+    heads = materialize(ends.groupBy("sig").agg(F.min("key").alias("head"), F.count("*").alias("__n")))
+    stars = spread_join(ends, heads, ["sig"], "__n", ends.count()).where("key <> head")
+    return pairs.unionByName(stars.select(F.col("key").alias("a"), F.col("head").alias("b"))).distinct()
 
 
-def _sizes(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """(id, n, f, g, key, least) of every row: size of its set, a 128-bit fingerprint, the key of it
-    and the set's least token."""
+def _sizes(docs: DataFrame, words: int, bands: Bands, seed: int) -> DataFrame:
+    """(id, n, f, g, key, least, need0, need1) of every row: size of its set, a 128-bit fingerprint,
+    the key of it, the set's least token and ``needed``."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, marks = [], []
             for tokens in shingle_sets(batch.column(1), words):
                 n.append(len(tokens))
-                marks.append((*_class_key(tokens, seed), int(tokens[:1].view(np.int64)[0]) if len(tokens) else 0))
-            own = [pa.array(c, pa.int64()) for c in (zip(*marks, strict=True) if marks else [[]] * 4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *own], names=["id", "n", "f", "g", "key", "least"])
+                marks.append((*_class_key(tokens, seed), int(tokens[:1].view(np.int64)[0]) if len(tokens) else 0, *needed(tokens, bands)))
+            own = [pa.array(c, pa.int64()) for c in (zip(*marks, strict=True) if marks else [[]] * 6)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *own],
+                                             names=["id", "n", "f", "g", "key", "least", "need0", "need1"])
 
-    return docs.select("id", "text").mapInArrow(measure, "id long, n long, f long, g long, key long, least long")
+    return docs.select("id", "text").mapInArrow(measure, "id long, n long, f long, g long, key long, least long, need0 long, need1 long")
 
 
-def _classes(rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame, int]:
-    """``_sizes`` of the rows, (n, f, g, key, least, rep, copies) of each class (rep: its smallest
-    id), and the seed of the keys: the first with which no two classes have one key."""
+def _classes(rows: DataFrame, words: int, bands: Bands) -> tuple[DataFrame, DataFrame, int]:
+    """``_sizes`` of the rows, (n, f, g, key, least, need0, need1, rep, copies) of each class (rep: its
+    smallest id), and the seed of the keys: the first with which no two classes have one key."""
     for seed in range(8):
-        sized = materialize(_sizes(rows, words, seed))
-        classes = materialize(sized.where("n > 0 and id is not null").groupBy("n", "f", "g", "key", "least")
+        sized = materialize(_sizes(rows, words, bands, seed))
+        classes = materialize(sized.where("n > 0 and id is not null").groupBy("n", "f", "g", "key", "least", "need0", "need1")
                               .agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
         if not classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
             return sized, classes, seed
@@ -335,11 +416,11 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, i
     spark = docs.sparkSession
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sized, classes, seed = _classes(rows, words)
+    sized, classes, seed = _classes(rows, words, bands)
     several = materialize(classes.where("copies > 1").select("key", "rep"))  # a table of its own: a hot class's rows can then be split
     copies = materialize(sized.where("n > 0 and id is not null").join(several, "key").where("id <> rep").select("id", "rep").distinct())
 
-    near = materialize(_candidates(rows, words, bands, 4 * shuffle_partitions(spark), seed))
+    near = materialize(_candidates(rows, classes, words, bands, 4 * shuffle_partitions(spark), seed))
     block = materialize(connected_components(near).select(F.col("id").alias("key"), F.col("component").alias("block")))
 
     sizes = materialize(block.groupBy("block").agg(F.count("*").alias("__n")))
